@@ -20,7 +20,7 @@ from tessera.llm.common import documents, stored
 
 NAME = "op7_mix_sources"
 WORD = r"[^\x20\x09-\x0D]+"
-RANGE_ROWS = 20_000
+RANGE_ROWS = 2_000
 SHARE, EPOCHS = 1.5, 2
 WEIGHTS = (5, 2, 1)
 
