@@ -26,17 +26,13 @@ WINDOW = 13
 RARE_TERMS = 3
 SHARE = 20  # contaminated from one hit word in SHARE
 VOCABULARY_LIMIT = 200_000
-NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+# the contract's complement of ASCII non-words, written as the characters it leaves: the regex engine is some 30 times faster on it
+WORD = r"[0-9a-z\x{80}-\x{10FFFF}]+"
 
 
 def words(text: Column) -> Column:
     """Lower-cased (A-Z) runs of digits, letters and everything beyond ASCII; null or blank: none."""
-    parts = F.split(ascii_lower(F.coalesce(text, F.lit(""))), NOT_WORD, -1)
-    # only the ends of the split can be empty
-    size = F.size(parts)
-    head = F.when(F.element_at(parts, 1) == "", 1).otherwise(0)
-    tail = F.when((size > 1) & (F.element_at(parts, -1) == ""), 1).otherwise(0)
-    return F.when((head == 0) & (tail == 0), parts).otherwise(F.slice(parts, head + 1, size - head - tail))
+    return F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
 
 
 def windows(benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
@@ -100,9 +96,15 @@ def phrase_matches(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -
     per_doc = found.groupBy("doc_id").agg(F.collect_set(F.struct("start", "width", "phrase", "items")).alias("_c"))
     per_doc = per_doc.withColumnRenamed("doc_id", "_id")
     d = docs.join(per_doc, docs["doc_id"].eqNullSafe(per_doc["_id"]), "left").drop("_id")
-    d = d.withColumn("_w", words(F.col("text")))
-    hits = F.filter("_c", lambda c: F.array_join(F.slice(F.col("_w"), c["start"] + 1, c["width"]), " ") == c["phrase"])
-    d = d.withColumn("n_words", F.size("_w").cast("long")).withColumn("_h", F.when(F.col("_c").isNotNull(), F.array_sort(F.transform(hits, lambda c: F.struct(c["start"].alias("start"), c["width"].alias("width"), c["items"].alias("items"))))))
+
+    def judged(w: Column) -> Column:
+        hits = F.filter("_c", lambda c: F.array_join(F.slice(w, c["start"] + 1, c["width"]), " ") == c["phrase"])
+        sorted_hits = F.array_sort(F.transform(hits, lambda c: F.struct(c["start"].alias("start"), c["width"].alias("width"), c["items"].alias("items"))))
+        return F.struct(F.size(w).cast("long").alias("n_words"), sorted_hits.alias("h"))
+
+    # the one-element array binds the words to a lambda variable: they are made once a document, not once a candidate
+    d = d.withColumn("_j", F.transform(F.array(words(F.col("text"))), judged)[0])
+    d = d.withColumn("n_words", F.col("_j.n_words")).withColumn("_h", F.col("_j.h"))
     # covered words: starts are sorted, so each window adds what lies beyond the furthest end so far
     zero = F.struct(F.lit(0).alias("end"), F.lit(0).alias("n"))
     covered = F.aggregate(
@@ -116,7 +118,7 @@ def phrase_matches(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -
     )
     d = d.withColumn("n_hit", F.coalesce(covered, F.lit(0)).cast("long"))
     d = d.withColumn("items", F.coalesce(F.array_sort(F.array_distinct(F.flatten(F.transform("_h", lambda c: c["items"])))), F.array().cast("array<string>")))
-    return d.drop("_c", "_w", "_h")
+    return d.drop("_c", "_j", "_h")
 
 
 def contaminated() -> Column:
