@@ -8,6 +8,7 @@ import corpus_pipeline
 
 MODULES = (
     "decontaminate",
+    "pii",
     "mixing",
 )
 
