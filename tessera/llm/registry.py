@@ -9,6 +9,7 @@ import corpus_pipeline
 MODULES = (
     "decontaminate",
     "pii",
+    "langid",
     "mixing",
 )
 
