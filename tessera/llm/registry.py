@@ -11,6 +11,7 @@ MODULES = (
     "pii",
     "langid",
     "mixing",
+    "jaccard",
 )
 
 
