@@ -10,8 +10,10 @@ D_g + 1 and each class leaves out its emptiest ones: it gives all blocks with at
 D_g + 1 of them. Of two similar classes, take the one with the larger m: one of its blocks is equal in the other, whose
 m is not larger, so both give it. No similar pair is lost.
 
-Candidates are verified on the whole sets. In a bucket, all classes are first compared with one of them; classes that
-this links are in one component, and only pairs of a bucket still in different components are compared afterwards.
+Candidates are verified on the whole sets, after a check that their parity sketches over ``CHECK_WORDS`` words differ in
+no more bits than the sets may. In a bucket, all classes are first compared with one of them, then, for a few rounds,
+those still in another component with the class of the bucket that has most links so far. What is linked is in one
+component, and only the pairs of a bucket that are still in different components are compared in the end, all of them.
 So a group of near copies costs comparisons in proportion to its size.
 
 Defined results: a null text or one without words has the empty set, linked with nothing; with fewer words than a
@@ -35,6 +37,8 @@ from tessera.operators.components import connected_components
 NAME = "op10_jaccard_join"
 WIDTH, NUM, DEN = 3, 90, 100
 SPARE = 1.3  # blocks over D + 1
+CHECK_WORDS = 16
+ROUNDS = 5  # at most, of comparing with a bucket's best linked class; what they leave is compared pair by pair
 
 
 class Bands:
@@ -102,14 +106,22 @@ def keys(u: np.ndarray, g: int, bands: Bands) -> np.ndarray:
     return bytekit.mixed(sketch[own.astype(np.int64)] ^ bytekit.mixed(own + np.uint64(g << 32))).astype(np.int64)
 
 
+def check_sketch(u: np.ndarray) -> list[int]:
+    """A parity sketch of the whole set in CHECK_WORDS words, for comparing two candidates."""
+    word = ((u >> np.uint64(7)) % np.uint64(CHECK_WORDS)).astype(np.int64)
+    out = np.zeros(CHECK_WORDS, np.uint64)
+    np.bitwise_xor.at(out, word, np.uint64(1) << (u >> np.uint64(58)))
+    return out.astype(np.int64).tolist()
+
+
 def _sketches(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """doc_id, n, cls, lower and upper keys; a class gives its keys once a task."""
-    schema = "doc_id long, n long, cls long, lower array<long>, upper array<long>"
+    """doc_id, n, cls, lower and upper keys and check; a class gives the last three once a task."""
+    schema = "doc_id long, n long, cls long, lower array<long>, upper array<long>, check array<long>"
 
     def run(batches):
         bands, seen = Bands(num, den), set()
         for rows, raw, at in bytekit.chunks(batches):
-            n, cls, lower, upper = [], [], [], []
+            n, cls, lower, upper, check = [], [], [], [], []
             for u in shingle_sets(raw, at, width):
                 c = class_id(u)
                 n.append(len(u))
@@ -117,14 +129,16 @@ def _sketches(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
                 if len(u) == 0 or c in seen:
                     lower.append(None)
                     upper.append(None)
+                    check.append(None)
                     continue
                 seen.add(c)
                 g = bands.of(len(u))
                 lower.append(keys(u, g, bands))
                 upper.append(keys(u, g - 1, bands) if g else None)
+                check.append(check_sketch(u))
             yield pa.RecordBatch.from_arrays(
-                [rows.column("doc_id"), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(lower, pa.list_(pa.int64())), pa.array(upper, pa.list_(pa.int64()))],
-                names=["doc_id", "n", "cls", "lower", "upper"],
+                [rows.column("doc_id"), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), *(pa.array(x, pa.list_(pa.int64())) for x in (lower, upper, check))],
+                names=["doc_id", "n", "cls", "lower", "upper", "check"],
             )
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
@@ -146,18 +160,30 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     return found.join(wanted.select("cls"), "cls", "left_semi").dropDuplicates(["cls"])
 
 
-def _links(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+def _links(pairs: DataFrame, sets: DataFrame, checks: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough."""
-    both = pairs.join(sets.select(F.col("cls").alias("a"), F.col("u").alias("ua")), "a").join(sets.select(F.col("cls").alias("b"), F.col("u").alias("ub")), "b")
-    common = F.size(F.array_intersect("ua", "ub"))
-    union = F.size("ua") + F.size("ub") - common
-    return both.where(F.lit(den).cast("long") * common >= F.lit(num).cast("long") * union).select("a", "b")
+    side = lambda t, x: t.select(*[F.col(c).alias(x if c == "cls" else f"{c}_{x}") for c in t.columns])
+    both = pairs.join(side(checks, "a"), "a").join(side(checks, "b"), "b")
+    bits = sum((F.bit_count(F.col("check_a")[i].bitwiseXOR(F.col("check_b")[i])) for i in range(1, CHECK_WORDS)), F.bit_count(F.col("check_a")[0].bitwiseXOR(F.col("check_b")[0])))
+    near = both.where(bits * (den + num) <= (den - num) * (F.col("n_a") + F.col("n_b"))).select("a", "b")
+    full = near.join(side(sets, "a"), "a").join(side(sets, "b"), "b")
+    common = F.size(F.array_intersect("u_a", "u_b"))
+    union = F.size("u_a") + F.size("u_b") - common
+    return full.where(F.lit(den).cast("long") * common >= F.lit(num).cast("long") * union).select("a", "b")
 
 
 def _close(n: str, m: str, num: int, den: int):
     return (F.lit(den) * F.least(n, m)) >= (F.lit(num) * F.greatest(n, m))
 
 
+def _apart(everyone: DataFrame, roots: DataFrame) -> tuple[DataFrame, int]:
+    """Members of buckets that hold more than one component, with their root; and how many there are."""
+    members = everyone.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    mixed_keys = members.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+    members = stored(members.join(mixed_keys, "key", "left_semi"), "jaccard-mixed")
+    return members, members.count()
+
+
 def join(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: int = DEN) -> DataFrame:
     """docs (doc_id, text) -> doc_id, n_shingles, cls (equal sets) and component_id, one row per row."""
     spark = docs.sparkSession
@@ -169,25 +195,42 @@ def join(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: int = DEN) ->
     live = stored(star.select("key", "cls", "n", "up", F.col("f.cls").alias("f"), F.col("f.n").alias("fn"), F.col("f.up").alias("fup")), "jaccard-buckets")
     release(spark)
     pairs = live.where(~(F.col("up") & F.col("fup")) & _close("n", "fn", num, den))
-    pairs = stored(pairs.select(F.col("f").alias("a"), F.col("cls").alias("b")).distinct(), "jaccard-pairs")
+    tested = stored(pairs.select(F.least("f", "cls").alias("a"), F.greatest("f", "cls").alias("b")).distinct(), "jaccard-pairs")
     # every class of a live bucket may be compared
     classes = live.select("cls").union(live.select("f")).distinct()
-    wanted = stored(rows.join(classes, "cls", "left_semi").groupBy("cls").agg(F.min("doc_id").alias("doc_id")), "jaccard-wanted")
-    sets = stored(_sets(docs, wanted, width), "jaccard-sets")
+    own = rows.join(classes, "cls", "left_semi").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("check", ignorenulls=True).alias("check"))
+    wanted = stored(own, "jaccard-wanted")
+    checks = wanted.select("cls", "n", "check")
+    sets = stored(_sets(docs, wanted.select("cls", "doc_id"), width), "jaccard-sets")
     release(spark)
-    links = stored(_links(pairs, sets, num, den), "jaccard-links")
+    links = stored(_links(tested, sets, checks, num, den), "jaccard-links")
+    everyone = stored(live.select("key", "cls", "n", "up").union(live.select("key", "f", "fn", "fup")).distinct(), "jaccard-members")
     roots = connected_components(links, stored)
+    for _ in range(ROUNDS):
+        members, left = _apart(everyone, roots)
+        if left <= 0:
+            break
+        degree = links.select("a").union(links.select("b")).groupBy(F.col("a").alias("cls")).agg(F.count(F.lit(1)).alias("degree"))
+        ranked = members.join(degree, "cls", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
+        best = ranked.groupBy("key").agg(F.max_by(F.struct("cls", "n", "up", "root"), F.struct("degree", "cls")).alias("c"))
+        star = members.join(best, "key").where((F.col("root") != F.col("c.root")) & ~(F.col("up") & F.col("c.up")) & _close("n", "c.n", num, den))
+        star = star.select(F.least("cls", "c.cls").alias("a"), F.greatest("cls", "c.cls").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
+        star = stored(star, "jaccard-pairs")
+        found = stored(_links(star, sets, checks, num, den), "jaccard-links")
+        tested = tested.union(star)
+        if not found.limit(1).count():
+            break
+        links = links.union(found)
+        roots = connected_components(links, stored)
     # what is left: pairs of a bucket in different components
-    members = live.select("key", "cls", "n", "up").union(live.select("key", "f", "fn", "fup")).distinct()
-    members = members.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    mixed_keys = members.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    members = stored(members.join(mixed_keys, "key", "left_semi"), "jaccard-mixed")
-    x, y = members.alias("x"), members.alias("y")
-    apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & (F.col("x.cls") < F.col("y.cls")) & ~(F.col("x.up") & F.col("y.up")) & _close("x.n", "y.n", num, den)
-    more = x.join(y, apart).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    more_links = stored(_links(more, sets, num, den), "jaccard-links")
-    if more_links.limit(1).count():
-        roots = connected_components(links.union(more_links), stored)
+    members, left = _apart(everyone, roots)
+    if left > 0:
+        x, y = members.alias("x"), members.alias("y")
+        apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & (F.col("x.cls") < F.col("y.cls")) & ~(F.col("x.up") & F.col("y.up")) & _close("x.n", "y.n", num, den)
+        more = x.join(y, apart).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
+        found = stored(_links(more, sets, checks, num, den), "jaccard-links")
+        if found.limit(1).count():
+            roots = connected_components(links.union(found), stored)
     labelled = rows.select("doc_id", F.col("n").alias("n_shingles"), "cls").join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     ids = rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least")).join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     ids = ids.groupBy("root").agg(F.min("least").alias("component_id"))
