@@ -12,8 +12,10 @@ m is not larger, so both give it. No similar pair is lost.
 
 Candidates are verified on the whole sets, after a check that their parity sketches over ``CHECK_WORDS`` words differ in
 no more bits than the sets may. In a bucket, all classes are first compared with one of them, then, for a few rounds,
-those still in another component with the class of the bucket that has most links so far. What is linked is in one
-component, and only the pairs of a bucket that are still in different components are compared in the end, all of them.
+those still in another component with the class of the bucket whose comparisons so far linked most often. What is linked is in one
+component, and only the pairs of a bucket that are still in different components are compared in the end, all of them:
+buckets are cut into tiles of ``TILE`` classes, a row for each two tiles, and only pairs whose check sketches are near
+enough leave it as rows.
 So a group of near copies costs comparisons in proportion to its size.
 
 Defined results: a null text or one without words has the empty set, linked with nothing; with fewer words than a
@@ -38,7 +40,8 @@ NAME = "op10_jaccard_join"
 WIDTH, NUM, DEN = 3, 90, 100
 SPARE = 1.3  # blocks over D + 1
 CHECK_WORDS = 16
-ROUNDS = 5  # at most, of comparing with a bucket's best linked class; what they leave is compared pair by pair
+TILE = 64  # classes of a bucket compared at once
+ROUNDS = 2  # at most, of comparing with a bucket's best linked class; what they leave is compared tile by tile
 
 
 class Bands:
@@ -176,6 +179,37 @@ def _close(n: str, m: str, num: int, den: int):
     return (F.lit(den) * F.least(n, m)) >= (F.lit(num) * F.greatest(n, m))
 
 
+def _near_pairs(members: DataFrame, checks: DataFrame, num: int, den: int) -> DataFrame:
+    """Distinct pairs (a, b) of a bucket, of different components, whose sizes and check sketches may be similar."""
+    numbered = members.join(checks.select("cls", "check"), "cls").withColumn("tile", F.floor((F.row_number().over(Window.partitionBy("key").orderBy("n", "cls")) - 1) / TILE))
+    tiles = numbered.groupBy("key", "tile").agg(F.collect_list(F.struct("cls", "root", "n", "up", "check")).alias("m"))
+    tiles = stored(tiles, "jaccard-tiles")
+    x, y = tiles.select("key", F.col("tile").alias("tx"), F.col("m").alias("x")), tiles.select("key", F.col("tile").alias("ty"), F.col("m").alias("y"))
+    two = x.join(y, "key").where("tx <= ty").select("x", "y")
+
+    def unpack(column):
+        flat, at = column.flatten(), column.offsets.to_numpy()
+        get = lambda f: flat.field(f).to_numpy(zero_copy_only=False)
+        return at - at[0], get("cls"), get("root"), get("n"), get("up"), flat.field("check").flatten().to_numpy().reshape(-1, CHECK_WORDS)
+
+    def run(batches):
+        for batch in batches:
+            (ax, cx, rx, nx, ux, kx), (ay, cy, ry, ny, uy, ky) = unpack(batch.column("x")), unpack(batch.column("y"))
+            pairs = []
+            for i in range(len(batch)):
+                s, t = slice(ax[i], ax[i + 1]), slice(ay[i], ay[i + 1])
+                n, m = nx[s][:, None], ny[t][None, :]
+                near = (rx[s][:, None] != ry[t][None, :]) & ~(ux[s][:, None] & uy[t][None, :]) & (den * np.minimum(n, m) >= num * np.maximum(n, m))
+                i_x, i_y = np.nonzero(near)
+                bits = np.bitwise_count(kx[s][i_x] ^ ky[t][i_y]).sum(1, dtype=np.int64)
+                ok = bits * (den + num) <= (den - num) * (nx[s][i_x] + ny[t][i_y])
+                pairs.append(np.sort(np.stack([cx[s][i_x[ok]], cy[t][i_y[ok]]], 1), axis=1))
+            found = np.unique(np.concatenate(pairs), axis=0) if pairs else np.zeros((0, 2), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
+
+    return two.mapInArrow(run, "a long, b long").distinct()
+
+
 def _apart(everyone: DataFrame, roots: DataFrame) -> tuple[DataFrame, int]:
     """Members of buckets that hold more than one component, with their root; and how many there are."""
     members = everyone.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
@@ -210,24 +244,23 @@ def join(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: int = DEN) ->
         members, left = _apart(everyone, roots)
         if left <= 0:
             break
-        degree = links.select("a").union(links.select("b")).groupBy(F.col("a").alias("cls")).agg(F.count(F.lit(1)).alias("degree"))
-        ranked = members.join(degree, "cls", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
-        best = ranked.groupBy("key").agg(F.max_by(F.struct("cls", "n", "up", "root"), F.struct("degree", "cls")).alias("c"))
+        # the middle of a group is similar to most of it; the share of its comparisons that linked shows that early
+        ends = lambda t, x: t.select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").agg(F.count(F.lit(1)).alias(x))
+        ranked = members.join(ends(tested, "tests"), "cls", "left").join(ends(links, "hits"), "cls", "left")
+        rate = (F.coalesce("hits", F.lit(0)) + 0.5) / (F.coalesce("tests", F.lit(0)) + 2)
+        best = ranked.groupBy("key").agg(F.max_by(F.struct("cls", "n", "up", "root"), F.struct(rate, F.col("cls"))).alias("c"))
         star = members.join(best, "key").where((F.col("root") != F.col("c.root")) & ~(F.col("up") & F.col("c.up")) & _close("n", "c.n", num, den))
         star = star.select(F.least("cls", "c.cls").alias("a"), F.greatest("cls", "c.cls").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
         star = stored(star, "jaccard-pairs")
         found = stored(_links(star, sets, checks, num, den), "jaccard-links")
         tested = tested.union(star)
-        if not found.limit(1).count():
-            break
-        links = links.union(found)
-        roots = connected_components(links, stored)
+        if found.limit(1).count():
+            links = links.union(found)
+            roots = connected_components(links, stored)
     # what is left: pairs of a bucket in different components
     members, left = _apart(everyone, roots)
     if left > 0:
-        x, y = members.alias("x"), members.alias("y")
-        apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & (F.col("x.cls") < F.col("y.cls")) & ~(F.col("x.up") & F.col("y.up")) & _close("x.n", "y.n", num, den)
-        more = x.join(y, apart).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
+        more = _near_pairs(members, checks, num, den).join(tested, ["a", "b"], "left_anti")
         found = stored(_links(more, sets, checks, num, den), "jaccard-links")
         if found.limit(1).count():
             roots = connected_components(links.union(found), stored)
