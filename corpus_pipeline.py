@@ -1,13 +1,80 @@
-"""The corpus pipeline: named stages from raw documents to a mixed training set."""
+"""The corpus pipeline: language ID, near duplicates, decontamination, personal data, mixing.
+
+Each stage takes (spark, docs, sf_dir) and returns the documents that stay, with the columns of documents; the last one
+returns the mix. Rows that share a doc_id are kept or dropped together only where a stage says so.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
-ORACLE_SQL = None
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tessera.llm import decontaminate, jaccard, langid, mixing, pii
+from tessera.llm.common import crc_mod, stored
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+MIN_COSINE = 0.3  # below, a text looks like none of the learned languages
+NEAR = {"width": 5, "num": 80, "den": 100}
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents in a learned language: with letters, and near enough to a prototype. lang becomes the prediction."""
+    learned = langid.prototypes(docs.where(crc_mod(F.col("doc_id"), langid.FOLDS) != langid.HELD_OUT))
+    found = langid.predict(docs.select(*COLUMNS), learned)
+    found = found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= MIN_COSINE))
+    return found.withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each component of similar ones: that of the smallest doc_id (of rows that share it, one)."""
+    joined = jaccard.join(docs, **NEAR)
+    alone = joined.where("n_shingles = 0").select("doc_id").distinct()
+    least = joined.where("n_shingles > 0").groupBy("component_id").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+    kept = stored(least.union(alone).distinct().withColumnRenamed("doc_id", "_id"), "pipeline-kept")
+    one = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]), "left_semi").select(*COLUMNS)
+    twice = joined.groupBy("doc_id").count().where("count > 1").limit(1).count()
+    if not twice:
+        return one
+    # ids that are given twice: the first row by text stays
+    order = Window.partitionBy("doc_id").orderBy(F.col("text").isNull(), "text", "lang", "source")
+    return one.withColumn("_n", F.row_number().over(order)).where("_n = 1").select(*COLUMNS)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that the contamination rule condemns."""
+    found = decontaminate.phrase_matches(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.where(~decontaminate.contaminated()).select(*COLUMNS)
 
 
-def run(spark, sf_dir):
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces personal data by a mark of its kind; n_chars follows the new text."""
+    spans = pii.candidates(F.col("text"))
+    model = pii.fit(docs.select(spans.alias("c")).where(F.size("c") > 0))
+    text = pii.redacted(F.col("text"), pii.decided(F.col("_c"), model))
+    changed = docs.select(*COLUMNS).withColumn("_c", spans).withColumn("_t", F.when(F.col("text").isNull(), F.col("text")).otherwise(text))
+    return changed.select("doc_id", F.col("_t").alias("text"), "lang", "source", F.when(F.size("_c") > 0, F.char_length("_t").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
+
+
+def mixing_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """How many words of each document the mix takes."""
+    return mixing.mix(docs)
+
+
+STAGES = [
+    ("language", language),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("personal_data", personal_data),
+    ("mixing", mixing_to_weights),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; each stage's result is written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
+
+
+ORACLE_SQL = None

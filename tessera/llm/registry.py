@@ -9,8 +9,10 @@ import corpus_pipeline
 MODULES = (
     "decontaminate",
     "pii",
+    "quality",
     "langid",
     "mixing",
+    "toxicity",
     "jaccard",
 )
 
