@@ -1,11 +1,645 @@
-"""Registered queries over the engine's operators and their SQL twins."""
+"""Registered queries over the engine's operators and their SQL twins.
+
+A query reads whole tables, or an inline fixture (the same VALUES text in both engines) where the corpus holds no code.
+In fixtures ``~`` stands for a line end.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tessera.functions import text as T
+from tessera.operators import annotate as A
+from tessera.operators import dedup, extraction, formatting, judge, rewrite, scores, symbols
+from tessera.operators.components import connected_components
+from tessera.sources import tables as S
+from tessera.streaming import jobs
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_ORACLES: dict[str, str] = {}
+
+
+def query(name: str, oracle: str | None = None):
+    def add(f: Query) -> Query:
+        _QUERIES[name] = f
+        if oracle:
+            _ORACLES[name] = oracle
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_ORACLES)
+
+
+def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def fixture(values: str, *columns: str) -> str:
+    """A subquery over VALUES; string columns named t or t_* have ~ for line ends."""
+    shown = ", ".join(f"replace({c}, '~', chr(10)) AS {c}" if c == "t" or c.startswith("t_") else c for c in columns)
+    return f"(SELECT {shown} FROM (VALUES {values}) AS v({', '.join(columns)}))"
+
+
+# --- sources, projection, sets ---------------------------------------------------------------------------------------
+@query("scan_rename", "SELECT doc_id, text AS code, lang AS language, source, n_chars FROM documents")
+def _(spark, sf):
+    return S.renamed(table(spark, sf, "documents"))
+
+
+@query("lang_remap", "SELECT DISTINCT CASE lang WHEN 'C++' THEN 'cpp' WHEN 'C#' THEN 'c-sharp' ELSE lower(lang) END AS folder FROM (SELECT lang FROM documents UNION ALL SELECT * FROM (VALUES ('C++'), ('C#'), ('Go')) AS v(lang))")
+def _(spark, sf):
+    extra = spark.createDataFrame([("C++",), ("C#",), ("Go",)], "lang string")
+    return table(spark, sf, "documents").select("lang").union(extra).select(S.language_folder(F.col("lang")).alias("folder")).distinct()
+
+
+@query("language_counts", "SELECT lang AS language, count(*)::BIGINT AS n, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY lang")
+def _(spark, sf):
+    return S.renamed(table(spark, sf, "documents")).groupBy("language").agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"))
+
+
+@query("repo_split", "SELECT doc_id, split_part(text, chr(10), 1) AS repo, CASE WHEN strpos(text, chr(10)) = 0 THEN '' ELSE substr(text, strpos(text, chr(10)) + 1) END AS code FROM documents")
+def _(spark, sf):
+    repo, code = S.split_repo(F.col("text"))
+    return table(spark, sf, "documents").select("doc_id", repo.alias("repo"), code.alias("code"))
+
+
+@query("page_slice", "SELECT item_id, text FROM benchmark ORDER BY item_id LIMIT 10 OFFSET 5")
+def _(spark, sf):
+    return S.page(table(spark, sf, "benchmark"), "item_id", 5, 10)
+
+
+@query("point_lookup", "SELECT d.doc_id, d.lang, l.quality FROM documents d JOIN labels l USING (doc_id) WHERE d.doc_id = 7")
+def _(spark, sf):
+    return S.point_lookup(table(spark, sf, "documents"), "doc_id", 7).join(table(spark, sf, "labels"), "doc_id").select("doc_id", "lang", "quality")
+
+
+@query("list_ids", "SELECT item_id AS id, 'input' AS mode FROM benchmark UNION ALL SELECT item_id, 'output' FROM benchmark")
+def _(spark, sf):
+    ids = table(spark, sf, "benchmark").select(F.col("item_id").alias("id"))
+    return ids.withColumn("mode", F.lit("input")).unionByName(ids.withColumn("mode", F.lit("output")))
+
+
+@query("head_range", "SELECT doc_id, n_chars FROM documents ORDER BY doc_id LIMIT 100")
+def _(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", "n_chars").orderBy("doc_id").limit(100)
+
+
+@query("row_index", "SELECT doc_id, row_number() OVER (ORDER BY n_chars, doc_id) - 1 AS row_index FROM documents")
+def _(spark, sf):
+    return S.with_row_index(table(spark, sf, "documents").select("doc_id", "n_chars"), ["n_chars", "doc_id"]).select("doc_id", "row_index")
+
+
+@query("contiguous_shard", "SELECT doc_id, ((row_number() OVER (ORDER BY doc_id) - 1) * 8 // count(*) OVER ())::BIGINT AS shard FROM documents")
+def _(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id")
+    n = docs.count()
+    return S.with_row_index(docs, ["doc_id"]).select("doc_id", F.floor(F.col("row_index") * 8 / F.lit(n)).cast("long").alias("shard"))
+
+
+@query("hash_split", "SELECT doc_id, ('0x' || substr(md5(doc_id::VARCHAR || ':42'), 1, 8))::BIGINT < 3435973836 AS train FROM documents")
+def _(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", S.hash_split(F.col("doc_id"), 0.8).alias("train"))
+
+
+@query(
+    "seed_multisets",
+    "SELECT [a, b] AS members FROM (SELECT a.s AS a, b.s AS b FROM (VALUES ('x'), ('y'), ('z'), ('w')) AS a(s) JOIN (VALUES ('x'), ('y'), ('z'), ('w')) AS b(s) ON a.s <= b.s) ORDER BY md5(a || ',' || b || ':42'), a || ',' || b LIMIT 5",
+)
+def _(spark, sf):
+    return scores.seed_multisets(spark.createDataFrame([(x,) for x in "xyzw"], "s string"), "s", 2, 5)
+
+
+@query("union_two_modes", "SELECT item_id, 'input' AS mode, 'Predict the input: ' || text AS prompt FROM benchmark UNION ALL SELECT item_id, 'output', 'Predict the output: ' || text FROM benchmark")
+def _(spark, sf):
+    b = table(spark, sf, "benchmark")
+    parts = [b.select("item_id", F.lit(m).alias("mode"), T.template(F.lit(f"Predict the {m}: {{text}}"), {"text": F.col("text")}).alias("prompt")) for m in ("input", "output")]
+    return parts[0].unionByName(parts[1])
+
+
+@query("shard_union", "SELECT text AS code FROM documents WHERE lang IN ('en', 'de')")
+def _(spark, sf):
+    d = table(spark, sf, "documents")
+    en, de = (S.renamed(d.where(F.col("lang") == x)).select("code") for x in ("en", "de"))
+    return en.unionByName(de)
+
+
+@query("set_operations", "SELECT doc_id, 'both' AS side FROM (SELECT doc_id FROM documents INTERSECT SELECT doc_id FROM labels) UNION ALL SELECT doc_id, 'documents' FROM (SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels)")
+def _(spark, sf):
+    d, l = table(spark, sf, "documents").select("doc_id"), table(spark, sf, "labels").select("doc_id")
+    return d.join(l, "doc_id", "left_semi").distinct().withColumn("side", F.lit("both")).union(d.join(l, "doc_id", "left_anti").distinct().withColumn("side", F.lit("documents")))
+
+
+# --- text ----------------------------------------------------------------------------------------------------------
+@query("tail_lines", "SELECT doc_id, array_to_string(l[greatest(1, len(l) - 59):], chr(10)) AS tail FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)")
+def _(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", T.tail_lines(F.col("text")).alias("tail"))
+
+
+@query("truncate_32k", "SELECT doc_id, substr(text, 1, 32000) AS text FROM documents")
+def _(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.substring("text", 1, A.LIMIT).alias("text"))
+
+
+@query("middle_ellipsis", "SELECT doc_id, CASE WHEN length(text) > 1000 THEN left(text, 498) || '...' || right(text, 498) ELSE text END AS text FROM documents")
+def _(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", T.middle_ellipsis(F.col("text")).alias("text"))
+
+
+@query("token_counts", "SELECT doc_id, len(regexp_split_to_array(text, '[^A-Za-z_0-9]'))::BIGINT AS tokens, len(list_distinct(regexp_split_to_array(text, '[^A-Za-z_0-9]')))::BIGINT AS distinct_tokens FROM documents")
+def _(spark, sf):
+    w = T.tokens(F.col("text"))
+    return table(spark, sf, "documents").select("doc_id", F.size(w).cast("long").alias("tokens"), F.size(F.array_distinct(w)).cast("long").alias("distinct_tokens"))
+
+
+_GRAMS = "CASE WHEN len(w) < 5 THEN []::VARCHAR[] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END"
+
+
+@query("ngram_counts", f"SELECT doc_id, len({_GRAMS})::BIGINT AS grams FROM (SELECT doc_id, regexp_split_to_array(text, '[^A-Za-z_0-9]') AS w FROM documents)")
+def _(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.size(F.array_distinct(T.ngrams(T.tokens(F.col("text"))))).cast("long").alias("grams"))
+
+
+@query("md5_order", "SELECT item_id, md5(text) AS digest, row_number() OVER (ORDER BY md5(text), item_id) AS place FROM benchmark")
+def _(spark, sf):
+    b = table(spark, sf, "benchmark").select("item_id", F.md5(F.col("text").cast("binary")).alias("digest"))
+    return S.with_row_index(b, ["digest", "item_id"]).select("item_id", "digest", (F.col("row_index") + 1).alias("place"))
+
+
+@query("sha1_u32", "SELECT doc_id, ('0x' || substr(h, 7, 2) || substr(h, 5, 2) || substr(h, 3, 2) || substr(h, 1, 2))::BIGINT AS h FROM (SELECT doc_id, sha1(text) AS h FROM documents)")
+def _(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", T.sha1_u32(F.col("text")).alias("h"))
+
+
+@query("b64_roundtrip", "SELECT doc_id, to_base64(encode(text)) AS b64, text AS back FROM documents")
+def _(spark, sf):
+    b = F.translate(F.base64(F.encode("text", "utf-8")), "\r\n", "")
+    return table(spark, sf, "documents").select("doc_id", b.alias("b64"), F.decode(F.unbase64(b), "utf-8").alias("back"))
+
+
+@query("json_fields", "SELECT event_id, (props->>'k')::BIGINT AS k FROM events")
+def _(spark, sf):
+    return table(spark, sf, "events").select("event_id", F.from_json("props", "k long").getField("k").alias("k"))
+
+
+@query("line_metrics", "SELECT doc_id, len(l)::BIGINT AS loc, len(list_filter(l, lambda x: trim(x, ' ' || chr(9) || chr(13)) LIKE '#%'))::BIGINT AS cloc, len(list_filter(l, lambda x: trim(x, ' ' || chr(9) || chr(13)) = ''))::BIGINT AS bloc FROM (SELECT doc_id, CASE WHEN s[-1] = '' THEN s[:len(s) - 1] ELSE s END AS l FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents))")
+def _(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", T.line_metrics(F.col("text")).alias("m")).select("doc_id", "m.*")
+
+
+@query("word_count", r"SELECT doc_id, len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> ''))::BIGINT AS woc FROM documents")
+def _(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.size(T.whitespace_words(F.col("text"))).cast("long").alias("woc"))
+
+
+_MI = "(SELECT * FROM (VALUES (12.0, 6, 2), (0.0, 1, 1), (5.0, 3, 0), (100000.0, 400, 9000)) AS v(vol, cc, loc))"
+
+
+@query("maintainability", f"SELECT cc, loc, CASE WHEN loc = 0 THEN 100.0::DOUBLE ELSE round(greatest(0, (171 - 5.2 * ln(vol::DOUBLE + 1) - 0.23 * cc::DOUBLE - 16.2 * ln(loc::DOUBLE + 1)) * 100 / 171), 6)::DOUBLE END AS mi FROM {_MI}")
+def _(spark, sf):
+    v = spark.sql(f"SELECT * FROM {_MI}")
+    return v.select("cc", "loc", F.round(T.maintainability(F.col("vol").cast("double"), F.col("cc").cast("double"), F.col("loc").cast("double")), 6).alias("mi"))
+
+
+_ANSWERS = fixture(
+    """(1, 'say ```python~x = 1~``` and ```~y = 2~```'), (2, 'none here'), (3, 'open ```sql~select 1'), (4, '```bash~ls~```~then~```python~print(2)~```'),
+(5, 'a ```inline``` b'), (6, '```js~f()~```~```JavaScript~g()~```'), (7, '```python~def solution():~    return 3~```'), (8, '```python~import os~```~```python~def solution():~    return 4~```')""",
+    "id",
+    "t",
+)
+_FENCED = r"'(?s)```(?:\w+)?\n(.*?)```'"
+
+
+@query("extract_block", rf"SELECT id, CASE WHEN regexp_matches(t, {_FENCED}) THEN regexp_extract(t, {_FENCED}, 1) WHEN regexp_matches(t, '(?s)```(.*?)```') THEN regexp_extract(t, '(?s)```(.*?)```', 1) ELSE t END AS body, CASE WHEN regexp_matches(t, {_FENCED}) THEN regexp_extract(t, {_FENCED}, 0) WHEN regexp_matches(t, '(?s)```(.*?)```') THEN regexp_extract(t, '(?s)```(.*?)```', 0) ELSE t END AS fence FROM {_ANSWERS}")
+def _(spark, sf):
+    t = F.col("t")
+    return spark.sql(f"SELECT * FROM {_ANSWERS}").select("id", T.first_block(t).alias("body"), T.first_block(t, True).alias("fence"))
+
+
+@query("last_block", rf"SELECT id, coalesce(regexp_extract_all(t, '(?s)```(?:\w+\n)?(.*?)```', 1)[-1], t) AS body FROM {_ANSWERS}")
+def _(spark, sf):
+    return spark.sql(f"SELECT * FROM {_ANSWERS}").select("id", T.last_block(F.col("t")).alias("body"))
+
+
+_ALIAS_SQL = "CASE " + " ".join(f"WHEN n IN ({', '.join(repr(a) for a in names)}) THEN '{k}'" for k, names in T.ALIASES.items()) + " ELSE '' END"
+
+
+@query("fenced_blocks", rf"SELECT id, {_ALIAS_SQL} AS language, code FROM (SELECT id, trim(unnest(regexp_extract_all(t, '(?s)```([^\n]*)\n(.*?)\n\s*```', 1))) AS n, unnest(regexp_extract_all(t, '(?s)```([^\n]*)\n(.*?)\n\s*```', 2)) AS code FROM {_ANSWERS})")
+def _(spark, sf):
+    return spark.sql(f"SELECT * FROM {_ANSWERS}").select("id", F.explode(T.fenced_blocks(F.col("t"))).alias("b")).select("id", "b.language", "b.code")
+
+
+@query("default_extract")
+def _(spark, sf):
+    return spark.sql(f"SELECT * FROM {_ANSWERS}").select("id", T.best_block(F.col("t"), F.lit("python")).alias("code"))
+
+
+@query("solution_block", rf"SELECT id, coalesce(list_filter(regexp_extract_all(t, {_FENCED}, 1), lambda b: contains(b, 'def solution('))[1], t) AS code FROM {_ANSWERS}")
+def _(spark, sf):
+    return spark.sql(f"SELECT * FROM {_ANSWERS}").select("id", T.solution_block(F.col("t")).alias("code"))
+
+
+_CODES = fixture("""(1, 'x = 1~if __name__ == "__main__":~    main()'), (2, 'y = 2~# Example usage~print(y)'), (3, 'z = 3'), (4, 'import A~open B~theorem c~ import D'), (5, 'exit( 0 )'), (6, 'f()~[DONE]~g()~')""", "id", "t")
+
+
+@query("strip_entrypoint", f"SELECT id, trim(split_part(split_part(t, 'if __name__ == \"__main__\":', 1), '# Example usage', 1)) AS code FROM {_CODES}")
+def _(spark, sf):
+    return spark.sql(f"SELECT * FROM {_CODES}").select("id", T.without_entry_point(F.col("t"), "python").alias("code"))
+
+
+_TESTS = fixture("(1, 'f = 1', 'a~#<INSERT>~b'), (2, 'g = 2~if __name__ == 1: g()', 'assert g'), (3, 'h', '#<INSERT>')", "id", "t_code", "t_test")
+
+
+@query("append_test", f"SELECT id, CASE WHEN contains(t_test, '#<INSERT>') THEN replace(t_test, '#<INSERT>', t_code) ELSE split_part(t_code, 'if __name__ ==', 1) || chr(10) || t_test END AS program FROM {_TESTS}")
+def _(spark, sf):
+    return spark.sql(f"SELECT * FROM {_TESTS}").select("id", T.append_test(F.col("t_code"), F.col("t_test")).alias("program"))
+
+
+@query("mbpp_cut", f"SELECT id, split_part(t, '[DONE]', 1) AS code FROM {_CODES}")
+def _(spark, sf):
+    return spark.sql(f"SELECT * FROM {_CODES}").select("id", T.cut_at(F.col("t"), "[DONE]").alias("code"))
+
+
+@query("comment_lines", f"SELECT id, array_to_string(list_transform(string_split(t, chr(10)), lambda x: '# ' || x), chr(10)) AS code FROM {_CODES}")
+def _(spark, sf):
+    return spark.sql(f"SELECT * FROM {_CODES}").select("id", T.commented(F.col("t")).alias("code"))
+
+
+@query("lean_hoist", f"SELECT id, trim(array_to_string(list_concat(list_concat(list_filter(l, lambda x: ltrim(x) LIKE 'import %'), list_filter(l, lambda x: ltrim(x) LIKE 'open %')), list_filter(l, lambda x: NOT ltrim(x) LIKE 'import %' AND NOT ltrim(x) LIKE 'open %')), chr(10))) AS code FROM (SELECT id, string_split(t, chr(10)) AS l FROM {_CODES})")
+def _(spark, sf):
+    return spark.sql(f"SELECT * FROM {_CODES}").select("id", T.lean_hoisted(F.col("t")).alias("code"))
+
+
+@query("check_program", f"SELECT id, t || chr(10) || 'check(' || 'f' || ')' AS program FROM {_CODES}")
+def _(spark, sf):
+    return spark.sql(f"SELECT * FROM {_CODES}").select("id", T.check_program(F.col("t"), F.lit("f")).alias("program"))
+
+
+@query("php_tag", f"SELECT id, CASE WHEN starts_with(ltrim(t), '<?php') THEN t ELSE '<?php' || chr(10) || t END AS code FROM {_CODES}")
+def _(spark, sf):
+    return spark.sql(f"SELECT * FROM {_CODES}").select("id", T.php_tagged(F.col("t")).alias("code"))
+
+
+@query("antihack", rf"SELECT id, NOT regexp_matches(t, 'exit\(\s*0\s*\)') AS allowed FROM {_CODES}")
+def _(spark, sf):
+    return spark.sql(f"SELECT * FROM {_CODES}").select("id", T.allowed(F.col("t")).alias("allowed"))
+
+
+_OUTPUTS = fixture("(1, '1.0000001~YES', '1~yes'), (2, 'a~b', 'a~b~c'), (3, ' x ~', 'X'), (4, '1e3', '1000'), (5, '2', '3'), (6, '', ''), (7, '1_0', '10')", "id", "t_a", "t_b")
+_NUM = r"CASE WHEN regexp_matches({0}, '^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$') THEN trim({0})::DOUBLE END"
+
+
+@query("stdout_compare", rf"""SELECT id, len(a) = len(b) AND len(list_filter(range(1, len(a) + 1), lambda i: NOT (trim(a[i]) = trim(b[i]) OR coalesce(abs({_NUM.format('a[i]')} - {_NUM.format('b[i]')}) / greatest(abs({_NUM.format('b[i]')}), 1e-10) < 1e-5, false)))) = 0 AS same
+FROM (SELECT id, string_split(lower(regexp_replace(t_a, '^\s+|\s+$', '', 'g')), chr(10)) AS a, string_split(lower(regexp_replace(t_b, '^\s+|\s+$', '', 'g')), chr(10)) AS b FROM {_OUTPUTS})""")
+def _(spark, sf):
+    return spark.sql(f"SELECT * FROM {_OUTPUTS}").select("id", T.same_output(F.col("t_a"), F.col("t_b")).alias("same"))
+
+
+@query("float_close", f"SELECT id, coalesce(abs({_NUM.format('t_a')} - {_NUM.format('t_b')}) / greatest(abs({_NUM.format('t_b')}), 1e-10) < 1e-5, false) AS close FROM {_OUTPUTS}")
+def _(spark, sf):
+    return spark.sql(f"SELECT * FROM {_OUTPUTS}").select("id", T.close(F.col("t_a"), F.col("t_b")).alias("close"))
+
+
+@query("token_equal", r"SELECT a.item_id AS a, list_filter(regexp_split_to_array(a.text, '\s+'), lambda x: x <> '') = list_filter(regexp_split_to_array(replace(b.text, ' ', '  '), '\s+'), lambda x: x <> '') AS same FROM benchmark a JOIN benchmark b ON a.item_id = b.item_id")
+def _(spark, sf):
+    b = table(spark, sf, "benchmark")
+    wide = F.replace(F.col("text"), F.lit(" "), F.lit("  "))
+    return b.select(F.col("item_id").alias("a"), T.same_tokens(F.col("text"), wide).alias("same"))
+
+
+@query("answer_part", f"SELECT id, regexp_replace(CASE WHEN contains(c, '[ANSWER]') THEN string_split(c, '[ANSWER]')[-1] ELSE c END, '^\\s+|\\s+$', '', 'g') AS answer FROM (SELECT id, split_part(split_part(t, '# done', 1), '[/ANSWER]', 1) AS c FROM {fixture('(1, $$think [ANSWER] f(3) [/ANSWER] x$$), (2, $$7 # done$$), (3, $$8$$)'.replace('$$', chr(39)), 'id', 't')})")
+def _(spark, sf):
+    given = fixture("(1, 'think [ANSWER] f(3) [/ANSWER] x'), (2, '7 # done'), (3, '8')", "id", "t")
+    return spark.sql(f"SELECT * FROM {given}").select("id", judge.answer_part(F.col("t")).alias("answer"))
+
+
+# --- aggregates, prefixes, status -------------------------------------------------------------------------------------
+_TASKS = "(SELECT d.source AS task, d.lang AS cat, l.quality = 1 AS passed FROM documents d JOIN labels l USING (doc_id))"
+_PASS = "CASE WHEN n - c < k THEN 1.0 WHEN c = 0 THEN 0.0 ELSE 1 - list_reduce(list_transform(range(n - c + 1, n + 1), lambda i: 1 - k::DOUBLE / i), lambda a, b: a * b) END"
+
+
+def _tasks(spark, sf):
+    return table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id").select(F.col("source").alias("task"), F.col("lang").alias("cat"), (F.col("quality") == 1).alias("passed"))
+
+
+@query("pass_at_k", f"SELECT k, round(avg({_PASS}), 6) AS pass_at_k FROM (SELECT task, count(*) AS n, count(*) FILTER (passed) AS c FROM {_TASKS} GROUP BY task), (VALUES (1), (2), (5)) AS ks(k) WHERE n >= k GROUP BY k")
+def _(spark, sf):
+    return scores.pass_at_k(_tasks(spark, sf), [1, 2, 5]).withColumn("pass_at_k", F.round("pass_at_k", 6))
+
+
+@query("pass_at_k_by_category", f"SELECT cat, k, round(avg({_PASS}), 6) AS pass_at_k FROM (SELECT cat, task, count(*) AS n, count(*) FILTER (passed) AS c FROM {_TASKS} GROUP BY cat, task), (VALUES (1), (3)) AS ks(k) WHERE n >= k GROUP BY cat, k")
+def _(spark, sf):
+    return scores.pass_at_k(_tasks(spark, sf), [1, 3], by="cat").withColumn("pass_at_k", F.round("pass_at_k", 6))
+
+
+@query("best_at_k", "SELECT k, round(avg(best), 6) AS best_at_k FROM (SELECT k, conv_id, max(score) AS best FROM (SELECT conv_id, length(text)::DOUBLE AS score, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM conversations), (VALUES (1), (2), (4)) AS ks(k) WHERE r <= k GROUP BY k, conv_id) GROUP BY k")
+def _(spark, sf):
+    c = table(spark, sf, "conversations").withColumn("score", F.char_length("text").cast("double"))
+    return scores.best_at_k(c, [1, 2, 4], "conv_id", "turn", "score").withColumn("best_at_k", F.round("best_at_k", 6))
+
+
+_PRED = "(SELECT quality AS y, (doc_id % 7) * 0.25 AS p FROM labels)"
+
+
+def _predicted(spark, sf):
+    return table(spark, sf, "labels").select(F.col("quality").alias("y"), ((F.col("doc_id") % 7) * 0.25).cast("double").alias("p"))
+
+
+@query("regression_metrics", f"SELECT count(*)::BIGINT AS n, round(avg((p::DOUBLE - y) * (p::DOUBLE - y)), 6) AS mse, round(avg(CASE WHEN greatest(0, least(1, round_even(p::DOUBLE, 0))) = y THEN 1.0 ELSE 0.0 END), 6)::DOUBLE AS accuracy FROM {_PRED}")
+def _(spark, sf):
+    m = scores.regression_metrics(_predicted(spark, sf), "p", "y", 2)
+    return m.select("n", F.round("mse", 6).alias("mse"), F.round("accuracy", 6).alias("accuracy"))
+
+
+@query("confusion", "WITH c AS (SELECT quality AS label, toxic AS predicted, count(*) AS n FROM labels GROUP BY 1, 2), s AS (SELECT label AS x FROM c UNION SELECT predicted FROM c), e AS (SELECT a.x AS label, b.x AS predicted FROM s a, s b) SELECT e.label, e.predicted, coalesce(n, 0)::BIGINT AS n, round(coalesce(coalesce(n, 0) / nullif(sum(coalesce(n, 0)) OVER (PARTITION BY e.label), 0), 0), 6)::DOUBLE AS share FROM e LEFT JOIN c ON e.label = c.label AND e.predicted = c.predicted")
+def _(spark, sf):
+    return scores.confusion(table(spark, sf, "labels"), "quality", "toxic").withColumn("share", F.round("share", 6))
+
+
+@query("precision_recall", "WITH l AS (SELECT quality AS y, toxic AS p FROM labels) SELECT c.x AS class, round((count(*) FILTER (y = x AND p = x))::DOUBLE / nullif(count(*) FILTER (p = x), 0), 6) AS precision, round((count(*) FILTER (y = x AND p = x))::DOUBLE / nullif(count(*) FILTER (y = x), 0), 6) AS recall FROM l, (SELECT DISTINCT y AS x FROM l UNION SELECT DISTINCT p FROM l) c GROUP BY c.x")
+def _(spark, sf):
+    out = scores.precision_recall(table(spark, sf, "labels"), "quality", "toxic")
+    return out.select("class", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))
+
+
+@query("first_fail_prefix", "SELECT conv_id, turn FROM (SELECT conv_id, turn, coalesce(sum(CASE WHEN length(text) % 3 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS f FROM conversations) WHERE f = 0")
+def _(spark, sf):
+    c = table(spark, sf, "conversations").withColumn("ok", F.char_length("text") % 3 != 0)
+    return scores.until_first_failure(c, "conv_id", "turn", "ok").select("conv_id", "turn")
+
+
+@query("token_budget", "SELECT conv_id, turn, running::BIGINT AS running FROM (SELECT conv_id, turn, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS running FROM conversations) WHERE running <= 400")
+def _(spark, sf):
+    c = table(spark, sf, "conversations").withColumn("cost", F.char_length("text"))
+    return scores.within_budget(c, "conv_id", "turn", "cost", 400).select("conv_id", "turn", "running")
+
+
+@query("keep_first", "SELECT min(doc_id) AS doc_id FROM documents GROUP BY text")
+def _(spark, sf):
+    return table(spark, sf, "documents").groupBy("text").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+
+
+@query("every_passed", "SELECT conv_id AS id, bool_and(length(text) > 20) AS accepted FROM conversations GROUP BY conv_id")
+def _(spark, sf):
+    c = table(spark, sf, "conversations").select(F.col("conv_id").alias("id"), (F.char_length("text") > 20).alias("passed"))
+    return scores.accepted(c)
+
+
+@query("diff_ratio", "SELECT id, n AS abs_diff, CASE WHEN length(t) = 0 THEN NULL ELSE n::DOUBLE / length(t) END AS rel_diff FROM (VALUES (1, 4, 'abcdefgh'), (2, 2, ''), (3, 0, 'x')) AS v(id, n, t)")
+def _(spark, sf):
+    v = spark.sql("SELECT id, array_repeat('l', n) AS d, t FROM (VALUES (1, 4, 'abcdefgh'), (2, 2, ''), (3, 0, 'x')) AS v(id, n, t)")
+    a, r = formatting.diff_sizes(F.col("d"), F.col("t"))
+    return v.select("id", a.alias("abs_diff"), r.alias("rel_diff"))
+
+
+_RUNS = "(VALUES (1, 'Finished', 0, 'TimeLimitExceeded', NULL), (2, NULL, NULL, 'Error', NULL), (3, NULL, NULL, NULL, NULL), (4, 'Finished', 1, NULL, NULL), (5, 'Finished', 0, 'Finished', 0), (6, NULL, NULL, 'Finished', 3), (7, 'TimeLimitExceeded', NULL, NULL, NULL)) AS v(id, cs, cr, rs, rr)"
+_STATUS = "CASE WHEN cs = 'Error' OR rs = 'Error' THEN 'SandboxError' WHEN cs = 'TimeLimitExceeded' OR rs = 'TimeLimitExceeded' THEN 'Failed' WHEN cr <> 0 OR rr <> 0 THEN 'Failed' ELSE 'Success' END"
+
+
+def _runs(spark):
+    v = spark.sql(f"SELECT * FROM {_RUNS}")
+    side = lambda s, r: F.when(F.col(s).isNotNull(), F.struct(F.col(s).alias("status"), F.col(r).alias("return_code"), F.lit("").alias("stderr")))
+    return v.withColumn("c", side("cs", "cr")).withColumn("r", side("rs", "rr")).withColumn("status", scores.run_status(F.col("c"), F.col("r")))
+
+
+@query("run_status", f"SELECT id, {_STATUS} AS status FROM {_RUNS}")
+def _(spark, sf):
+    return _runs(spark).select("id", "status")
+
+
+@query("summary_status", f"SELECT id, CASE WHEN s <> 'Failed' THEN s WHEN cs = 'TimeLimitExceeded' THEN 'CompileTimeout' WHEN cs = 'Finished' AND cr <> 0 THEN 'CompileFailed' WHEN rs = 'TimeLimitExceeded' THEN 'RunTimeout' WHEN rs = 'Finished' AND rr <> 0 THEN 'RunFailed' ELSE 'Failed' END AS summary FROM (SELECT *, {_STATUS} AS s FROM {_RUNS})")
+def _(spark, sf):
+    return _runs(spark).select("id", scores.summary_status(F.col("status"), F.col("c"), F.col("r")).alias("summary"))
+
+
+_JEST = '{"testResults":[{"name":"s1","assertionResults":[{"ancestorTitles":["a","b"],"title":"t1","status":"passed","failureMessages":[]},{"ancestorTitles":[],"title":"t2","status":"failed","failureMessages":["x","y"]}]}]}'
+
+
+@query("jest_cases", f"SELECT c->>'title' AS title, array_to_string((c->'ancestorTitles')::VARCHAR[], ' > ') AS describe, c->>'status' = 'passed' AS passed, array_to_string((c->'failureMessages')::VARCHAR[], chr(10)) AS message FROM (SELECT unnest((x->'assertionResults')::JSON[]) AS c FROM (SELECT unnest(('{_JEST}'::JSON->'testResults')::JSON[]) AS x))")
+def _(spark, sf):
+    return scores.jest_cases(spark.createDataFrame([(_JEST,)], "report string"), "report").select("title", "describe", "passed", "message")
+
+
+@query("submission_lookup", "SELECT l.doc_id AS id, coalesce(b.text, '') AS problem, CASE WHEN b.item_id IS NULL THEN 'unknown problem' END AS error FROM labels l LEFT JOIN benchmark b ON l.doc_id = b.item_id")
+def _(spark, sf):
+    s = table(spark, sf, "labels").select(F.col("doc_id").alias("id"))
+    p = table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("problem"))
+    return judge.attach(s, p).select("id", F.coalesce("problem", F.lit("")).alias("problem"), "error")
+
+
+@query("grouping_sets", "SELECT lang, source, count(*)::BIGINT AS n, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY ROLLUP (lang, source)")
+def _(spark, sf):
+    return table(spark, sf, "documents").rollup("lang", "source").agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"))
+
+
+@query("rank_window", "SELECT doc_id, rank() OVER (PARTITION BY lang, source ORDER BY n_chars DESC)::INTEGER AS place, lag(doc_id) OVER (PARTITION BY lang, source ORDER BY n_chars DESC, doc_id) AS before FROM documents")
+def _(spark, sf):
+    by = Window.partitionBy("lang", "source")
+    return table(spark, sf, "documents").select("doc_id", F.rank().over(by.orderBy(F.desc("n_chars"))).alias("place"), F.lag("doc_id").over(by.orderBy(F.desc("n_chars"), "doc_id")).alias("before"))
+
+
+# --- near duplicates -----------------------------------------------------------------------------------------------
+P, B, R = 64, 8, 8
+_SIGS = f"""g AS (SELECT doc_id, {_GRAMS} AS grams FROM (SELECT doc_id, regexp_split_to_array(text, '[^A-Za-z_0-9]') AS w FROM documents)),
+h AS (SELECT doc_id, list_transform(grams, lambda x: ('0x' || substr(md5(x), 1, 8))::BIGINT) AS h FROM g),
+s AS (SELECT doc_id, list_transform(range(0, {P}), lambda i: coalesce(list_min(list_transform(h, lambda v: (v * ((i * 1103515245 + 12345) % 1073741789 + 1) + (i * 69069 + 1) % 1073741789) % 2147483647)), 4294967295)) AS sig FROM h),
+k AS (SELECT doc_id, b::INTEGER AS band, md5(array_to_string(sig[b * {R} + 1:b * {R} + {R}], ',')) AS bucket FROM s, unnest(range(0, {B})) AS t(b))"""
+_EDGES = "e AS (SELECT DISTINCT doc_id AS a, m AS b FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY band, bucket) AS m FROM k) WHERE doc_id <> m)"
+_ROOTS = "u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(n, x) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.n, u.b FROM r JOIN u ON r.x = u.a), c AS (SELECT n AS doc_id, min(x) AS cluster FROM r GROUP BY n)"
+
+
+def _banded(spark, sf):
+    return dedup.bands(table(spark, sf, "documents"), "doc_id", "text", P, B, R)
+
+
+@query("minhash_bands", f"WITH {_SIGS} SELECT * FROM k")
+def _(spark, sf):
+    return _banded(spark, sf)
+
+
+@query("lsh_buckets", f"WITH {_SIGS} SELECT band, bucket, count(*)::BIGINT AS n, min(doc_id) AS root FROM k GROUP BY band, bucket HAVING count(*) > 1")
+def _(spark, sf):
+    return _banded(spark, sf).groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("root")).where("n > 1")
+
+
+@query("lsh_edges", f"WITH {_SIGS}, {_EDGES} SELECT * FROM e")
+def _(spark, sf):
+    return dedup.star_edges(S.stored(_banded(spark, sf), "bands"), "doc_id")
+
+
+@query("dup_components", f"WITH RECURSIVE {_SIGS}, {_EDGES}, {_ROOTS} SELECT * FROM c")
+def _(spark, sf):
+    edges = dedup.star_edges(S.stored(_banded(spark, sf), "bands"), "doc_id")
+    roots = connected_components(edges, S.stored).withColumnRenamed("node", "doc_id")
+    return table(spark, sf, "documents").select("doc_id").join(roots, "doc_id", "left").select("doc_id", F.coalesce("root", "doc_id").alias("cluster"))
+
+
+@query("near_dedup", f"WITH RECURSIVE {_SIGS}, {_EDGES}, {_ROOTS} SELECT doc_id, text, lang, source, n_chars FROM documents JOIN c USING (doc_id) WHERE cluster = doc_id")
+def _(spark, sf):
+    return dedup.near_dedup(table(spark, sf, "documents"), num_perm=P, threshold=0.7)
+
+
+@query("exact_jaccard", f"WITH {_SIGS}, {_EDGES} SELECT e.a, e.b, round(coalesce(len(list_intersect(x.grams, y.grams))::DOUBLE / nullif(len(x.grams) + len(y.grams) - len(list_intersect(x.grams, y.grams)), 0), 0), 6) AS jaccard FROM e JOIN g x ON x.doc_id = e.a JOIN g y ON y.doc_id = e.b")
+def _(spark, sf):
+    edges = dedup.star_edges(S.stored(_banded(spark, sf), "bands"), "doc_id")
+    return dedup.exact_jaccard(table(spark, sf, "documents"), edges).withColumn("jaccard", F.round("jaccard", 6))
+
+
+# --- operators that SQL cannot express: golden and property tests are their real check ----------------------------------
+_SOURCES = fixture(
+    """(1, 'a = b = c = 5~for i in range(a):~    print(i)'), (2, 'if a < b < c:~    x = 1~else:~    x = 2'), (3, 'def add(a, b):~    return a + b~'),
+(4, 'for a, b in xs: print(a)'), (5, 'not python ('), (6, 'total = 0~for i in range(9):~    if i % 2:~        continue~    total += i~print(total)')""",
+    "id",
+    "t",
+)
+
+
+def _sources(spark):
+    return spark.sql(f"SELECT * FROM {_SOURCES}")
+
+
+def _rewrite(*names):
+    return lambda spark, sf: _sources(spark).select("id", rewrite.rewritten(F.col("t"), *names).alias("code"))
+
+
+for _name, _rewrites in {"rewrite_assign": ["assignment_unroll"], "rewrite_cond": ["condition_unroll"], "rewrite_for": ["for_to_while"], "rename_vars": ["randomize_var_names"], "rewrite_chain": ["assignment_unroll", "for_to_while"]}.items():
+    query(_name)(_rewrite(*_rewrites))
+
+
+@query("augment_records")
+def _(spark, sf):
+    rows = _sources(spark).select("id", F.struct(F.lit("rule").alias("style"), F.array("t").alias("ground_truth")).alias("reward_model"))
+    return rewrite.augment(rows, ["assignment_unroll", "for_to_while"])
+
+
+@query("code_metrics")
+def _(spark, sf):
+    m = _sources(spark).select("id", symbols.code_metrics(F.col("t")).alias("m"), T.line_metrics(F.col("t")).alias("l"))
+    mi = T.maintainability(F.col("m.halstead.volume"), F.col("m.cc").cast("double"), F.col("l.loc").cast("double"))
+    return m.select("id", "l.*", "m.*", mi.alias("mi"))
+
+
+@query("symbol_table")
+def _(spark, sf):
+    return _sources(spark).select("id", F.explode(symbols.symbol_table(F.col("t"))).alias("s")).select("id", "s.*")
+
+
+@query("mask_symbols")
+def _(spark, sf):
+    return _sources(spark).select("id", symbols.masked(F.col("t"), F.lit("a")).alias("code"))
+
+
+@query("format_corpus")
+def _(spark, sf):
+    return formatting.format_corpus(_sources(spark).select(F.concat(F.lit("repo\n"), F.col("t")).alias("code")))
+
+
+@query("transpile_status")
+def _(spark, sf):
+    return formatting.transpile(_sources(spark), "python", "go", "t")
+
+
+@query("translate_status")
+def _(spark, sf):
+    return formatting.translate(_sources(spark), "python", "t")
+
+
+@query("unified_diff")
+def _(spark, sf):
+    return _sources(spark).select("id", formatting.unified_diff(F.col("t"), rewrite.rewritten(F.col("t"), "assignment_unroll")).alias("diff"))
+
+
+@query("freeform_extract")
+def _(spark, sf):
+    v1, v2 = (extraction.freeform(F.col("t"), "python", v).alias(f"v{v}") for v in (1, 2))
+    return spark.sql(f"SELECT * FROM {_ANSWERS}").select("id", v1, v2)
+
+
+@query("run_programs")
+def _(spark, sf):
+    jobs_ = spark.createDataFrame([("a", "print(input())", "python", "7"), ("b", "echo $((2+3))", "bash", None), ("c", "select 1", "sql", None), ("d", "raise SystemExit(3)", "python", None)], "id string, code string, language string, stdin string")
+    return judge.run_code(jobs_).select("id", "status", "message", F.trim("run_result.stdout").alias("stdout"), "run_result.return_code")
+
+
+@query("run_notebook")
+def _(spark, sf):
+    return judge.run_cells(spark.createDataFrame([("n", ["x = 2", "x * 21", "1 / 0"])], "id string, cells array<string>")).select("id", "status", F.expr("transform(results, r -> r.display)").alias("shown"), F.expr("transform(results, r -> r.error is not null)").alias("failed"))
+
+
+@query("judge_stdio")
+def _(spark, sf):
+    cases = "array<struct<input:string,output:string>>"
+    rows = [(1, "```python\nprint(int(input()) * 2)\n```", [("2", "4"), ("5", "10")]), (2, "```python\nprint(input())\n```", [("2", "4"), ("5", "5")])]
+    return judge.judge_stdio(spark.createDataFrame(rows, f"id int, completion string, test {cases}"), "python")
+
+
+@query("judge_contest")
+def _(spark, sf):
+    cases = "array<struct<input:string,output:string>>"
+    rows = [(1, "```python\nclass Solution:\n    def twice(self, x):\n        return 2 * x\n```", [("2", "4")]), (2, "```python\ndef twice(x):\n    return x\n```", [("2", "4")])]
+    return judge.judge_contest(spark.createDataFrame(rows, f"id int, completion string, test {cases}"), fn_name="twice")
+
+
+@query("judge_asserts")
+def _(spark, sf):
+    rows = [(1, "def f(x):\n    return x + 1", ["assert f(1) == 2"]), (2, "def f(x):\n    return x", ["assert f(1) == 2"])]
+    df = spark.createDataFrame(rows, "id int, code string, tests array<string>")
+    return judge.judge_programs(df, judge.assert_program(F.lit(""), F.col("code"), F.col("tests")), "python").select("id", "accepted")
+
+
+@query("judge_predictions")
+def _(spark, sf):
+    rows = [(1, "def f(x):\n    return x * 2", "3", "6", "[ANSWER]6[/ANSWER]"), (2, "def f(x):\n    return x * 2", "3", "6", "7")]
+    df = spark.createDataFrame(rows, "id int, code string, given string, expected string, completion string")
+    program = judge.prediction_program(F.col("code"), F.col("given"), F.col("expected"), judge.answer_part(F.col("completion")), "output")
+    return judge.judge_programs(df, program, "python").select("id", "accepted")
+
+
+@query("next_line")
+def _(spark, sf):
+    df = spark.createDataFrame([(1, "# c\n\nx  =  1\ny", "x = 1"), (2, '"""doc"""\nz', "z"), (3, "a = 2", "a = 3")], "id int, completion string, expected string")
+    return df.select("id", judge.next_line_verdict(F.col("completion"), F.col("expected")).alias("accepted"))
+
+
+@query("retrieval_prompt")
+def _(spark, sf):
+    return judge.retrieval_prompt(table(spark, sf, "conversations"), "conv_id", "turn", "text", 200)
+
+
+@query("run_tests")
+def _(spark, sf):
+    rows = [(1, "def f(x):\n    return x + 1\n", "from file import f\ndef test_f():\n    assert f(1) == 2\n"), (2, "def f(x):\n    return x\n", "from file import f\ndef test_f():\n    assert f(1) == 2\n")]
+    return judge.run_tests(spark.createDataFrame(rows, "id int, code string, tests string")).select("id", "coverage", "exit_code")
+
+
+@query("annotate_stub", "SELECT doc_id, (('0x' || substr(md5('Rate the quality of this code from 0 to 9. Answer with one digit.' || chr(10) || substr(text, 1, 32000)), 1, 8))::BIGINT % 10)::VARCHAR AS score FROM documents")
+def _(spark, sf):
+    return A.annotate(table(spark, sf, "documents"), "quality", "text").select("doc_id", "score")
+
+
+@query("synthesize")
+def _(spark, sf):
+    return A.synthesize(table(spark, sf, "benchmark").select(F.col("text").alias("seed")), "similar", n=2)
+
 
-def queries() -> dict:
-    return {}
+@query("embedding_regressor")
+def _(spark, sf):
+    e = table(spark, sf, "embeddings")
+    _, predict = A.fit_regressor(e, "embedding", "label")
+    return predict(e).select("vec_id", F.round("predicted", 4).alias("predicted"))
 
 
-def oracle_sql() -> dict:
-    return {}
+@query("event_windows", "SELECT date_trunc('day', ts) AS start, event_type, count(*)::BIGINT AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def _(spark, sf):
+    w = jobs.event_windows(table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp")))
+    return w.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
