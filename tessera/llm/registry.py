@@ -13,6 +13,7 @@ MODULES = (
     "langid",
     "mixing",
     "toxicity",
+    "lm",
     "jaccard",
 )
 
