@@ -9,6 +9,7 @@ import corpus_pipeline
 MODULES = (
     "decontaminate",
     "pii",
+    "suffix_dedup",
     "quality",
     "langid",
     "mixing",
