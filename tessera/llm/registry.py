@@ -11,6 +11,7 @@ MODULES = (
     "pii",
     "suffix_dedup",
     "quality",
+    "audio",
     "langid",
     "mixing",
     "toxicity",
