@@ -11,7 +11,9 @@ the same place. Each elected position comes with the stretch of windows that ele
 Spark sorts (rank, stretch, document): where the whole stretch is also in a document with a smaller id, all its windows
 are repeats. Where one rank has several different stretches, only some of their windows may repeat: those stretches
 (those of the smallest document that has each) go to round two, which sorts their windows by the rank pair
-(rank here, rank HALF bytes on). A rank that only one stretch has is unique and drops out. Before the sort, every task
+(rank here, rank HALF bytes on). A rank that only one stretch has is unique and drops out; so do stretches that share a
+rank with others but neither the ``SIDE`` bytes before it nor those after it, as a common window has one or the other.
+Before the sort, every task
 settles repeats among its own documents and passes on one row a stretch, so a passage that a third of all documents
 share becomes a few rows a task; equal texts are settled first: all but the first of them is a repeat from end to end.
 
@@ -33,6 +35,8 @@ from tessera.llm.common import documents, release, stored
 NAME = "op3_suffix_dedup"
 HALF = 25
 LENGTH = 2 * HALF
+SIDE = (LENGTH - HALF + 1) // 2
+HELD = 50_000  # rows of one rank that a task looks through for common sides; a larger group goes on whole
 CHUNK = 4 << 20
 LAST = (1 << 63) - 1  # stands for a null doc_id: after all others
 
@@ -75,17 +79,26 @@ def elected(rank: np.ndarray, at: np.ndarray):
     return doc[new], window[new], count, place[new]
 
 
-_ROW = "rank long, stretch long, doc long, start long, windows int, text_id long, covered boolean"
+_ROW = "rank long, stretch int, doc long, start long, meta long, covered boolean"
+_OUT = "doc long, start long, windows int, tid int, covered boolean"
+_NONE = 0xFFFF  # a side that has too few bytes in its document
 
 
 def _batch(columns) -> pa.RecordBatch:
-    types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.bool_())
-    names = [x.split()[0] for x in _ROW.split(", ")]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
+    types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[x.split()[0] for x in _ROW.split(", ")])
+
+
+def _settled_batch(columns, covered: bool) -> pa.RecordBatch:
+    _, _, doc, start, meta = columns[:5]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(doc), pa.array(start), pa.array((meta & 63).astype(np.int32)), pa.array((meta >> 6 & 0xFFFF).astype(np.int32)), pa.array(np.full(len(doc), covered))], names=[x.split()[0] for x in _OUT.split(", ")]
+    )
 
 
 def _stretches(texts: DataFrame) -> DataFrame:
-    """Round one's rows: what is settled within a chunk (covered), and one row a stretch of each chunk."""
+    """Round one's rows: what is settled within a chunk (covered), and one row a stretch of each chunk. meta packs the
+    number of windows, 16 bits of the text's id, and 16 bits of the bytes before and after the rank's."""
 
     def run(batches):
         for rows, raw, at in bytekit.chunks(batches, limit=CHUNK):
@@ -93,37 +106,65 @@ def _stretches(texts: DataFrame) -> DataFrame:
             d, first, count, place = elected(rank, at)
             if not len(d):
                 continue
-            ids = rows.column("doc").to_numpy()
-            text = rows.column("text_id").to_numpy()
-            r, s = rank[place].view(np.int64), spans(first, first + count - 1 + LENGTH).view(np.int64)
-            order = np.lexsort((ids[d], s, r))
-            r, s, d, first, count = r[order], s[order], d[order], first[order], count[order]
+            ids = rows.column("doc").to_numpy()[d]
+            tid = rows.column("tid").to_numpy()[d].astype(np.int64)
+            left, right = place - SIDE, place + HALF + SIDE
+            sides = []
+            for ok, a, b in ((left >= at[d], np.maximum(left, 0), place), (right <= at[d + 1], place + HALF, np.minimum(right, len(raw)))):
+                h = (spans(a, np.maximum(a, b)) >> np.uint64(49)).astype(np.int64)
+                sides.append(np.where(ok, h, _NONE))
+            meta = count | tid << 6 | sides[0] << 22 | sides[1] << 38
+            r = rank[place].view(np.int64)
+            s = (spans(first, first + count - 1 + LENGTH) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+            order = np.lexsort((ids, s, r))
+            columns = [c[order] for c in (r, s, ids, first - at[d], meta)]
+            r, s, ids = columns[:3]
             head = np.concatenate([[True], (r[1:] != r[:-1]) | (s[1:] != s[:-1])])
-            least = ids[d][np.flatnonzero(head)][np.cumsum(head) - 1]
-            again = ids[d] > least
-            # a stretch with the least id of its kind stays a row; so do rows that share that id, settled like it later
-            yield _batch([r[~again], s[~again], ids[d][~again], (first - at[d])[~again], count[~again], text[d][~again], np.zeros((~again).sum(), bool)])
+            again = ids > ids[np.flatnonzero(head)][np.cumsum(head) - 1]
+            # rows of a stretch's least document go on
+            yield _batch([*(c[~again] for c in columns), np.zeros((~again).sum(), bool)])
             if again.any():
-                yield _batch([r[again] * 0, s[again] * 0, ids[d][again], (first - at[d])[again], count[again], text[d][again], np.ones(again.sum(), bool)])
+                done = [c[again] for c in columns]
+                yield _batch([done[0] * 0, done[1] * 0, *done[2:4], done[4] & ((1 << 22) - 1), np.ones(again.sum(), bool)])
 
-    return texts.select("doc", "text_id", "text").mapInArrow(run, _ROW)
+    return texts.select("doc", "tid", "text").mapInArrow(run, _ROW)
 
 
+def _alike(columns) -> np.ndarray:
+    """Which of the open rows share their rank and one of its sides with another row."""
+    rank, meta = columns[0], columns[4]
+    out = np.zeros(len(rank), bool)
+    for shift in (22, 38):
+        side = meta >> shift & 0xFFFF
+        order = np.lexsort((side, rank))
+        same = (rank[order][1:] == rank[order][:-1]) & (side[order][1:] == side[order][:-1]) & (side[order][1:] != _NONE)
+        out[order[1:][same]] = True
+        out[order[:-1][same]] = True
+    return out
 
 
 def _settled(sorted_rows: DataFrame) -> DataFrame:
     """Sorted by (rank, stretch, doc): covered rows, and open ones whose rank has several stretches (those of each
-    stretch's least document). State between batches: the last row, and the open rows of a rank with one stretch so far."""
+    stretch's least document). State between batches: the last row, and the open rows of the current rank."""
 
     def run(batches):
         rank_now = stretch_now = least_now = None
-        waiting, several_now = [], False  # open rows of the current rank, while it has one stretch
+        held, several_now, whole = [], False, False  # open rows of the current rank; whether it has several stretches
+
+        def given(columns, all_of_them):
+            keep = np.ones(len(columns[0]), bool) if all_of_them else _alike(columns)
+            if keep.any():
+                yield _settled_batch([c[keep] for c in columns], False)
+
+        def joined(parts):
+            return [np.concatenate(x) for x in zip(*parts, strict=True)]
+
         for batch in batches:
-            columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(7)]
-            done = columns[6].astype(bool)
+            columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(6)]
+            done = columns[5].astype(bool)
             if done.any():
-                yield _batch([c[done] for c in columns])
-            columns = [c[~done] for c in columns]
+                yield _settled_batch([c[done] for c in columns], True)
+            columns = [c[~done] for c in columns[:5]]
             r, s, d = columns[:3]
             if not len(r):
                 continue
@@ -134,29 +175,31 @@ def _settled(sorted_rows: DataFrame) -> DataFrame:
             least = np.concatenate([[d[0] if least_now is None else least_now], d[new_stretch]])[group]
             covered = d > least
             if covered.any():
-                yield _batch([*(c[covered] for c in columns[:6]), np.ones(covered.sum(), bool)])
+                yield _settled_batch([c[covered] for c in columns], True)
             of_rank = np.cumsum(new_rank)
-            stretches = np.bincount(of_rank[new_stretch], minlength=of_rank[-1] + 1)
-            several = stretches > 1
-            several[0] = several_now or (bool(waiting) and stretches[0] > 0) or stretches[0] > 1
-            if several[0] and waiting:
-                for w in waiting:
-                    yield _batch(w)
-                waiting = []
-            opened = ~covered & several[of_rank]
-            if opened.any():
-                yield _batch([c[opened] for c in columns])
             last = of_rank[-1]
+            stretches = np.bincount(of_rank[new_stretch], minlength=last + 1)
+            several = stretches > 1
+            several[0] = several_now or (rank_now is not None and stretches[0] > 0) or stretches[0] > 1
+            mine = of_rank == 0
+            if mine.any():
+                held.append([c[mine & ~covered] for c in columns])
             if last > 0:
-                waiting = []
+                if several[0] and held:
+                    yield from given(joined(held), whole)
+                middle = ~covered & ~mine & several[of_rank] & (of_rank < last)
+                if middle.any():
+                    yield from given([c[middle] for c in columns], False)
+                held, whole = [[c[~covered & (of_rank == last)] for c in columns]], False
             several_now = bool(several[last])
-            if not several_now:
-                keep = ~covered & (of_rank == last)
-                if keep.any():
-                    waiting.append([c[keep] for c in columns])
+            if several_now and sum(len(x[0]) for x in held) > HELD:
+                yield from given(joined(held), True)
+                held, whole = [], True
             rank_now, stretch_now, least_now = r[-1], s[-1], least[-1]
+        if several_now and held:
+            yield from given(joined(held), whole)
 
-    return sorted_rows.mapInArrow(run, _ROW)
+    return sorted_rows.mapInArrow(run, _OUT)
 
 
 def _windows(texts: DataFrame) -> DataFrame:
@@ -165,18 +208,20 @@ def _windows(texts: DataFrame) -> DataFrame:
     def run(batches):
         for rows, raw, at in bytekit.chunks(batches, limit=CHUNK):
             _, rank = ranks(raw)
-            doc, text = rows.column("doc").to_numpy(), rows.column("text_id").to_numpy()
+            doc, tid = rows.column("doc").to_numpy(), rows.column("tid").to_numpy()
             open_ = rows.column("open")
             cut = open_.offsets.to_numpy() - open_.offsets.to_numpy()[0]
             flat = open_.flatten()
             of = np.repeat(np.arange(len(doc)), np.diff(cut))
             start, count = (flat.field(f).to_numpy(zero_copy_only=False).astype(np.int64) for f in ("start", "windows"))
+            fits = start + count - 1 + LENGTH <= np.diff(at)[of]  # rows that share a doc_id may share a tid as well
+            of, start, count = of[fits], start[fits], count[fits]
             begin = np.repeat(at[of] + start, count)
             step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
             p, d = begin + step, np.repeat(of, count)
-            yield pa.RecordBatch.from_arrays([pa.array(rank[p].view(np.int64)), pa.array(rank[p + HALF].view(np.int64)), pa.array(doc[d]), pa.array(p - at[d]), pa.array(text[d])], names=["a", "b", "doc", "start", "text_id"])
+            yield pa.RecordBatch.from_arrays([pa.array(rank[p].view(np.int64)), pa.array(rank[p + HALF].view(np.int64)), pa.array(doc[d]), pa.array(p - at[d]), pa.array(tid[d])], names=["a", "b", "doc", "start", "tid"])
 
-    return texts.mapInArrow(run, "a long, b long, doc long, start long, text_id long")
+    return texts.mapInArrow(run, "a long, b long, doc long, start long, tid int")
 
 
 def _kept(texts: DataFrame, half_open: str) -> DataFrame:
@@ -193,6 +238,7 @@ def _kept(texts: DataFrame, half_open: str) -> DataFrame:
                 elif spans:
                     s = np.array([x["start"] for x in spans])
                     w = np.array([x["windows"] for x in spans])
+                    s, w = s[s + w - 1 + LENGTH <= n], w[s + w - 1 + LENGTH <= n]
                     np.add.at(gone, s, 1)
                     np.add.at(gone, s + w - 1 + LENGTH, -1)
                 removed = np.cumsum(gone)[:n] > 0
@@ -209,29 +255,29 @@ def dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept (the remaining bytes) of every document."""
     spark = docs.sparkSession
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    given = given.withColumn("doc", F.coalesce("doc_id", F.lit(LAST))).withColumn("text_id", F.xxhash64("text"))
+    # tid tells apart the texts of rows that share a doc_id
+    given = given.withColumn("doc", F.coalesce("doc_id", F.lit(LAST))).withColumn("hash", F.xxhash64("text")).withColumn("tid", (F.col("hash").bitwiseAND(0xFFFF)).cast("int"))
     # equal texts: the first is looked at, the others are repeats of it from end to end
-    ids = stored(given.select("doc", "text_id"), "suffix-ids")
-    first = ids.groupBy("text_id").agg(F.min("doc").alias("first"))
-    repeats = stored(ids.join(first, "text_id").where(F.col("doc") > F.col("first")).select("doc", "text_id").distinct(), "suffix-repeats")
+    ids = stored(given.select("doc", "tid", "hash"), "suffix-ids")
+    first = ids.groupBy("hash").agg(F.min("doc").alias("first"))
+    repeats = stored(ids.join(first, "hash").where(F.col("doc") > F.col("first")).select("doc", "tid").distinct(), "suffix-repeats")
     n = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = _stretches(given)
     # settled rows go where their document sends them, the others to their rank
     rows = rows.repartition(n, F.when(F.col("covered"), F.xxhash64("doc", "start")).otherwise(F.col("rank"))).sortWithinPartitions("rank", "stretch", "doc")
     settled = stored(_settled(rows), "suffix-settled")
     release(spark)
-    open_rows = settled.where(~F.col("covered")).join(repeats, ["doc", "text_id"], "left_anti")
-    opened = open_rows.groupBy("doc", "text_id").agg(F.collect_set(F.struct("start", "windows")).alias("open"))
-    texts = given.join(opened, ["doc", "text_id"]).dropDuplicates(["doc", "text_id"])
-    pairs = stored(_windows(texts.select("doc", "text_id", "text", "open")), "suffix-pairs")
+    open_rows = settled.where(~F.col("covered")).join(repeats, ["doc", "tid"], "left_anti")
+    opened = open_rows.groupBy("doc", "tid").agg(F.collect_set(F.struct("start", "windows")).alias("open"))
+    texts = given.join(opened, ["doc", "tid"]).dropDuplicates(["doc", "hash"])
+    pairs = stored(_windows(texts.select("doc", "tid", "text", "open")), "suffix-pairs")
     release(spark)
     least = pairs.groupBy("a", "b").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where(F.col("first") < F.col("last")).select("a", "b", "first")
-    second = pairs.join(least, ["a", "b"]).where(F.col("doc") > F.col("first")).select("doc", "text_id", "start", F.lit(1).alias("windows"))
-    spans = settled.where("covered").select("doc", "text_id", "start", "windows").unionByName(second)
-    spans = spans.groupBy("doc", "text_id").agg(F.collect_set(F.struct("start", "windows")).alias("spans"))
-    marks = repeats.withColumn("whole", F.lit(True)).join(spans, ["doc", "text_id"], "full")
-    marks = stored(marks, "suffix-marks")
-    marked = given.join(marks, ["doc", "text_id"], "left").withColumn("whole", F.coalesce("whole", F.lit(False)))
+    second = pairs.join(least, ["a", "b"]).where(F.col("doc") > F.col("first")).select("doc", "tid", "start", F.lit(1).alias("windows"))
+    spans = settled.where("covered").select("doc", "tid", "start", "windows").unionByName(second)
+    spans = spans.groupBy("doc", "tid").agg(F.collect_set(F.struct("start", "windows")).alias("spans"))
+    marks = stored(repeats.withColumn("whole", F.lit(True)).join(spans, ["doc", "tid"], "full"), "suffix-marks")
+    marked = given.join(marks, ["doc", "tid"], "left").withColumn("whole", F.coalesce("whole", F.lit(False)))
     return _kept(marked.select("doc_id", "text", "whole", "spans"), "spans")
 
 
