@@ -15,7 +15,8 @@ are repeats. Where one rank has several different stretches, only some of their
 rank with others but neither the ``SIDE`` bytes before it nor those after it, as a common window has one or the other.
 Before the sort, every task
 settles repeats among its own documents and passes on one row a stretch, so a passage that a third of all documents
-share becomes a few rows a task; equal texts are settled first: all but the first of them is a repeat from end to end.
+share becomes a few rows a task; a stretch that comes again within a document is an alias of its first place there and
+shares its fate; round one takes the ranks in ``PASSES`` parts, by hash, so that its shuffle holds one part at a time; equal texts are settled first: all but the first of them is a repeat from end to end.
 
 Defined results: a null text is empty; texts shorter than LENGTH keep everything; only a smaller doc_id counts, so rows
 that share a doc_id don't remove from each other; a null doc_id is smaller than none and removes nothing, and loses
@@ -35,6 +36,7 @@ from tessera.llm.common import documents, release, stored
 NAME = "op3_suffix_dedup"
 HALF = 25
 LENGTH = 2 * HALF
+PASSES = 2
 SIDE = (LENGTH - HALF + 1) // 2
 HELD = 50_000  # rows of one rank that a task looks through for common sides; a larger group goes on whole
 CHUNK = 4 << 20
@@ -79,31 +81,35 @@ def elected(rank: np.ndarray, at: np.ndarray):
     return doc[new], window[new], count, place[new]
 
 
-_ROW = "rank long, stretch int, doc long, start long, meta long, covered boolean"
-_OUT = "doc long, start long, windows int, tid int, covered boolean"
+_ROW = "rank long, stretch int, doc long, start long, meta long, kind int"
+_OUT = "doc long, start long, windows int, tid int, kind int, head long"
+LIVE, COVERED, ALIAS = 0, 1, 2
 _NONE = 0xFFFF  # a side that has too few bytes in its document
 
 
 def _batch(columns) -> pa.RecordBatch:
-    types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_())
+    types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32())
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[x.split()[0] for x in _ROW.split(", ")])
 
 
-def _settled_batch(columns, covered: bool) -> pa.RecordBatch:
-    _, _, doc, start, meta = columns[:5]
+def _settled_batch(columns, kind: int) -> pa.RecordBatch:
+    rank, _, doc, start, meta = columns[:5]
     return pa.RecordBatch.from_arrays(
-        [pa.array(doc), pa.array(start), pa.array((meta & 63).astype(np.int32)), pa.array((meta >> 6 & 0xFFFF).astype(np.int32)), pa.array(np.full(len(doc), covered))], names=[x.split()[0] for x in _OUT.split(", ")]
+        [pa.array(doc), pa.array(start), pa.array((meta & 63).astype(np.int32)), pa.array((meta >> 6 & 0xFFFF).astype(np.int32)), pa.array(np.full(len(doc), kind, np.int32)), pa.array(rank if kind == ALIAS else rank * 0)], names=[x.split()[0] for x in _OUT.split(", ")]
     )
 
 
-def _stretches(texts: DataFrame) -> DataFrame:
-    """Round one's rows: what is settled within a chunk (covered), and one row a stretch of each chunk. meta packs the
+def _stretches(texts: DataFrame, part: int) -> DataFrame:
+    """Round one's rows of one part of the ranks: what is settled within a chunk (covered), aliases (their rank is the
+    head's start), and one live row a stretch of each chunk. meta packs the
     number of windows, 16 bits of the text's id, and 16 bits of the bytes before and after the rank's."""
 
     def run(batches):
         for rows, raw, at in bytekit.chunks(batches, limit=CHUNK):
             spans, rank = ranks(raw)
             d, first, count, place = elected(rank, at)
+            own = (rank[place] >> np.uint64(5)) % np.uint64(PASSES) == part
+            d, first, count, place = d[own], first[own], count[own], place[own]
             if not len(d):
                 continue
             ids = rows.column("doc").to_numpy()[d]
@@ -116,16 +122,20 @@ def _stretches(texts: DataFrame) -> DataFrame:
             meta = count | tid << 6 | sides[0] << 22 | sides[1] << 38
             r = rank[place].view(np.int64)
             s = (spans(first, first + count - 1 + LENGTH) >> np.uint64(32)).astype(np.uint32).view(np.int32)
-            order = np.lexsort((ids, s, r))
+            order = np.lexsort((first, d, ids, s, r))
             columns = [c[order] for c in (r, s, ids, first - at[d], meta)]
-            r, s, ids = columns[:3]
+            r, s, ids, start, meta = columns
+            d = d[order]
             head = np.concatenate([[True], (r[1:] != r[:-1]) | (s[1:] != s[:-1])])
             again = ids > ids[np.flatnonzero(head)][np.cumsum(head) - 1]
-            # rows of a stretch's least document go on
-            yield _batch([*(c[~again] for c in columns), np.zeros((~again).sum(), bool)])
-            if again.any():
-                done = [c[again] for c in columns]
-                yield _batch([done[0] * 0, done[1] * 0, *done[2:4], done[4] & ((1 << 22) - 1), np.ones(again.sum(), bool)])
+            first_here = head | np.concatenate([[True], d[1:] != d[:-1]])
+            alias = ~again & ~first_here
+            live = ~again & first_here
+            yield _batch([*(c[live] for c in columns), np.full(live.sum(), LIVE)])
+            short = meta & ((1 << 22) - 1)
+            for kind, which, key in ((COVERED, again, r * 0), (ALIAS, alias, start[np.flatnonzero(first_here)][np.cumsum(first_here) - 1])):
+                if which.any():
+                    yield _batch([key[which], s[which] * 0, ids[which], start[which], short[which], np.full(which.sum(), kind)])
 
     return texts.select("doc", "tid", "text").mapInArrow(run, _ROW)
 
@@ -154,17 +164,18 @@ def _settled(sorted_rows: DataFrame) -> DataFrame:
         def given(columns, all_of_them):
             keep = np.ones(len(columns[0]), bool) if all_of_them else _alike(columns)
             if keep.any():
-                yield _settled_batch([c[keep] for c in columns], False)
+                yield _settled_batch([c[keep] for c in columns], LIVE)
 
         def joined(parts):
             return [np.concatenate(x) for x in zip(*parts, strict=True)]
 
         for batch in batches:
             columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(6)]
-            done = columns[5].astype(bool)
-            if done.any():
-                yield _settled_batch([c[done] for c in columns], True)
-            columns = [c[~done] for c in columns[:5]]
+            kind = columns[5]
+            for k in (COVERED, ALIAS):
+                if (kind == k).any():
+                    yield _settled_batch([c[kind == k] for c in columns], k)
+            columns = [c[kind == LIVE] for c in columns[:5]]
             r, s, d = columns[:3]
             if not len(r):
                 continue
@@ -175,7 +186,7 @@ def _settled(sorted_rows: DataFrame) -> DataFrame:
             least = np.concatenate([[d[0] if least_now is None else least_now], d[new_stretch]])[group]
             covered = d > least
             if covered.any():
-                yield _settled_batch([c[covered] for c in columns], True)
+                yield _settled_batch([c[covered] for c in columns], COVERED)
             of_rank = np.cumsum(new_rank)
             last = of_rank[-1]
             stretches = np.bincount(of_rank[new_stretch], minlength=last + 1)
@@ -224,6 +235,11 @@ def _windows(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "a long, b long, doc long, start long, tid int")
 
 
+def _each(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each stretch."""
+    return np.repeat(start, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+
+
 def _kept(texts: DataFrame, half_open: str) -> DataFrame:
     def run(batches):
         for rows, raw, at in bytekit.chunks(batches, limit=CHUNK):
@@ -236,11 +252,18 @@ def _kept(texts: DataFrame, half_open: str) -> DataFrame:
                     gone[0] += 1
                     gone[n] -= 1
                 elif spans:
-                    s = np.array([x["start"] for x in spans])
-                    w = np.array([x["windows"] for x in spans])
-                    s, w = s[s + w - 1 + LENGTH <= n], w[s + w - 1 + LENGTH <= n]
-                    np.add.at(gone, s, 1)
-                    np.add.at(gone, s + w - 1 + LENGTH, -1)
+                    s, w, h = (np.array([x[f] for x in spans], np.int64) for f in ("start", "windows", "head"))
+                    fits = s + w - 1 + LENGTH <= n
+                    s, w, h = s[fits], w[fits], h[fits]
+                    hit = np.zeros(n, bool)  # windows by their start
+                    direct = h < 0
+                    hit[_each(s[direct], w[direct])] = True
+                    # heads are no aliases themselves
+                    of_alias, of_head = _each(s[~direct], w[~direct]), _each(h[~direct], w[~direct])
+                    hit[of_alias] |= hit[of_head]
+                    p = np.flatnonzero(hit)
+                    gone[:n] += hit
+                    np.add.at(gone, p + LENGTH, -1)
                 removed = np.cumsum(gone)[:n] > 0
                 out[0].append(n)
                 out[1].append(int(removed.sum()))
@@ -262,20 +285,25 @@ def dedup(docs: DataFrame) -> DataFrame:
     first = ids.groupBy("hash").agg(F.min("doc").alias("first"))
     repeats = stored(ids.join(first, "hash").where(F.col("doc") > F.col("first")).select("doc", "tid").distinct(), "suffix-repeats")
     n = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = _stretches(given)
-    # settled rows go where their document sends them, the others to their rank
-    rows = rows.repartition(n, F.when(F.col("covered"), F.xxhash64("doc", "start")).otherwise(F.col("rank"))).sortWithinPartitions("rank", "stretch", "doc")
-    settled = stored(_settled(rows), "suffix-settled")
-    release(spark)
-    open_rows = settled.where(~F.col("covered")).join(repeats, ["doc", "tid"], "left_anti")
+    settled = None
+    for part in range(PASSES):
+        rows = _stretches(given, part)
+        # what is settled goes where its place sends it, the rest to its rank
+        rows = rows.repartition(n, F.when(F.col("kind") != LIVE, F.xxhash64("doc", "start")).otherwise(F.col("rank"))).sortWithinPartitions("rank", "stretch", "doc")
+        done = stored(_settled(rows), "suffix-settled")
+        release(spark)
+        settled = done if settled is None else settled.unionByName(done)
+    settled = settled.join(repeats, ["doc", "tid"], "left_anti")
+    open_rows = settled.where(F.col("kind") == LIVE)
     opened = open_rows.groupBy("doc", "tid").agg(F.collect_set(F.struct("start", "windows")).alias("open"))
     texts = given.join(opened, ["doc", "tid"]).dropDuplicates(["doc", "hash"])
     pairs = stored(_windows(texts.select("doc", "tid", "text", "open")), "suffix-pairs")
     release(spark)
     least = pairs.groupBy("a", "b").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where(F.col("first") < F.col("last")).select("a", "b", "first")
-    second = pairs.join(least, ["a", "b"]).where(F.col("doc") > F.col("first")).select("doc", "tid", "start", F.lit(1).alias("windows"))
-    spans = settled.where("covered").select("doc", "tid", "start", "windows").unionByName(second)
-    spans = spans.groupBy("doc", "tid").agg(F.collect_set(F.struct("start", "windows")).alias("spans"))
+    second = pairs.join(least, ["a", "b"]).where(F.col("doc") > F.col("first")).select("doc", "tid", "start", F.lit(1).alias("windows"), F.lit(-1).cast("long").alias("head"))
+    head = F.when(F.col("kind") == ALIAS, F.col("head")).otherwise(F.lit(-1)).alias("head")
+    spans = settled.where(F.col("kind") != LIVE).select("doc", "tid", "start", "windows", head).unionByName(second)
+    spans = spans.groupBy("doc", "tid").agg(F.collect_list(F.struct("start", "windows", "head")).alias("spans"))
     marks = stored(repeats.withColumn("whole", F.lit(True)).join(spans, ["doc", "tid"], "full"), "suffix-marks")
     marked = given.join(marks, ["doc", "tid"], "left").withColumn("whole", F.coalesce("whole", F.lit(False)))
     return _kept(marked.select("doc_id", "text", "whole", "spans"), "spans")
