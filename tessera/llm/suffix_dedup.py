@@ -39,7 +39,7 @@ LENGTH = 2 * HALF
 PASSES = 2
 SIDE = (LENGTH - HALF + 1) // 2
 HELD = 50_000  # rows of one rank that a task looks through for common sides; a larger group goes on whole
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 LAST = (1 << 63) - 1  # stands for a null doc_id: after all others
 
 
