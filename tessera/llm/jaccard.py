@@ -10,7 +10,7 @@ D_g + 1 and each class leaves out its emptiest ones: it gives all blocks with at
 D_g + 1 of them. Of two similar classes, take the one with the larger m: one of its blocks is equal in the other, whose
 m is not larger, so both give it. No similar pair is lost.
 
-Candidates are verified on the whole sets, after a check that their parity sketches over ``CHECK_WORDS`` words differ in
+Candidates are verified on the whole sets, after a check that their parity sketches, folded to the same length, differ in
 no more bits than the sets may. In a bucket, all classes are first compared with one of them, then, for a few rounds,
 those still in another component with the class of the bucket whose comparisons so far linked most often. What is linked is in one
 component, and only the pairs of a bucket that are still in different components are compared in the end, all of them:
@@ -39,7 +39,7 @@ from tessera.operators.components import connected_components
 NAME = "op10_jaccard_join"
 WIDTH, NUM, DEN = 3, 90, 100
 SPARE = 1.3  # blocks over D + 1
-CHECK_WORDS = 16
+CHECK_WORDS = 16  # at least; sketches have two bits a shingle or more
 TILE = 64  # classes of a bucket compared at once
 ROUNDS = 2  # at most, of comparing with a bucket's best linked class; what they leave is compared tile by tile
 
@@ -110,11 +110,21 @@ def keys(u: np.ndarray, g: int, bands: Bands) -> np.ndarray:
 
 
 def check_sketch(u: np.ndarray) -> list[int]:
-    """A parity sketch of the whole set in CHECK_WORDS words, for comparing two candidates."""
-    word = ((u >> np.uint64(7)) % np.uint64(CHECK_WORDS)).astype(np.int64)
-    out = np.zeros(CHECK_WORDS, np.uint64)
-    np.bitwise_xor.at(out, word, np.uint64(1) << (u >> np.uint64(58)))
-    return out.astype(np.int64).tolist()
+    """A parity sketch of the whole set, for comparing two candidates: a power of two of words, two bits a shingle."""
+    words = CHECK_WORDS
+    while 32 * words < len(u):
+        words *= 2
+    word = (u >> np.uint64(7)) & np.uint64(words - 1)
+    order = np.argsort(word)
+    cuts = np.flatnonzero(np.diff(word[order].astype(np.int64), prepend=-1))
+    out = np.zeros(words, np.uint64)
+    out[word[order][cuts].astype(np.int64)] = np.bitwise_xor.reduceat((np.uint64(1) << (u >> np.uint64(58)))[order], cuts)
+    return out.view(np.int64).tolist()
+
+
+def folded(sketch: np.ndarray, words: int) -> np.ndarray:
+    """A longer sketch as one of fewer words: word i of the shorter is the XOR of all words i modulo its length."""
+    return np.bitwise_xor.reduce(sketch.view(np.uint64).reshape(-1, words), axis=0)
 
 
 def _sketches(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
@@ -163,12 +173,27 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     return found.join(wanted.select("cls"), "cls", "left_semi").dropDuplicates(["cls"])
 
 
-def _links(pairs: DataFrame, sets: DataFrame, checks: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough."""
+def _links(docs: DataFrame, width: int, pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) whose sets are similar enough. Sets are made again from the texts of those classes only whose
+    sketches leave it open."""
     side = lambda t, x: t.select(*[F.col(c).alias(x if c == "cls" else f"{c}_{x}") for c in t.columns])
+    checks = classes.select("cls", "n", "check")
     both = pairs.join(side(checks, "a"), "a").join(side(checks, "b"), "b")
-    bits = sum((F.bit_count(F.col("check_a")[i].bitwiseXOR(F.col("check_b")[i])) for i in range(1, CHECK_WORDS)), F.bit_count(F.col("check_a")[0].bitwiseXOR(F.col("check_b")[0])))
-    near = both.where(bits * (den + num) <= (den - num) * (F.col("n_a") + F.col("n_b"))).select("a", "b")
+
+    def compare(batches):
+        for batch in batches:
+            keep = []
+            for n, m, x, y in zip(*(batch.column(c).to_pylist() for c in ("n_a", "n_b")), batch.column("check_a"), batch.column("check_b"), strict=True):
+                x, y = (v.values.to_numpy(zero_copy_only=False) for v in (x, y))
+                words = min(len(x), len(y))
+                bits = int(np.bitwise_count(folded(x, words) ^ folded(y, words)).sum(dtype=np.int64))
+                keep.append(bits * (den + num) <= (den - num) * (n + m))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    near = stored(both.select("a", "b", "n_a", "n_b", "check_a", "check_b").mapInArrow(compare, "a long, b long"), "jaccard-near")
+    needed = near.select("a").union(near.select("b")).distinct().withColumnRenamed("a", "cls")
+    wanted = stored(classes.select("cls", "doc_id").join(needed, "cls"), "jaccard-wanted")
+    sets = stored(_sets(docs, wanted, width), "jaccard-sets")
     full = near.join(side(sets, "a"), "a").join(side(sets, "b"), "b")
     common = F.size(F.array_intersect("u_a", "u_b"))
     union = F.size("u_a") + F.size("u_b") - common
@@ -190,21 +215,29 @@ def _near_pairs(members: DataFrame, checks: DataFrame, num: int, den: int) -> Da
     def unpack(column):
         flat, at = column.flatten(), column.offsets.to_numpy()
         get = lambda f: flat.field(f).to_numpy(zero_copy_only=False)
-        return at - at[0], get("cls"), get("root"), get("n"), get("up"), flat.field("check").flatten().to_numpy().reshape(-1, CHECK_WORDS)
+        check = flat.field("check")
+        cut = check.offsets.to_numpy()
+        return at - at[0], get("cls"), get("root"), get("n"), get("up"), check.flatten().to_numpy(), cut - cut[0]
+
+    def sketches(values, cut, tile, words):
+        return np.stack([folded(values[cut[k] : cut[k + 1]], words) for k in range(tile.start, tile.stop)])
 
     def run(batches):
         for batch in batches:
-            (ax, cx, rx, nx, ux, kx), (ay, cy, ry, ny, uy, ky) = unpack(batch.column("x")), unpack(batch.column("y"))
-            pairs = []
+            (ax, cx, rx, nx, ux, kx, vx), (ay, cy, ry, ny, uy, ky, vy) = unpack(batch.column("x")), unpack(batch.column("y"))
+            pairs = [np.zeros((0, 2), np.int64)]
             for i in range(len(batch)):
-                s, t = slice(ax[i], ax[i + 1]), slice(ay[i], ay[i + 1])
+                s, t = slice(int(ax[i]), int(ax[i + 1])), slice(int(ay[i]), int(ay[i + 1]))
+                words = int(min(np.diff(vx[s.start : s.stop + 1]).min(), np.diff(vy[t.start : t.stop + 1]).min()))
                 n, m = nx[s][:, None], ny[t][None, :]
                 near = (rx[s][:, None] != ry[t][None, :]) & ~(ux[s][:, None] & uy[t][None, :]) & (den * np.minimum(n, m) >= num * np.maximum(n, m))
                 i_x, i_y = np.nonzero(near)
-                bits = np.bitwise_count(kx[s][i_x] ^ ky[t][i_y]).sum(1, dtype=np.int64)
+                if not len(i_x):
+                    continue
+                bits = np.bitwise_count(sketches(kx, vx, s, words)[i_x] ^ sketches(ky, vy, t, words)[i_y]).sum(1, dtype=np.int64)
                 ok = bits * (den + num) <= (den - num) * (nx[s][i_x] + ny[t][i_y])
                 pairs.append(np.sort(np.stack([cx[s][i_x[ok]], cy[t][i_y[ok]]], 1), axis=1))
-            found = np.unique(np.concatenate(pairs), axis=0) if pairs else np.zeros((0, 2), np.int64)
+            found = np.unique(np.concatenate(pairs), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
 
     return two.mapInArrow(run, "a long, b long").distinct()
@@ -234,10 +267,7 @@ def join(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: int = DEN) ->
     classes = live.select("cls").union(live.select("f")).distinct()
     own = rows.join(classes, "cls", "left_semi").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("check", ignorenulls=True).alias("check"))
     wanted = stored(own, "jaccard-wanted")
-    checks = wanted.select("cls", "n", "check")
-    sets = stored(_sets(docs, wanted.select("cls", "doc_id"), width), "jaccard-sets")
-    release(spark)
-    links = stored(_links(tested, sets, checks, num, den), "jaccard-links")
+    links = stored(_links(docs, width, tested, wanted, num, den), "jaccard-links")
     everyone = stored(live.select("key", "cls", "n", "up").union(live.select("key", "f", "fn", "fup")).distinct(), "jaccard-members")
     roots = connected_components(links, stored)
     for _ in range(ROUNDS):
@@ -252,7 +282,7 @@ def join(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: int = DEN) ->
         star = members.join(best, "key").where((F.col("root") != F.col("c.root")) & ~(F.col("up") & F.col("c.up")) & _close("n", "c.n", num, den))
         star = star.select(F.least("cls", "c.cls").alias("a"), F.greatest("cls", "c.cls").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
         star = stored(star, "jaccard-pairs")
-        found = stored(_links(star, sets, checks, num, den), "jaccard-links")
+        found = stored(_links(docs, width, star, wanted, num, den), "jaccard-links")
         tested = tested.union(star)
         if found.limit(1).count():
             links = links.union(found)
@@ -260,8 +290,8 @@ def join(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: int = DEN) ->
     # what is left: pairs of a bucket in different components
     members, left = _apart(everyone, roots)
     if left > 0:
-        more = _near_pairs(members, checks, num, den).join(tested, ["a", "b"], "left_anti")
-        found = stored(_links(more, sets, checks, num, den), "jaccard-links")
+        more = _near_pairs(members, wanted, num, den).join(tested, ["a", "b"], "left_anti")
+        found = stored(_links(docs, width, more, wanted, num, den), "jaccard-links")
         if found.limit(1).count():
             roots = connected_components(links.union(found), stored)
     labelled = rows.select("doc_id", F.col("n").alias("n_shingles"), "cls").join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
