@@ -16,9 +16,11 @@ by vec_id, and aligns with nothing; rows that share a vec_id are fingerprinted s
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import stored
@@ -28,6 +30,7 @@ RATE, FRAME, HOP = 4000, 1024, 256
 LOWEST, HIGHEST = 110.0, 1760.0
 FILTERS, WIDEST = 16, 16
 SHARED, ERROR = 3, 0.2
+TILE = 64
 QUERY_EVERY = 50
 NOTE = 512  # samples of a note of a rendered melody
 
@@ -141,6 +144,30 @@ def rendered(vectors: DataFrame, key: str, vector: str) -> DataFrame:
     return vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).mapInArrow(run, "id long, audio binary")
 
 
+def _best_offsets(batches):
+    """Rows (print, pos, places) sorted by print -> for each query met in SHARED integers at one offset, that offset:
+    the commonest, then the one nearest to 0."""
+    now, counts = None, Counter()
+
+    def result():
+        best = {}
+        for (q, offset), n in counts.items():
+            if q != now and n >= SHARED:
+                best[q] = max(best.get(q, (0, 0, 0)), (n, -abs(offset), offset))
+        rows = sorted(best.items())
+        return pa.RecordBatch.from_arrays([pa.array([q for q, _ in rows], pa.string()), pa.array([now] * len(rows), pa.string()), pa.array([x[2] for _, x in rows], pa.int32())], names=["q", "print", "offset"])
+
+    for batch in batches:
+        for p, pos, places in zip(batch.column("print").to_pylist(), batch.column("pos").to_pylist(), batch.column("places").to_pylist(), strict=True):
+            if p != now:
+                if now is not None:
+                    yield result()
+                now, counts = p, Counter()
+            counts.update((x["q"], x["at"] - pos) for x in places)
+    if now is not None:
+        yield result()
+
+
 def search(prints: DataFrame, is_query) -> DataFrame:
     """prints (id, codes) -> (id, cls, n_queries, best_query, best_offset, best_error), one row a row. Queries are the
     classes with a row for which ``is_query`` holds; a class doesn't count itself."""
@@ -151,9 +178,12 @@ def search(prints: DataFrame, is_query) -> DataFrame:
     # each integer once a class and place; what all share meets only the queries
     spread = classes.where(F.size("codes") > 0).select("print", "asks", F.posexplode("codes").alias("pos", "code"))
     asked = spread.where("asks").select(F.col("print").alias("q"), F.col("pos").alias("at"), "code")
-    met = spread.select("print", "pos", "code").join(asked, "code").where(F.col("print") != F.col("q"))
-    counts = met.groupBy("q", "print", (F.col("at") - F.col("pos")).alias("offset")).agg(F.count(F.lit(1)).alias("n"))
-    best = counts.groupBy("q", "print").agg(F.max(F.struct("n", -F.abs("offset"), "offset")).alias("b")).where(F.col("b.n") >= SHARED).select("q", "print", F.col("b.offset").alias("offset"))
+    # places of the queries by integer, in lists of at most TILE, so that a pair of recordings isn't a row for each integer
+    tile = F.floor((F.row_number().over(Window.partitionBy("code").orderBy("q", "at")) - 1) / TILE)
+    listed = asked.withColumn("tile", tile).groupBy("code", "tile").agg(F.collect_list(F.struct("q", "at")).alias("places"))
+    n = max(8, int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    met = spread.select("print", "pos", "code").join(listed, "code").select("print", "pos", "places").repartition(n, "print").sortWithinPartitions("print")
+    best = met.mapInArrow(_best_offsets, "q string, print string, offset int")
     both = best.join(classes.select(F.col("print").alias("q"), F.col("cls").alias("query"), F.col("codes").alias("x")), "q").join(classes.select("print", F.col("codes").alias("y")), "print")
 
     def errors(batches):
