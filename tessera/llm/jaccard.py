@@ -40,6 +40,7 @@ NAME = "op10_jaccard_join"
 WIDTH, NUM, DEN = 3, 90, 100
 SPARE = 1.3  # blocks over D + 1
 CHECK_WORDS = 16  # at least; sketches have two bits a shingle or more
+TILE_WORDS = 8  # words of a sketch as tiles carry it
 TILE = 64  # classes of a bucket compared at once
 ROUNDS = 2  # at most, of comparing with a bucket's best linked class; what they leave is compared tile by tile
 
@@ -204,13 +205,25 @@ def _close(n: str, m: str, num: int, den: int):
     return (F.lit(den) * F.least(n, m)) >= (F.lit(num) * F.greatest(n, m))
 
 
+def _xor_of(word: int):
+    """A step of aggregate(): XOR with one word of each stretch of TILE_WORDS words."""
+    return lambda acc, j: acc.bitwiseXOR(F.element_at("check", j * TILE_WORDS + word + 1))
+
+
 def _near_pairs(members: DataFrame, checks: DataFrame, num: int, den: int) -> DataFrame:
     """Distinct pairs (a, b) of a bucket, of different components, whose sizes and check sketches may be similar."""
-    numbered = members.join(checks.select("cls", "check"), "cls").withColumn("tile", F.floor((F.row_number().over(Window.partitionBy("key").orderBy("n", "cls")) - 1) / TILE))
+    step = F.size("check") / TILE_WORDS
+    at = F.sequence(F.lit(0), (step - 1).cast("int"))
+    short = F.array(*[F.aggregate(at, F.lit(0).cast("long"), _xor_of(w)) for w in range(TILE_WORDS)])
+    numbered = members.join(checks.select("cls", short.alias("check")), "cls").withColumn("tile", F.floor((F.row_number().over(Window.partitionBy("key").orderBy("n", "cls")) - 1) / TILE))
     tiles = numbered.groupBy("key", "tile").agg(F.collect_list(F.struct("cls", "root", "n", "up", "check")).alias("m"))
     tiles = stored(tiles, "jaccard-tiles")
-    x, y = tiles.select("key", F.col("tile").alias("tx"), F.col("m").alias("x")), tiles.select("key", F.col("tile").alias("ty"), F.col("m").alias("y"))
-    two = x.join(y, "key").where("tx <= ty").select("x", "y")
+    # most buckets have one tile and need no join
+    large = tiles.where("tile > 0").select("key").distinct()
+    x = tiles.join(large, "key", "left_semi").select("key", F.col("tile").alias("tx"), F.col("m").alias("x"))
+    y = x.select("key", F.col("tx").alias("ty"), F.col("x").alias("y"))
+    one = tiles.join(large, "key", "left_anti").select(F.col("m").alias("x"), F.col("m").alias("y"))
+    two = one.unionAll(x.join(y, "key").where("tx <= ty").select("x", "y"))
 
     def unpack(column):
         flat, at = column.flatten(), column.offsets.to_numpy()
