@@ -24,6 +24,7 @@ from tessera.llm.common import ascii_lower, documents, stored
 NAME = "op1_decontaminate"
 WINDOW = 13
 RARE_TERMS = 3
+NO_ID = -(1 << 63)  # stands for a null doc_id in the index
 SHARE = 20  # contaminated from one hit word in SHARE
 VOCABULARY_LIMIT = 200_000
 # the contract's complement of ASCII non-words, written as the characters it leaves: the regex engine is some 30 times faster on it
@@ -47,7 +48,7 @@ def windows(benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
 
 def build_index(docs: DataFrame, vocabulary: DataFrame, n_terms: int) -> DataFrame:
     """Postings (term_id, doc_id, pos) of the vocabulary's terms in all documents; pos counts words from 0."""
-    tokens = docs.select("doc_id", F.posexplode(words(F.col("text"))).alias("pos", "term"))
+    tokens = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), F.posexplode(words(F.col("text"))).alias("pos", "term"))
     vocabulary = F.broadcast(vocabulary) if n_terms <= VOCABULARY_LIMIT else vocabulary
     return stored(tokens.join(vocabulary, "term").select("term_id", "doc_id", "pos"), "postings")
 
@@ -95,7 +96,7 @@ def phrase_matches(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -
     found = found.join(tests_side.select("window_id", "phrase", "width", "items"), "window_id")
     per_doc = found.groupBy("doc_id").agg(F.collect_set(F.struct("start", "width", "phrase", "items")).alias("_c"))
     per_doc = per_doc.withColumnRenamed("doc_id", "_id")
-    d = docs.join(per_doc, docs["doc_id"].eqNullSafe(per_doc["_id"]), "left").drop("_id")
+    d = docs.join(per_doc, F.coalesce(docs["doc_id"], F.lit(NO_ID)) == per_doc["_id"], "left").drop("_id")
 
     def judged(w: Column) -> Column:
         hits = F.filter("_c", lambda c: F.array_join(F.slice(w, c["start"] + 1, c["width"]), " ") == c["phrase"])

@@ -28,6 +28,7 @@ BUCKETS = 1 << 20
 GRADES = 4
 CUTS = (2, 4)  # indicative words from which a toxic row has grade 2, 3
 SUPPORT, LOG_ODDS, STEPS, PENALTY = 8, 2.0, 300, 1e-4
+STRENGTH = 6.0  # least |log-odds| * sqrt(rows with the word) of a kept word: rarer or weaker ones are noise
 
 _INSIDE = np.zeros(256, bool)
 _INSIDE[ord("a") : ord("z") + 1] = True
@@ -90,7 +91,7 @@ def fit(rows: list) -> Model:
     in_all = np.bincount(place, minlength=len(buckets))
     odds = np.log((in_toxic + 0.5) / (y.sum() + 1)) - np.log((in_all - in_toxic + 0.5) / (len(y) - y.sum() + 1))
     strength = np.abs(odds) * np.sqrt(in_all)
-    able = np.flatnonzero(in_all >= SUPPORT)
+    able = np.flatnonzero((in_all >= SUPPORT) & (strength >= STRENGTH))
     kept = np.sort(able[np.argsort(-strength[able], kind="stable")][:WORDS])
     if not len(kept):
         return Model()
