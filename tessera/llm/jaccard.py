@@ -12,8 +12,8 @@ m is not larger, so both give it. No similar pair is lost.
 
 Candidates are verified on the whole sets, after a check that their parity sketches, folded to the same length, differ in
 no more bits than the sets may. In a bucket, all classes are first compared with one of them, then, for a few rounds,
-those still in another component with the class of the bucket whose comparisons so far linked most often. What is linked is in one
-component, and only the pairs of a bucket that are still in different components are compared in the end, all of them:
+those still in another component with the class of the bucket whose comparisons so far linked most often. A class that all
+others were compared with leaves the bucket, which settles small buckets soon. What is linked is in one component, and only the pairs of a bucket that are still in different components are compared in the end, all of them:
 buckets are cut into tiles of ``TILE`` classes, a row for each two tiles, and only pairs whose check sketches are near
 enough leave it as rows.
 So a group of near copies costs comparisons in proportion to its size.
@@ -33,13 +33,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import bytekit
-from tessera.llm.common import documents, release, stored
+from tessera.llm.common import discard, documents, release, stored
 from tessera.operators.components import connected_components
 
 NAME = "op10_jaccard_join"
 WIDTH, NUM, DEN = 3, 90, 100
 SPARE = 1.3  # blocks over D + 1
-CHECK_WORDS = 16  # at least; sketches have two bits a shingle or more
+CHECK_WORDS = 8  # at least; sketches have a bit a shingle or more
 TILE_WORDS = 8  # words of a sketch as tiles carry it
 TILE = 64  # classes of a bucket compared at once
 ROUNDS = 2  # at most, of comparing with a bucket's best linked class; what they leave is compared tile by tile
@@ -111,9 +111,9 @@ def keys(u: np.ndarray, g: int, bands: Bands) -> np.ndarray:
 
 
 def check_sketch(u: np.ndarray) -> list[int]:
-    """A parity sketch of the whole set, for comparing two candidates: a power of two of words, two bits a shingle."""
+    """A parity sketch of the whole set, for comparing two candidates: a power of two of words, a bit a shingle or more."""
     words = CHECK_WORDS
-    while 32 * words < len(u):
+    while 64 * words < len(u):
         words *= 2
     word = (u >> np.uint64(7)) & np.uint64(words - 1)
     order = np.argsort(word)
@@ -256,9 +256,10 @@ def _near_pairs(members: DataFrame, checks: DataFrame, num: int, den: int) -> Da
     return two.mapInArrow(run, "a long, b long").distinct()
 
 
-def _apart(everyone: DataFrame, roots: DataFrame) -> tuple[DataFrame, int]:
-    """Members of buckets that hold more than one component, with their root; and how many there are."""
-    members = everyone.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+def _apart(members: DataFrame, roots: DataFrame) -> tuple[DataFrame, int]:
+    """Members of buckets that hold more than one component, with their root; and how many there are. Components only
+    grow, so a bucket that left stays out."""
+    members = members.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     mixed_keys = members.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
     members = stored(members.join(mixed_keys, "key", "left_semi"), "jaccard-mixed")
     return members, members.count()
@@ -267,24 +268,30 @@ def _apart(everyone: DataFrame, roots: DataFrame) -> tuple[DataFrame, int]:
 def join(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: int = DEN) -> DataFrame:
     """docs (doc_id, text) -> doc_id, n_shingles, cls (equal sets) and component_id, one row per row."""
     spark = docs.sparkSession
-    rows = stored(_sketches(docs, width, num, den), "jaccard-sketches")
-    given = rows.select("cls", "n", F.explode(F.array(F.struct(F.col("lower").alias("k"), F.lit(False).alias("up")), F.struct(F.col("upper").alias("k"), F.lit(True).alias("up")))).alias("s"))
+    sketches = stored(_sketches(docs, width, num, den), "jaccard-sketches")
+    given = sketches.select("cls", "n", F.explode(F.array(F.struct(F.col("lower").alias("k"), F.lit(False).alias("up")), F.struct(F.col("upper").alias("k"), F.lit(True).alias("up")))).alias("s"))
     given = given.select(F.explode("s.k").alias("key"), "cls", "n", F.col("s.up").alias("up"))
-    in_key = Window.partitionBy("key").orderBy("cls").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    star = given.withColumn("f", F.first(F.struct("cls", "n", "up")).over(in_key)).where(F.col("f.cls") != F.col("cls"))
+    in_key = Window.partitionBy("key").orderBy("cls")
+    so_far = in_key.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # several tasks may give a class; its rows in a bucket are neighbours
+    star = given.withColumn("f", F.first(F.struct("cls", "n", "up")).over(so_far)).withColumn("before", F.lag("cls").over(in_key))
+    star = star.where((F.col("f.cls") != F.col("cls")) & (F.col("before") != F.col("cls")))
     live = stored(star.select("key", "cls", "n", "up", F.col("f.cls").alias("f"), F.col("f.n").alias("fn"), F.col("f.up").alias("fup")), "jaccard-buckets")
     release(spark)
-    pairs = live.where(~(F.col("up") & F.col("fup")) & _close("n", "fn", num, den))
-    tested = stored(pairs.select(F.least("f", "cls").alias("a"), F.greatest("f", "cls").alias("b")).distinct(), "jaccard-pairs")
     # every class of a live bucket may be compared
     classes = live.select("cls").union(live.select("f")).distinct()
-    own = rows.join(classes, "cls", "left_semi").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("check", ignorenulls=True).alias("check"))
+    own = sketches.join(classes, "cls", "left_semi").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("check", ignorenulls=True).alias("check"))
     wanted = stored(own, "jaccard-wanted")
+    rows = stored(sketches.select("doc_id", "n", "cls"), "jaccard-rows")
+    discard(sketches)
+    pairs = live.where(~(F.col("up") & F.col("fup")) & _close("n", "fn", num, den))
+    tested = stored(pairs.select(F.least("f", "cls").alias("a"), F.greatest("f", "cls").alias("b")).distinct(), "jaccard-pairs")
     links = stored(_links(docs, width, tested, wanted, num, den), "jaccard-links")
-    everyone = stored(live.select("key", "cls", "n", "up").union(live.select("key", "f", "fn", "fup")).distinct(), "jaccard-members")
     roots = connected_components(links, stored)
+    # the class that all others of a bucket were compared with has no pair left there: it leaves the bucket
+    members, left = _apart(live.select("key", "cls", "n", "up"), roots)
+    discard(live)
     for _ in range(ROUNDS):
-        members, left = _apart(everyone, roots)
         if left <= 0:
             break
         # the middle of a group is similar to most of it; the share of its comparisons that linked shows that early
@@ -292,7 +299,9 @@ def join(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: int = DEN) ->
         ranked = members.join(ends(tested, "tests"), "cls", "left").join(ends(links, "hits"), "cls", "left")
         rate = (F.coalesce("hits", F.lit(0)) + 0.5) / (F.coalesce("tests", F.lit(0)) + 2)
         best = ranked.groupBy("key").agg(F.max_by(F.struct("cls", "n", "up", "root"), F.struct(rate, F.col("cls"))).alias("c"))
-        star = members.join(best, "key").where((F.col("root") != F.col("c.root")) & ~(F.col("up") & F.col("c.up")) & _close("n", "c.n", num, den))
+        rest = stored(members.join(best, "key").where(F.col("cls") != F.col("c.cls")), "jaccard-rest")
+        discard(members)
+        star = rest.where((F.col("root") != F.col("c.root")) & ~(F.col("up") & F.col("c.up")) & _close("n", "c.n", num, den))
         star = star.select(F.least("cls", "c.cls").alias("a"), F.greatest("cls", "c.cls").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
         star = stored(star, "jaccard-pairs")
         found = stored(_links(docs, width, star, wanted, num, den), "jaccard-links")
@@ -300,10 +309,11 @@ def join(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: int = DEN) ->
         if found.limit(1).count():
             links = links.union(found)
             roots = connected_components(links, stored)
+        members, left = _apart(rest.select("key", "cls", "n", "up"), roots)
+        discard(rest)
     # what is left: pairs of a bucket in different components
-    members, left = _apart(everyone, roots)
     if left > 0:
-        more = _near_pairs(members, wanted, num, den).join(tested, ["a", "b"], "left_anti")
+        more = stored(_near_pairs(members, wanted, num, den).join(tested, ["a", "b"], "left_anti"), "jaccard-pairs")
         found = stored(_links(docs, width, more, wanted, num, den), "jaccard-links")
         if found.limit(1).count():
             roots = connected_components(links.union(found), stored)
