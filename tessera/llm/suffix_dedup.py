@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import bytekit
-from tessera.llm.common import documents, release, stored
+from tessera.llm.common import discard, documents, release, stored
 
 NAME = "op3_suffix_dedup"
 HALF = 25
@@ -240,36 +240,37 @@ def _each(start: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.repeat(start, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
 
 
-def _kept(texts: DataFrame, half_open: str) -> DataFrame:
+def _kept(texts: DataFrame) -> DataFrame:
+    """What is left of every text: whole marks repeats from end to end, spans has the covered stretches of the others."""
+
     def run(batches):
         for rows, raw, at in bytekit.chunks(batches, limit=CHUNK):
-            out = [[], [], [], []]
-            for i, (whole, spans) in enumerate(zip(rows.column("whole").to_pylist(), rows.column(half_open).to_pylist(), strict=True)):
-                body = raw[at[i] : at[i + 1]]
-                n = len(body)
-                gone = np.zeros(n + 1, np.int32)
-                if whole and n >= LENGTH:
-                    gone[0] += 1
-                    gone[n] -= 1
-                elif spans:
-                    s, w, h = (np.array([x[f] for x in spans], np.int64) for f in ("start", "windows", "head"))
-                    fits = s + w - 1 + LENGTH <= n
-                    s, w, h = s[fits], w[fits], h[fits]
-                    hit = np.zeros(n, bool)  # windows by their start
-                    direct = h < 0
-                    hit[_each(s[direct], w[direct])] = True
-                    # heads are no aliases themselves
-                    of_alias, of_head = _each(s[~direct], w[~direct]), _each(h[~direct], w[~direct])
-                    hit[of_alias] |= hit[of_head]
-                    p = np.flatnonzero(hit)
-                    gone[:n] += hit
-                    np.add.at(gone, p + LENGTH, -1)
-                removed = np.cumsum(gone)[:n] > 0
-                out[0].append(n)
-                out[1].append(int(removed.sum()))
-                out[2].append(int((removed & ~np.concatenate([[False], removed[:-1]])).sum()) if n else 0)
-                out[3].append(body[~removed].tobytes())
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), *(pa.array(x, pa.int64()) for x in out[:3]), pa.array(out[3], pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+            n, size = len(raw), np.diff(at)
+            hit = np.zeros(n, bool)  # windows by their start
+            whole = np.flatnonzero(rows.column("whole").to_numpy(zero_copy_only=False).astype(bool) & (size >= LENGTH))
+            hit[_each(at[whole], size[whole] - LENGTH + 1)] = True
+            spans = rows.column("spans")
+            of, flat = np.repeat(np.arange(len(size)), np.diff(spans.offsets.to_numpy())), spans.flatten()
+            s, w, h = (flat.field(f).to_numpy(zero_copy_only=False).astype(np.int64) for f in ("start", "windows", "head"))
+            fits = s + w - 1 + LENGTH <= size[of]  # rows that share a doc_id may share a tid as well
+            base, s, w, h = at[of][fits], s[fits], w[fits], h[fits]
+            direct = h < 0
+            hit[_each((base + s)[direct], w[direct])] = True
+            # heads are no aliases themselves
+            of_alias, of_head = _each((base + s)[~direct], w[~direct]), _each((base + h)[~direct], w[~direct])
+            hit[of_alias[hit[of_head]]] = True
+            gone = np.zeros(n + 1, np.int32)
+            gone[:n] = hit
+            if n >= LENGTH:
+                gone[LENGTH:] -= hit[: n + 1 - LENGTH]
+            removed = np.cumsum(gone)[:n] > 0
+            begins = removed.copy()
+            begins[1:] &= ~removed[:-1]
+            edge = at[at < n]
+            begins[edge] = removed[edge]
+            so_far, runs = (np.concatenate([[0], np.cumsum(x)]) for x in (removed, begins))
+            kept = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer((at - so_far[at]).astype(np.int32)), pa.py_buffer(raw[~removed])])
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(size), pa.array(np.diff(so_far[at])), pa.array(np.diff(runs[at])), kept], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
     return texts.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
@@ -296,17 +297,19 @@ def dedup(docs: DataFrame) -> DataFrame:
     settled = settled.join(repeats, ["doc", "tid"], "left_anti")
     open_rows = settled.where(F.col("kind") == LIVE)
     opened = open_rows.groupBy("doc", "tid").agg(F.collect_set(F.struct("start", "windows")).alias("open"))
-    texts = given.join(opened, ["doc", "tid"]).dropDuplicates(["doc", "hash"])
+    texts = given.join(opened, ["doc", "tid"]).dropDuplicates(["doc", "tid", "hash"])
     pairs = stored(_windows(texts.select("doc", "tid", "text", "open")), "suffix-pairs")
     release(spark)
-    least = pairs.groupBy("a", "b").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where(F.col("first") < F.col("last")).select("a", "b", "first")
+    least = stored(pairs.groupBy("a", "b").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where(F.col("first") < F.col("last")).select("a", "b", "first"), "suffix-least")
     second = pairs.join(least, ["a", "b"]).where(F.col("doc") > F.col("first")).select("doc", "tid", "start", F.lit(1).alias("windows"), F.lit(-1).cast("long").alias("head"))
+    second = stored(second, "suffix-second")
+    discard(pairs, least)
     head = F.when(F.col("kind") == ALIAS, F.col("head")).otherwise(F.lit(-1)).alias("head")
     spans = settled.where(F.col("kind") != LIVE).select("doc", "tid", "start", "windows", head).unionByName(second)
     spans = spans.groupBy("doc", "tid").agg(F.collect_list(F.struct("start", "windows", "head")).alias("spans"))
     marks = stored(repeats.withColumn("whole", F.lit(True)).join(spans, ["doc", "tid"], "full"), "suffix-marks")
     marked = given.join(marks, ["doc", "tid"], "left").withColumn("whole", F.coalesce("whole", F.lit(False)))
-    return _kept(marked.select("doc_id", "text", "whole", "spans"), "spans")
+    return _kept(marked.select("doc_id", "text", "whole", "spans"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
