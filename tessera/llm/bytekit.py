@@ -73,10 +73,10 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads every bit."""
     x = x ^ (x >> np.uint64(32))
-    x = x * np.uint64(0xD6E8FEB86659FD93)
-    x = x ^ (x >> np.uint64(32))
-    x = x * np.uint64(0xD6E8FEB86659FD93)
-    return x ^ (x >> np.uint64(32))
+    for _ in range(2):
+        x *= np.uint64(0xD6E8FEB86659FD93)
+        x ^= x >> np.uint64(32)
+    return x
 
 
 class Spans:
@@ -90,6 +90,14 @@ class Spans:
     def __call__(self, s: np.ndarray, e: np.ndarray) -> np.ndarray:
         return mixed((self.prefix[e] - self.prefix[s]) * self.inverse[s] + (e - s).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
 
+    def every(self, width: int) -> np.ndarray:
+        """The hash of each stretch of that width, by its start."""
+        n = max(0, len(self.prefix) - width)
+        h = self.prefix[width : width + n] - self.prefix[:n]
+        h *= self.inverse[:n]
+        h += np.uint64(width * 0xC2B2AE3D27D4EB4F & (1 << 64) - 1)
+        return mixed(h)
+
 
 def crc_fold(ids: list, n: int) -> np.ndarray:
     """crc32 of each id's text modulo n; a null id counts as the empty text."""

@@ -46,8 +46,7 @@ LAST = (1 << 63) - 1  # stands for a null doc_id: after all others
 def ranks(raw: np.ndarray) -> tuple[bytekit.Spans, np.ndarray]:
     """Hashes of stretches, and the rank of HALF bytes at every position that has as many."""
     spans = bytekit.Spans(raw)
-    at = np.arange(max(0, len(raw) - HALF + 1))
-    return spans, spans(at, at + HALF)
+    return spans, spans.every(HALF)
 
 
 def elected(rank: np.ndarray, at: np.ndarray):
@@ -70,15 +69,18 @@ def elected(rank: np.ndarray, at: np.ndarray):
     if rest:
         key = np.minimum(key[: len(key) - rest], key[rest:])
     place = (key & low).astype(np.int64) if len(rank) <= 1 << 24 else order[key.astype(np.int64)]
-    window = np.arange(n + 1)[: len(place)]
-    doc = np.searchsorted(at, window, side="right") - 1
-    whole = window + LENGTH <= at[doc + 1]
-    window, place, doc = window[whole], place[whole], doc[whole]
-    if not len(window):
-        return (np.zeros(0, np.int64),) * 4
-    new = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (doc[1:] != doc[:-1])]))
-    count = np.diff(np.append(new, len(window)))
-    return doc[new], window[new], count, place[new]
+    # a stretch ends where the place changes, at a document's first window, and after its last whole one
+    new = np.empty(n, bool)
+    new[0] = True
+    np.not_equal(place[1:], place[:-1], out=new[1:])
+    for edge in (at[:-1], np.maximum(at[:-1], at[1:] - LENGTH + 1)):
+        new[edge[edge < n]] = True
+    new = np.flatnonzero(new)
+    count = np.diff(np.append(new, n))
+    doc = np.searchsorted(at, new, side="right") - 1
+    whole = new + LENGTH <= at[doc + 1]
+    new, count, doc = new[whole], count[whole], doc[whole]
+    return doc, new, count, place[new]
 
 
 _ROW = "rank long, stretch int, doc long, start long, meta long, kind int"
@@ -122,7 +124,8 @@ def _stretches(texts: DataFrame, part: int) -> DataFrame:
             meta = count | tid << 6 | sides[0] << 22 | sides[1] << 38
             r = rank[place].view(np.int64)
             s = (spans(first, first + count - 1 + LENGTH) >> np.uint64(32)).astype(np.uint32).view(np.int32)
-            order = np.lexsort((first, d, ids, s, r))
+            # brings equal (r, s) together, by doc, and keeps the order of places; a chance tie only costs a row
+            order = np.lexsort((ids, r + s * np.int64(0x2545F4914F6CDD1D)))
             columns = [c[order] for c in (r, s, ids, first - at[d], meta)]
             r, s, ids, start, meta = columns
             d = d[order]
