@@ -495,6 +495,46 @@ def _(spark, sf):
     return dedup.exact_jaccard(table(spark, sf, "documents"), edges).withColumn("jaccard", F.round("jaccard", 6))
 
 
+# The same at the production parameters, banding(0.7, 256). The twins above stay at 64, which SQL can follow on whole
+# tables; these have none, a brute force tests them.
+FULL_P, FULL_B, FULL_R = 256, 25, 10
+
+
+def _full_banded(spark, sf):
+    return dedup.bands(table(spark, sf, "documents"), "doc_id", "text", FULL_P, FULL_B, FULL_R)
+
+
+@query("minhash_bands_256")
+def _(spark, sf):
+    return _full_banded(spark, sf)
+
+
+@query("lsh_buckets_256")
+def _(spark, sf):
+    return _full_banded(spark, sf).groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("root")).where("n > 1")
+
+
+@query("lsh_edges_256")
+def _(spark, sf):
+    return dedup.star_edges(S.stored(_full_banded(spark, sf), "bands"), "doc_id")
+
+
+@query("dup_components_256")
+def _(spark, sf):
+    return dedup.clusters(table(spark, sf, "documents"), num_perm=FULL_P, threshold=0.7)
+
+
+@query("near_dedup_256")
+def _(spark, sf):
+    return dedup.near_dedup(table(spark, sf, "documents"), num_perm=FULL_P, threshold=0.7)
+
+
+@query("exact_jaccard_256")
+def _(spark, sf):
+    edges = dedup.star_edges(S.stored(_full_banded(spark, sf), "bands"), "doc_id")
+    return dedup.exact_jaccard(table(spark, sf, "documents"), edges).withColumn("jaccard", F.round("jaccard", 6))
+
+
 # --- operators that SQL cannot express: golden and property tests are their real check ----------------------------------
 _SOURCES = fixture(
     """(1, 'a = b = c = 5~for i in range(a):~    print(i)'), (2, 'if a < b < c:~    x = 1~else:~    x = 2'), (3, 'def add(a, b):~    return a + b~'),
