@@ -13,15 +13,14 @@ from tessera.llm import decontaminate, jaccard, langid, mixing, pii
 from tessera.llm.common import crc_mod, stored
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-MIN_COSINE = 0.3  # below, a text looks like none of the learned languages
 NEAR = {"width": 5, "num": 80, "den": 100}
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents in a learned language: with letters, and near enough to a prototype. lang becomes the prediction."""
+    """Keeps all documents but those without a language (und). lang becomes the prediction."""
     learned = langid.prototypes(docs.where(crc_mod(F.col("doc_id"), langid.FOLDS) != langid.HELD_OUT))
     found = langid.predict(docs.select(*COLUMNS), learned)
-    found = found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= MIN_COSINE))
+    found = found.where(F.col("lang_pred") != langid.UNKNOWN)
     return found.withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
 
 
