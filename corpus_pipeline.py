@@ -6,7 +6,7 @@ returns the mix. Rows that share a doc_id are kept or dropped together only wher
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import decontaminate, jaccard, langid, mixing, pii
@@ -25,18 +25,22 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each component of similar ones: that of the smallest doc_id (of rows that share it, one)."""
+    """Keeps one row of each component of similar ones: that of the smallest doc_id, null ids last (of rows that share it,
+    the first by class and text). Rows without words are like no other and stay."""
     joined = jaccard.join(docs, **NEAR)
-    alone = joined.where("n_shingles = 0").select("doc_id").distinct()
-    least = joined.where("n_shingles > 0").groupBy("component_id").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
-    kept = stored(least.union(alone).distinct().withColumnRenamed("doc_id", "_id"), "pipeline-kept")
-    one = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]), "left_semi").select(*COLUMNS)
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "cls")).alias("f")
+    kept = joined.where("n_shingles > 0").groupBy("root").agg(least).select(F.col("f.doc_id").alias("_id"), F.col("f.cls").alias("_cls"))
     twice = joined.groupBy("doc_id").count().where("count > 1").limit(1).count()
     if not twice:
-        return one
-    # ids that are given twice: the first row by text stays
-    order = Window.partitionBy("doc_id").orderBy(F.col("text").isNull(), "text", "lang", "source")
-    return one.withColumn("_n", F.row_number().over(order)).where("_n = 1").select(*COLUMNS)
+        alone = joined.where("n_shingles = 0").select("doc_id")
+        kept = stored(kept.select("_id").union(alone), "pipeline-kept")
+        return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]), "left_semi").select(*COLUMNS)
+    # an id doesn't tell rows apart: a row is found by its id and class, and rows of both are equal sets
+    kept = stored(kept, "pipeline-kept")
+    rows = jaccard.classed(docs.select(*COLUMNS), NEAR["width"])
+    same = rows["doc_id"].eqNullSafe(kept["_id"]) & (rows["cls"] == kept["_cls"])
+    one = rows.join(kept, same, "left_semi").groupBy("doc_id", "cls").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("r"))
+    return one.select("doc_id", "r.*").union(rows.where("cls = 0").select(*COLUMNS))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -266,7 +266,8 @@ def _apart(members: DataFrame, roots: DataFrame) -> tuple[DataFrame, int]:
 
 
 def join(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: int = DEN) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, n_shingles, cls (equal sets) and component_id, one row per row."""
+    """docs (doc_id, text) -> doc_id, n_shingles, cls (equal sets), component_id and root, one row per row. The root is the
+    component's own also where ids repeat or are null; 0 for all empty sets."""
     spark = docs.sparkSession
     sketches = stored(_sketches(docs, width, num, den), "jaccard-sketches")
     given = sketches.select("cls", "n", F.explode(F.array(F.struct(F.col("lower").alias("k"), F.lit(False).alias("up")), F.struct(F.col("upper").alias("k"), F.lit(True).alias("up")))).alias("s"))
@@ -321,7 +322,20 @@ def join(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: int = DEN) ->
     ids = rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least")).join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     ids = ids.groupBy("root").agg(F.min("least").alias("component_id"))
     out = labelled.join(ids, "root", "left")
-    return out.select("doc_id", "n_shingles", "cls", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return out.select("doc_id", "n_shingles", "cls", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "root")
+
+
+def classed(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """docs with the column cls of join."""
+    kept = docs.drop("cls")
+
+    def run(batches):
+        for rows, raw, at in bytekit.chunks(batches):
+            cls = [class_id(u) for u in shingle_sets(raw, at, width)]
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(cls, pa.int64())], names=[*rows.schema.names, "cls"])
+
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields), "cls long"])
+    return kept.mapInArrow(run, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,3 +16,17 @@ def test_language_keeps_short_and_repetitive_texts(spark):
     got = {r.doc_id for r in corpus_pipeline.language(spark, spark.createDataFrame(rows + more + odd, SCHEMA), d).collect()}
     assert len(more) > 100 and {r[0] for r in more} <= got
     assert not got & {r[0] for r in odd}
+
+
+def test_near_duplicates_with_repeated_and_null_ids(spark):
+    text = {k: " ".join(f"{k}{i}" for i in range(60)) for k in "abcdefg"}
+    rows = [(3, text["a"]), (5, text["a"]), (5, text["b"]), (None, text["c"]), (None, text["d"]), (None, text["d"] + " more"), (None, text["a"]), (7, text["e"]), (7, text["e"]), (8, text["e"] + " more"), (5, None), (None, ""), (9, text["f"])]
+    docs = lambda rows: spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], SCHEMA)
+    kept = lambda rows: sorted(((r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs(rows), "").collect()), key=str)
+    got = kept(rows)
+    d = [r for r in got if r[1] and r[1].startswith(text["d"])]
+    assert len(d) == 1 and d[0][0] is None
+    want = [(3, text["a"]), (5, text["b"]), (None, text["c"]), *d, (7, text["e"]), (5, None), (None, ""), (9, text["f"])]
+    assert got == sorted(want, key=str)
+    # without repeated ids
+    assert kept([(4, text["a"]), (2, text["a"]), (None, text["a"]), (6, ""), (1, text["b"])]) == sorted([(2, text["a"]), (6, ""), (1, text["b"])], key=str)
