@@ -5,8 +5,8 @@ distinct token has its count, as a table that grows with the corpus. The neural
 commonest tokens and the end have their own, all others share one of ``ENDINGS`` symbols by their last two bytes, within
 which a token's probability is (count + 1) over the symbol's tokens, kinds and one for what was never seen. Contexts are
 the symbol before and a group of the one before that (``GROUPS``). How often each symbol follows each context is summed
-over all training texts into one bounded table; noise-contrastive estimation on draws from it fits the log-bilinear
-parameters (numpy, on the driver); then batched matrix products give the normalised log-probabilities of all symbols in all
+over all training texts into one bounded table; noise-contrastive estimation fits the log-bilinear parameters to the whole
+table (numpy, on the driver): each step takes the expected gradient over all its counts and all noise, nothing is drawn; then batched matrix products give the normalised log-probabilities of all symbols in all
 contexts, and texts are scored by looking them up.
 
 Counts of the ``FREQUENT`` commonest tokens are sent to the tasks; those of the others meet their occurrences in one
@@ -31,7 +31,8 @@ OWN, ENDINGS, GROUPS = 255, 256, 8
 SYMBOLS = OWN + 1 + ENDINGS  # the commonest tokens, the end, endings
 END = OWN
 FREQUENT = 100_000
-DIMENSIONS, NOISE, STEPS, BATCH, RATE, SEED = 24, 10, 500, 4096, 0.15, 9
+DIMENSIONS, NOISE, STEPS, RATE, SEED = 24, 10, 500, 0.15, 9
+PRIOR = 64  # occurrences below which a parameter is held back; their share vanishes as the corpus grows
 END_HASH = -1  # stands for the end among token hashes
 
 
@@ -112,38 +113,34 @@ def transitions(docs: DataFrame, symbols: Symbols) -> np.ndarray:
 def train(follows: np.ndarray) -> np.ndarray:
     """log10 P(symbol | context), one normalised row a context.
 
-    score(w | c) = (R[before] * A + G[group]) . Q[w] + b[w], fitted to tell draws from the corpus from draws from the
-    unigram distribution. Drawn from sums over all training texts.
+    score(w | c) = (R[before] * A + G[group]) . Q[w] + b[w], fitted to tell the corpus from draws of the unigram
+    distribution, by the exact expectation over both.
     """
     rng = np.random.default_rng(SEED)
     unigram = follows.sum(0) + 0.5
     unigram /= unigram.sum()
     r, q = rng.normal(0, 0.1, (SYMBOLS, DIMENSIONS)), rng.normal(0, 0.1, (SYMBOLS, DIMENSIONS))
     g, a, b = rng.normal(0, 0.1, (GROUPS, DIMENSIONS)), np.ones(DIMENSIONS), np.log(unigram)
-    cumulative = np.cumsum(follows.ravel())
-    if cumulative[-1] > 0:
-        noise_at = np.cumsum(unigram)
-        squares = [np.full(x.shape, 1e-6) for x in (r, q, g, a, b)]
+    r, q, g, a, b = (x.astype(np.float32) for x in (r, q, g, a, b))
+    total = follows.sum()
+    if total > 0:
+        seen = np.flatnonzero(follows.sum(1))
+        before, group = seen // GROUPS, seen % GROUPS
+        true = (follows[seen] / total).astype(np.float32)
+        both = true + (NOISE * (follows[seen].sum(1, keepdims=True) / total) * unigram).astype(np.float32)
+        shift = np.log(NOISE * unigram).astype(np.float32)
+        squares = [np.full(x.shape, (PRIOR / total) ** 2) for x in (r, q, g, a, b)]
         for _ in range(STEPS):
-            cell = np.searchsorted(cumulative, rng.random(BATCH) * cumulative[-1], side="right")
-            c, w = cell // SYMBOLS, cell % SYMBOLS
-            noise = np.minimum(np.searchsorted(noise_at, rng.random((BATCH, NOISE))), SYMBOLS - 1)
-            words = np.concatenate([w[:, None], noise], axis=1)
-            context = r[c // GROUPS] * a + g[c % GROUPS]
-            z = np.einsum("bd,bkd->bk", context, q[words]) + b[words] - np.log(NOISE * unigram[words])
-            e = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-            e[:, 0] -= 1
-            e /= BATCH
-            d_context = np.einsum("bk,bkd->bd", e, q[words])
-            grads = [np.zeros_like(x) for x in (r, q, g, a, b)]
-            np.add.at(grads[0], c // GROUPS, d_context * a)
-            np.add.at(grads[1], words.ravel(), (e[:, :, None] * context[:, None, :]).reshape(-1, DIMENSIONS))
-            np.add.at(grads[2], c % GROUPS, d_context)
-            grads[3] = (d_context * r[c // GROUPS]).sum(0)
-            grads[4] = np.bincount(words.ravel(), weights=e.ravel(), minlength=SYMBOLS)
+            context = r[before] * a + g[group]
+            z = context @ q.T + (b - shift)
+            e = both / (1 + np.exp(-np.clip(z, -30, 30))) - true
+            d_context = e @ q
+            grads = [np.zeros_like(r), e.T @ context, np.zeros_like(g), (d_context * r[before]).sum(0), e.sum(0)]
+            np.add.at(grads[0], before, d_context * a)
+            np.add.at(grads[2], group, d_context)
             for x, s, d in zip((r, q, g, a, b), squares, grads, strict=True):
-                s += d * d
-                x -= RATE * d / np.sqrt(s)
+                s += d.astype(float) ** 2
+                x -= (RATE * d / np.sqrt(s)).astype(np.float32)
     out = np.empty((SYMBOLS * GROUPS, SYMBOLS), np.float32)
     for i in range(SYMBOLS):  # one block of contexts a time
         z = (r[i] * a + g) @ q.T + b
