@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -16,11 +17,19 @@ def tokens(text: Column) -> Column:
     return F.split(text, NON_WORD, -1)
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once: an expression inside a lambda is otherwise computed anew at each element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def ngrams(words: Column, n: int = 5, minimum: int = 5) -> Column:
     """Space-joined n-grams in order; none when there are fewer than max(n, minimum) words."""
-    starts = F.sequence(F.lit(1), F.size(words) - n + 1)
-    grams = F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " "))
-    return F.when(F.size(words) >= max(n, minimum), grams).otherwise(F.array().cast("array<string>"))
+
+    def grams(w: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.size(w) - n + 1)
+        return F.when(F.size(w) >= max(n, minimum), F.transform(starts, lambda i: F.array_join(F.slice(w, i, n), " "))).otherwise(F.array().cast("array<string>"))
+
+    return bound(words, grams)
 
 
 def sha1_u32(text: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 
 import numpy as np
 import pandas as pd
@@ -15,6 +16,8 @@ from tessera.sources.tables import stored
 
 # the hash family: v = (h * a + b) mod P with h the first 32 bits of the gram's md5
 PRIME, SPACE, EMPTY = 2147483647, 1073741789, 4294967295
+SPLIT = re.compile(T.NON_WORD)
+AT_ONCE = 4096  # grams hashed at once
 
 
 def family(num_perm: int) -> tuple[np.ndarray, np.ndarray]:
@@ -34,23 +37,28 @@ def banding(threshold: float, num_perm: int) -> tuple[int, int]:
 
 
 def signatures(code: Column, num_perm: int, n: int = 5, minimum: int = 5) -> Column:
-    """array<long> of num_perm minima over the distinct n-grams; all EMPTY for a text without any."""
+    """array<long> of num_perm minima over the n-grams of text.tokens; all EMPTY for a text without any.
+
+    Only the text goes to Python; grams are made and hashed there, a bounded number at a time.
+    """
     a, b = family(num_perm)
 
     @F.pandas_udf("array<long>")
-    def minima(grams: pd.Series) -> pd.Series:
-        def one(g):
-            if not len(g):
-                return np.full(num_perm, EMPTY, np.int64)
-            h = np.fromiter((int.from_bytes(hashlib.md5(x.encode()).digest()[:4], "big") for x in g), np.int64, len(g))
+    def minima(texts: pd.Series) -> pd.Series:
+        def one(text):
             best = np.full(num_perm, EMPTY, np.int64)
-            for i in range(0, len(h), 4096):  # bounded memory for long texts
-                best = np.minimum(best, ((h[i : i + 4096, None] * a[None, :] + b[None, :]) % PRIME).min(0))
+            words = SPLIT.split(text)
+            grams = len(words) - n + 1 if len(words) >= max(n, minimum) else 0
+            for i in range(0, grams, AT_ONCE):
+                count = min(AT_ONCE, grams - i)
+                digests = b"".join(hashlib.md5(" ".join(words[j : j + n]).encode()).digest()[:4] for j in range(i, i + count))
+                h = np.unique(np.frombuffer(digests, ">u4")).astype(np.int64)
+                best = np.minimum(best, ((h[:, None] * a[None, :] + b[None, :]) % PRIME).min(0))
             return best
 
-        return grams.map(one)
+        return texts.map(one)
 
-    return minima(F.array_distinct(T.ngrams(T.tokens(code), n, minimum)))
+    return minima(code)
 
 
 def bands(df: DataFrame, key: str, column: str, num_perm: int, n_bands: int, rows: int, n: int = 5, minimum: int = 5) -> DataFrame:
@@ -82,8 +90,11 @@ def near_dedup(df: DataFrame, key: str = "doc_id", column: str = "text", **optio
 
 
 def exact_jaccard(df: DataFrame, pairs: DataFrame, key: str = "doc_id", column: str = "text", n: int = 5) -> DataFrame:
-    """(a, b, jaccard) of the given pairs over their distinct n-grams."""
-    grams = df.select(F.col(key), F.array_distinct(T.ngrams(T.tokens(F.col(column)), n, n)).alias("g"))
+    """(a, b, jaccard) of the given pairs over their distinct n-grams, told apart by 64-bit hashes. Grams are made for rows of
+    a pair only."""
+    ids = pairs.select(F.col("a").alias(key)).union(pairs.select(F.col("b").alias(key))).distinct()
+    hashes = F.array_distinct(F.transform(T.ngrams(T.tokens(F.col(column)), n, n), lambda g: F.xxhash64(g)))
+    grams = df.join(ids, key, "left_semi").select(F.col(key), hashes.alias("g"))
     both = pairs.join(grams.select(F.col(key).alias("a"), F.col("g").alias("x")), "a").join(grams.select(F.col(key).alias("b"), F.col("g").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
     return both.select("a", "b", F.coalesce(F.try_divide(common.cast("double"), F.size("x") + F.size("y") - common), F.lit(0.0)).alias("jaccard"))
