@@ -1,22 +1,28 @@
 """N-gram Jaccard join by parity sketches, exact.
 
 A document's set holds its distinct word shingles, as 64-bit hashes. Equal sets are one class from the start. A class of
-size n is hashed into a sketch of P blocks of 64 bits by XOR: every shingle flips one bit of one block. Two sets whose
+size n is hashed into a sketch of K blocks of BITS bits by XOR: every shingle flips one bit of one block. Two sets whose
 symmetric difference is d differ in at most d bits, hence in at most d blocks. Sizes fall into bands whose ratio is the
 threshold, so a pair within it is of one band g or of g and g + 1, and its difference is at most
-``D_g = (1 - t) / t * largest size of g``. With more than D_g blocks, some block is equal: the pigeonhole join is on
-(g, block, bits). Blocks with few bits set would be equal by chance; the number of blocks is therefore a little above
-D_g + 1 and each class leaves out its emptiest ones: it gives all blocks with at least m bits, m as large as leaves
-D_g + 1 of them. Of two similar classes, take the one with the larger m: one of its blocks is equal in the other, whose
-m is not larger, so both give it. No similar pair is lost.
+``D_g = (1 - t) / t * largest size of g``. Of K blocks, K - D_g or more are equal. The pigeonhole join is on (g, block,
+bits), and each class gives its D_g + 1 first blocks only, in one order that all classes share: blocks that no other class
+has come first, then those that fewer rows have. The first block in that order which two similar classes share is among
+the D_g + 1 first of both (K - D_g of a class's blocks stand at or after it), so no similar pair is lost; classes that
+merely share a common passage meet only if it fills most of their blocks, as each leaves out its K - D_g - 1 commonest.
+
+Room: a class's blocks are not kept. They are made from the text again for each of a few slices of the keys, counted and
+joined with their counts a slice at a time; only blocks that several classes have are stored.
 
 Candidates are verified on the whole sets, after a check that their parity sketches, folded to the same length, differ in
-no more bits than the sets may. In a bucket, all classes are first compared with one of them, then, for a few rounds,
-those still in another component with the class of the bucket whose comparisons so far linked most often. A class that all
-others were compared with leaves the bucket, which settles small buckets soon. What is linked is in one component, and only the pairs of a bucket that are still in different components are compared in the end, all of them:
-buckets are cut into tiles of ``TILE`` classes, a row for each two tiles, and only pairs whose check sketches are near
-enough leave it as rows.
-So a group of near copies costs comparisons in proportion to its size.
+no more bits than the sets may. Of buckets with the same members one is kept. In a bucket, all classes are first compared
+with one of them, then, for a few rounds, those still in another component with the class of the bucket whose comparisons
+so far linked most often. A class that all others were compared with leaves the bucket, which settles small buckets soon.
+What is linked is in one component, and only the pairs of a bucket that are still in different components are compared in
+the end, all of them: buckets are cut into tiles of about ``TILE`` classes, a row for each two tiles, and only pairs whose
+check sketches are near enough leave it as rows. So a group of near copies costs comparisons in proportion to its size.
+
+No window runs over a bucket: counts and centres are aggregates that combine before their shuffle, and are joined back, so
+that a bucket with a third of all classes is split by the skew join.
 
 Defined results: a null text or one without words has the empty set, linked with nothing; with fewer words than a
 shingle has, the whole sequence is the only shingle; rows that share a doc_id are separate documents; a null doc_id is
@@ -33,16 +39,19 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import bytekit
-from tessera.llm.common import discard, documents, release, stored
+from tessera.llm.common import discard, documents, stored
 from tessera.operators.components import connected_components
 
 NAME = "op10_jaccard_join"
 WIDTH, NUM, DEN = 3, 90, 100
 SPARE = 1.3  # blocks over D + 1
+BITS = 1 << 16  # of a block
+KEYS = 0.15  # of a slice, for each shingle: a slice of the keys takes less room than the text
 CHECK_WORDS = 8  # at least; sketches have a bit a shingle or more
 TILE_WORDS = 8  # words of a sketch as tiles carry it
 TILE = 64  # classes of a bucket compared at once
-ROUNDS = 2  # at most, of comparing with a bucket's best linked class; what they leave is compared tile by tile
+SEEN = 1 << 20  # classes a task remembers; forgetting them costs repeated rows, no result
+ROUNDS = 1  # at most, of comparing with a bucket's best linked class; what they leave is compared tile by tile
 
 
 class Bands:
@@ -63,64 +72,93 @@ class Bands:
         return (self.starts[g + 1] - 1) * (self.den - self.num) // self.num
 
 
-def shingle_sets(raw: np.ndarray, at: np.ndarray, width: int):
-    """The sorted distinct shingle hashes of each document of a chunk."""
-    raw = bytekit.lowered(raw)
-    start, end, doc = bytekit.words(raw, at)
-    h = bytekit.Spans(raw)(start, end)
-    n_docs = len(at) - 1
-    first = np.searchsorted(doc, np.arange(n_docs + 1))
-    salts = bytekit.mixed(np.arange(1, width + 1, dtype=np.uint64)) | np.uint64(1)
-    m = max(0, len(h) - width + 1)
-    rolled = np.zeros(m, np.uint64)
-    for k in range(width):
-        rolled += h[k : k + m] * salts[k]
-    rolled = bytekit.mixed(rolled)
-    for d in range(n_docs):
-        a, b = first[d], first[d + 1]
-        if b - a >= width:
-            yield np.unique(rolled[a : b - width + 1])
-        elif b > a:
-            yield bytekit.mixed((h[a:b] * salts[: b - a]).sum(dtype=np.uint64, keepdims=True) + np.uint64(int(b - a)))
-        else:
-            yield h[:0]
-
-
-def class_id(u: np.ndarray) -> int:
-    """A hash of a whole set; 0 for the empty one."""
-    if not len(u):
-        return 0
-    return int((bytekit.mixed(bytekit.mixed(u + np.uint64(0x51ED)).sum(dtype=np.uint64, keepdims=True)))[0].astype(np.int64))
-
-
-def keys(u: np.ndarray, g: int, bands: Bands) -> np.ndarray:
-    """Join keys of a set in the band group g."""
-    d = bands.differ(g)
-    if d == 0:
-        return np.zeros(0, np.int64)  # only equal sets qualify, and those are one class
-    blocks = int(np.ceil(SPARE * (d + 1)))
-    block = ((u >> np.uint64(17)) % np.uint64(blocks)).astype(np.int64)
-    order = np.argsort(block)
-    cuts = np.flatnonzero(np.diff(block[order], prepend=-1))
-    sketch = np.zeros(blocks, np.uint64)
-    sketch[block[order][cuts]] = np.bitwise_xor.reduceat((np.uint64(1) << (u & np.uint64(63)))[order], cuts)
-    ones = np.bitwise_count(sketch)
-    least = np.sort(ones)[blocks - d - 1]
-    own = np.flatnonzero(ones >= least).astype(np.uint64)
-    return bytekit.mixed(sketch[own.astype(np.int64)] ^ bytekit.mixed(own + np.uint64(g << 32))).astype(np.int64)
-
-
-def check_sketch(u: np.ndarray) -> list[int]:
-    """A parity sketch of the whole set, for comparing two candidates: a power of two of words, a bit a shingle or more."""
-    words = CHECK_WORDS
-    while 64 * words < len(u):
-        words *= 2
-    word = (u >> np.uint64(7)) & np.uint64(words - 1)
-    order = np.argsort(word)
-    cuts = np.flatnonzero(np.diff(word[order].astype(np.int64), prepend=-1))
-    out = np.zeros(words, np.uint64)
-    out[word[order][cuts].astype(np.int64)] = np.bitwise_xor.reduceat((np.uint64(1) << (u >> np.uint64(58)))[order], cuts)
-    return out.view(np.int64).tolist()
+class Sets:
+    """The sorted distinct shingle hashes of each document of a chunk, end to end: those of d are u[at[d]:at[d + 1]]."""
+
+    def __init__(self, raw: np.ndarray, at: np.ndarray, width: int):
+        raw = bytekit.lowered(raw)
+        start, end, doc = bytekit.words(raw, at)
+        h = bytekit.Spans(raw)(start, end)
+        n_docs = len(at) - 1
+        first = np.searchsorted(doc, np.arange(n_docs + 1))
+        words = np.diff(first)
+        salts = bytekit.mixed(np.arange(1, width + 1, dtype=np.uint64)) | np.uint64(1)
+        sizes = np.where(words >= width, words - width + 1, (words > 0).astype(np.int64))
+        cut = np.concatenate([[0], np.cumsum(sizes)])
+        u = np.zeros(cut[-1], np.uint64)
+        short = np.flatnonzero((words > 0) & (words < width))
+        whole = np.ones(len(u), bool)
+        whole[cut[short]] = False
+        m = max(0, len(h) - width + 1)
+        if m:
+            rolled = np.zeros(m, np.uint64)
+            for k in range(width):
+                rolled += h[k : k + m] * salts[k]
+            u[whole] = bytekit.mixed(rolled[doc[:m] == doc[width - 1 :]])
+        for d in short:
+            a, b = first[d], first[d + 1]
+            u[cut[d]] = bytekit.mixed((h[a:b] * salts[: b - a]).sum(dtype=np.uint64, keepdims=True) + np.uint64(int(b - a)))[0]
+        for a, b in zip(cut[:-1], cut[1:], strict=True):
+            u[a:b].sort()
+        owner = np.repeat(np.arange(n_docs), sizes)
+        keep = np.ones(len(u), bool)
+        keep[1:] = (u[1:] != u[:-1]) | (owner[1:] != owner[:-1])
+        self.u, self.owner = u[keep], owner[keep]
+        self.n = np.bincount(self.owner, minlength=n_docs).astype(np.int64)
+        self.at = np.concatenate([[0], np.cumsum(self.n)])
+
+    def __iter__(self):
+        return (self.u[a:b] for a, b in zip(self.at[:-1], self.at[1:], strict=True))
+
+    def classes(self) -> np.ndarray:
+        """A hash of each whole set; 0 for the empty one."""
+        out = np.zeros(len(self.n), np.uint64)
+        some = np.flatnonzero(self.n)
+        if len(some):
+            out[some] = np.maximum(bytekit.mixed(np.add.reduceat(bytekit.mixed(self.u + np.uint64(0x51ED)), self.at[some])), np.uint64(1))
+        return out.astype(np.int64)
+
+    def of(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(shingles, place in chosen of their document) of the chosen documents."""
+        place = np.full(len(self.n), -1)
+        place[chosen] = np.arange(len(chosen))
+        at = place[self.owner]
+        return self.u[at >= 0], at[at >= 0]
+
+
+_bit_hashes = bytekit.mixed(np.arange(1, BITS + 1, dtype=np.uint64))
+
+
+def keys(u: np.ndarray, owner: np.ndarray, g: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, owner, spare) of the blocks that classes give in their band groups g; u are their shingles, owner says whose.
+    A block's parity bits are named by the XOR of a hash of each bit that is set. Empty blocks come last in the common
+    order and are given only as far as the D + 1 first reach them. spare: how many of its blocks a class may leave out."""
+    differ = np.array([bands.differ(int(x)) for x in g], np.int64)
+    blocks = np.where(differ > 0, np.ceil(SPARE * (differ + 1)).astype(np.int64), 0)  # without a difference only equal sets qualify, and those are one class
+    start = np.cumsum(blocks) - blocks
+    live = blocks[owner] > 0
+    u, owner = u[live], owner[live]
+    sketch = np.zeros(int(blocks.sum()), np.uint64)
+    np.bitwise_xor.at(sketch, start[owner] + ((u >> np.uint64(17)) % blocks[owner].astype(np.uint64)).astype(np.int64), _bit_hashes[(u & np.uint64(BITS - 1)).astype(np.int64)])
+    whose = np.repeat(np.arange(len(g)), blocks)
+    block = np.arange(len(sketch)) - start[whose]
+    full = sketch != 0
+    spare = np.bincount(whose[full], minlength=len(g)) - (differ + 1)
+    empty_before = np.cumsum(~full)
+    base = np.concatenate([[0], empty_before])[start[whose]] if len(sketch) else empty_before
+    given = full | (empty_before - base <= -spare[whose])
+    whose, block = whose[given], block[given]
+    key = bytekit.mixed(sketch[given] ^ bytekit.mixed(block.astype(np.uint64) + (g[whose].astype(np.uint64) << np.uint64(32))))
+    return key.astype(np.int64), whose, np.maximum(spare, 0)
+
+
+def check_sketches(u: np.ndarray, owner: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
+    """A parity sketch of each whole set, for comparing two candidates: a power of two of words, a bit a shingle or more."""
+    words = CHECK_WORDS << np.maximum(0, np.ceil(np.log2(np.maximum(n, 1) / (64 * CHECK_WORDS))).astype(np.int64))
+    start = np.cumsum(words) - words
+    out = np.zeros(int(words.sum()), np.uint64)
+    np.bitwise_xor.at(out, start[owner] + ((u >> np.uint64(7)) & (words[owner] - 1).astype(np.uint64)).astype(np.int64), np.uint64(1) << (u >> np.uint64(58)))
+    return np.split(out.view(np.int64), start[1:]) if len(n) else []
 
 
 def folded(sketch: np.ndarray, words: int) -> np.ndarray:
@@ -128,45 +166,91 @@ def folded(sketch: np.ndarray, words: int) -> np.ndarray:
     return np.bitwise_xor.reduce(sketch.view(np.uint64).reshape(-1, words), axis=0)
 
 
-def _sketches(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """doc_id, n, cls, lower and upper keys and check; a class gives the last three once a task."""
-    schema = "doc_id long, n long, cls long, lower array<long>, upper array<long>, check array<long>"
+def _unseen(cls: np.ndarray, n: np.ndarray, seen: set[int]) -> np.ndarray:
+    """The places of classes that this task has not met yet."""
+    if len(seen) > SEEN:
+        seen.clear()
+    out = []
+    for i in np.flatnonzero(n):
+        c = int(cls[i])
+        if c not in seen:
+            seen.add(c)
+            out.append(i)
+    return np.array(out, np.int64)
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+
+
+def _rows(docs: DataFrame, width: int) -> DataFrame:
+    """doc_id, n, cls and check, which a class gives once a task."""
 
     def run(batches):
-        bands, seen = Bands(num, den), set()
+        seen = set()
         for rows, raw, at in bytekit.chunks(batches):
-            n, cls, lower, upper, check = [], [], [], [], []
-            for u in shingle_sets(raw, at, width):
-                c = class_id(u)
-                n.append(len(u))
-                cls.append(c)
-                if len(u) == 0 or c in seen:
-                    lower.append(None)
-                    upper.append(None)
-                    check.append(None)
-                    continue
-                seen.add(c)
-                g = bands.of(len(u))
-                lower.append(keys(u, g, bands))
-                upper.append(keys(u, g - 1, bands) if g else None)
-                check.append(check_sketch(u))
-            yield pa.RecordBatch.from_arrays(
-                [rows.column("doc_id"), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), *(pa.array(x, pa.list_(pa.int64())) for x in (lower, upper, check))],
-                names=["doc_id", "n", "cls", "lower", "upper", "check"],
-            )
+            sets = Sets(raw, at, width)
+            cls = sets.classes()
+            new = _unseen(cls, sets.n, seen)
+            check = [None] * len(cls)
+            for i, sketch in zip(new, check_sketches(*sets.of(new), sets.n[new]), strict=True):
+                check[i] = sketch
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(sets.n), pa.array(cls), pa.array(check, pa.list_(pa.int64()))], names=["doc_id", "n", "cls", "check"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    return _numbered(docs).mapInArrow(run, "doc_id long, n long, cls long, check array<long>")
+
+
+def _slice(docs: DataFrame, width: int, num: int, den: int, part: int, parts: int) -> DataFrame:
+    """(key, cls, n, up, spare): the blocks of every class in one slice of the keys; up: as the larger of a pair of bands."""
+
+    def run(batches):
+        bands, seen = Bands(num, den), set()
+        for _, raw, at in bytekit.chunks(batches):
+            sets = Sets(raw, at, width)
+            cls = sets.classes()
+            new = _unseen(cls, sets.n, seen)
+            band = np.array([bands.of(int(n)) for n in sets.n[new]], np.int64)
+            for up in (False, True):
+                chosen, g = (new[band > 0], band[band > 0] - 1) if up else (new, band)
+                if not len(chosen):
+                    continue
+                key, whose, spare = keys(*sets.of(chosen), g, bands)
+                here = (key.view(np.uint64) >> np.uint64(40)) % np.uint64(parts) == part
+                key, doc = key[here], chosen[whose[here]]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(key), pa.array(cls[doc]), pa.array(sets.n[doc]), pa.array(np.full(len(key), up)), pa.array(spare[whose[here]])], names=["key", "cls", "n", "up", "spare"]
+                )
+
+    return _numbered(docs).mapInArrow(run, "key long, cls long, n long, up boolean, spare long")
+
+
+def _buckets(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """(key, cls, n, up): for each class and band group the D + 1 first of its blocks, of those only that others have too."""
+    parts = max(1, round(2 * SPARE * (den - num) / num / KEYS))
+    shared = None
+    for part in range(parts):
+        given = stored(_slice(docs, width, num, den, part, parts), "jaccard-blocks")
+        counts = given.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("cls").alias("lo"), F.max("cls").alias("hi"), F.min("up").alias("all_up"))
+        counts = counts.where("lo <> hi AND NOT all_up").select("key", "c")
+        met = stored(given.join(counts, "key"), "jaccard-shared")
+        discard(given)
+        shared = met if shared is None else shared.union(met)
+    commonest = Window.partitionBy("cls", "up").orderBy(F.desc("c"), "key")
+    # several tasks may give a class
+    rest = shared.withColumn("place", F.dense_rank().over(commonest)).where("place > spare").select("key", "cls", "n", "up").distinct()
+    buckets = stored(rest, "jaccard-buckets")
+    return buckets
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """(cls, u): the whole set of every wanted class (cls, doc_id), from one of its documents."""
 
     def run(batches):
-        for rows, raw, at in bytekit.chunks(batches):
-            sets = list(shingle_sets(raw, at, width))
-            yield pa.RecordBatch.from_arrays([pa.array([class_id(u) for u in sets], pa.int64()), pa.array([u.astype(np.int64) for u in sets], pa.list_(pa.int64()))], names=["cls", "u"])
+        for _, raw, at in bytekit.chunks(batches):
+            sets = Sets(raw, at, width)
+            yield pa.RecordBatch.from_arrays([pa.array(sets.classes()), pa.ListArray.from_arrays(pa.array(sets.at, pa.int32()), pa.array(sets.u.astype(np.int64)))], names=["cls", "u"])
 
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = _numbered(docs)
     ids = wanted.select(F.col("doc_id").alias("_id")).distinct()
     texts = docs.join(ids, docs["doc_id"].eqNullSafe(ids["_id"]), "left_semi")
     found = texts.mapInArrow(run, "cls long, u array<long>")
@@ -188,7 +272,7 @@ def _links(docs: DataFrame, width: int, pairs: DataFrame, classes: DataFrame, nu
                 x, y = (v.values.to_numpy(zero_copy_only=False) for v in (x, y))
                 words = min(len(x), len(y))
                 bits = int(np.bitwise_count(folded(x, words) ^ folded(y, words)).sum(dtype=np.int64))
-                keep.append(bits * (den + num) <= (den - num) * (n + m))
+                keep.append(den * min(n, m) >= num * max(n, m) and bits * (den + num) <= (den - num) * (n + m))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     near = stored(both.select("a", "b", "n_a", "n_b", "check_a", "check_b").mapInArrow(compare, "a long, b long"), "jaccard-near")
@@ -215,11 +299,12 @@ def _near_pairs(members: DataFrame, checks: DataFrame, num: int, den: int) -> Da
     step = F.size("check") / TILE_WORDS
     at = F.sequence(F.lit(0), (step - 1).cast("int"))
     short = F.array(*[F.aggregate(at, F.lit(0).cast("long"), _xor_of(w)) for w in range(TILE_WORDS)])
-    numbered = members.join(checks.select("cls", short.alias("check")), "cls").withColumn("tile", F.floor((F.row_number().over(Window.partitionBy("key").orderBy("n", "cls")) - 1) / TILE))
+    many = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / TILE).alias("tiles"))
+    numbered = members.join(many, "key").withColumn("tile", F.pmod(F.xxhash64("cls"), F.col("tiles"))).drop("tiles").join(checks.select("cls", short.alias("check")), "cls")
     tiles = numbered.groupBy("key", "tile").agg(F.collect_list(F.struct("cls", "root", "n", "up", "check")).alias("m"))
     tiles = stored(tiles, "jaccard-tiles")
     # most buckets have one tile and need no join
-    large = tiles.where("tile > 0").select("key").distinct()
+    large = many.where("tiles > 1").select("key")
     x = tiles.join(large, "key", "left_semi").select("key", F.col("tile").alias("tx"), F.col("m").alias("x"))
     y = x.select("key", F.col("tx").alias("ty"), F.col("x").alias("y"))
     one = tiles.join(large, "key", "left_anti").select(F.col("m").alias("x"), F.col("m").alias("y"))
@@ -268,29 +353,26 @@ def _apart(members: DataFrame, roots: DataFrame) -> tuple[DataFrame, int]:
 def join(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: int = DEN) -> DataFrame:
     """docs (doc_id, text) -> doc_id, n_shingles, cls (equal sets), component_id and root, one row per row. The root is the
     component's own also where ids repeat or are null; 0 for all empty sets."""
-    spark = docs.sparkSession
-    sketches = stored(_sketches(docs, width, num, den), "jaccard-sketches")
-    given = sketches.select("cls", "n", F.explode(F.array(F.struct(F.col("lower").alias("k"), F.lit(False).alias("up")), F.struct(F.col("upper").alias("k"), F.lit(True).alias("up")))).alias("s"))
-    given = given.select(F.explode("s.k").alias("key"), "cls", "n", F.col("s.up").alias("up"))
-    in_key = Window.partitionBy("key").orderBy("cls")
-    so_far = in_key.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    # several tasks may give a class; its rows in a bucket are neighbours
-    star = given.withColumn("f", F.first(F.struct("cls", "n", "up")).over(so_far)).withColumn("before", F.lag("cls").over(in_key))
-    star = star.where((F.col("f.cls") != F.col("cls")) & (F.col("before") != F.col("cls")))
-    live = stored(star.select("key", "cls", "n", "up", F.col("f.cls").alias("f"), F.col("f.n").alias("fn"), F.col("f.up").alias("fup")), "jaccard-buckets")
-    release(spark)
+    sketches = stored(_rows(docs, width), "jaccard-rows")
+    rows = sketches.select("doc_id", "n", "cls")
+    given = _buckets(docs, width, num, den)
+    # of buckets with the same members one is enough; its least class is compared with all others first
+    member = lambda salt: F.bit_xor(F.xxhash64("cls", "up", F.lit(salt)))
+    centre = F.min(F.struct("up", "cls", "n"))
+    alike = given.groupBy("key").agg(F.count(F.lit(1)).alias("c"), member(1).alias("x"), member(2).alias("y"), centre.alias("f"), F.min("cls").alias("lo"), F.max("cls").alias("hi"))
+    alike = alike.where("lo <> hi AND NOT f.up").groupBy("c", "x", "y", "lo", "hi").agg(F.min_by("f", "key").alias("f"), F.min("key").alias("key"))
+    live = given.join(alike.select("key", "f"), "key").select("key", "cls", "n", "up", F.col("f.cls").alias("f"), F.col("f.n").alias("fn"))
+    live = stored(live, "jaccard-buckets")
+    discard(given)
     # every class of a live bucket may be compared
-    classes = live.select("cls").union(live.select("f")).distinct()
-    own = sketches.join(classes, "cls", "left_semi").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("check", ignorenulls=True).alias("check"))
+    own = sketches.join(live.select("cls").distinct(), "cls", "left_semi").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("check", ignorenulls=True).alias("check"))
     wanted = stored(own, "jaccard-wanted")
-    rows = stored(sketches.select("doc_id", "n", "cls"), "jaccard-rows")
-    discard(sketches)
-    pairs = live.where(~(F.col("up") & F.col("fup")) & _close("n", "fn", num, den))
+    pairs = live.where((F.col("cls") != F.col("f")) & _close("n", "fn", num, den))
     tested = stored(pairs.select(F.least("f", "cls").alias("a"), F.greatest("f", "cls").alias("b")).distinct(), "jaccard-pairs")
     links = stored(_links(docs, width, tested, wanted, num, den), "jaccard-links")
     roots = connected_components(links, stored)
     # the class that all others of a bucket were compared with has no pair left there: it leaves the bucket
-    members, left = _apart(live.select("key", "cls", "n", "up"), roots)
+    members, left = _apart(live.where("cls <> f").select("key", "cls", "n", "up"), roots)
     discard(live)
     for _ in range(ROUNDS):
         if left <= 0:
@@ -331,8 +413,8 @@ def classed(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
     def run(batches):
         for rows, raw, at in bytekit.chunks(batches):
-            cls = [class_id(u) for u in shingle_sets(raw, at, width)]
-            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(cls, pa.int64())], names=[*rows.schema.names, "cls"])
+            cls = Sets(raw, at, width).classes()
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(cls)], names=[*rows.schema.names, "cls"])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields), "cls long"])
     return kept.mapInArrow(run, schema)

@@ -1,6 +1,8 @@
 import random
 import re
 
+import numpy as np
+
 from tessera.llm import jaccard
 
 
@@ -60,3 +62,49 @@ def test_empty_table_and_long_text(spark):
     df = spark.createDataFrame([(1, "x y " * 200_000), (2, "z" * 500_000)], "doc_id long, text string")
     assert sorted(tuple(r)[0] for r in jaccard.join(df).collect()) == [1, 2]
     assert jaccard.join(df.limit(0)).count() == 0
+
+
+def test_small_tiles_and_no_rounds(spark, monkeypatch):
+    """Everything that stars leave open goes through tiles, in many slices of the keys."""
+    monkeypatch.setattr(jaccard, "TILE", 2)
+    monkeypatch.setattr(jaccard, "ROUNDS", 0)
+    monkeypatch.setattr(jaccard, "KEYS", 0.1)
+    texts = corpus(7, 120)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted((tuple(r) for r in jaccard.join(df, 5, 80, 100).select("doc_id", "n_shingles", "component_id").collect()), key=str)
+    assert got == brute(list(enumerate(texts)), 5, 80, 100)
+
+
+def test_similar_sets_always_meet():
+    """The D + 1 first blocks of any two sets within the threshold have one in common, whatever the order."""
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        n = int(rng.integers(5, 400))
+        x = rng.integers(0, 2**63, n).astype(np.uint64)
+        out = int(rng.integers(0, n // 5 + 1))
+        y = np.concatenate([x[out:], rng.integers(0, 2**63, int(rng.integers(0, n // 10 + 1))).astype(np.uint64)])
+        x, y = np.unique(x), np.unique(y)
+        x, y = (x, y) if len(x) <= len(y) else (y, x)
+        common = len(np.intersect1d(x, y))
+        if 100 * common < 80 * (len(x) + len(y) - common):
+            continue
+        bands = jaccard.Bands(80, 100)
+        g = bands.of(len(x))
+        assert bands.of(len(y)) in (g, g + 1)
+        if bands.differ(g) == 0:
+            assert len(np.setxor1d(x, y)) == 0
+            continue
+        given = [jaccard.keys(u, np.zeros(len(u), np.int64), np.array([g]), bands) for u in (x, y)]
+        order = {int(k): rng.random() for k in np.concatenate([given[0][0], given[1][0]])}
+        first = [set(sorted((int(k) for k in key), key=order.get)[: len(key) - int(spare[0])]) for key, _, spare in given]
+        # a class that gives fewer blocks than K has left out empty ones, which come last
+        assert all(len(f) == bands.differ(g) + 1 for f in first)
+        assert first[0] & first[1]
+
+
+def test_forgetting_classes_costs_rows_only():
+    seen = set()
+    cls, n = np.array([5, 5, 6, 0]), np.array([1, 1, 1, 0])
+    assert list(jaccard._unseen(cls, n, seen)) == [0, 2] and not len(jaccard._unseen(cls, n, seen))
+    seen.update(range(jaccard.SEEN + 1))
+    assert list(jaccard._unseen(cls, n, seen)) == [0, 2] and len(seen) == 2
