@@ -1,17 +1,21 @@
 """Benchmark decontamination: a positional inverted index over the training documents, phrase and proximity matches.
 
-``build_index`` tokenises every document once and stores the postings (term, document, position) of all terms that the
-test set uses. Phrases are matched the way search engines do it: for each test window the terms are ordered by their
-corpus frequency, the postings of the rarest one give candidate starts (position minus the term's offset in the
-window), the offset-adjusted postings of the next two rarest terms are intersected with them, and what is left is
-compared word by word with the document. A window is ``WINDOW`` consecutive item words; a shorter item is one window.
+``build_index`` tokenises every document once and stores the postings (term, row, position) of all terms that the test
+set uses. Phrases are matched the way search engines do it: for each test window the terms are ordered by their corpus
+frequency, the postings of the rarest one give candidate starts (position minus the term's offset in the window), the
+offset-adjusted postings of the next two rarest terms are intersected with them, and what is left is compared with the
+document's own words at that place, by a 64-bit hash of the stretch. A window is ``WINDOW`` consecutive item words; a
+shorter item is one window.
 
-Only the test vocabulary, whose size is checked (``VOCABULARY_LIMIT`` terms), is broadcast; beyond it the same joins run
-as shuffles. Candidates are spread by document, so a term or document that is frequent in the corpus meets in no task.
+Test terms, anchors and windows are broadcast only if their counted rows and characters are small (``TERMS``,
+``CHARACTERS``); beyond that the same joins run as shuffles. Candidates are spread by row, so a term or document that is
+frequent in the corpus meets in no task.
 
 Defined results: a null text has no words, hence no hits; an item without words has no window and never occurs; equal
-items are told apart by item_id; rows that share a doc_id are judged separately; empty tables give no rows (an empty
-benchmark: no hits); other columns of the inputs are ignored. A null item_id sorts as the text ``null``.
+items are told apart by item_id; a row is known by a hash of its doc_id (null or not) and text, so rows that share a
+doc_id are judged separately; empty tables give no rows (an empty benchmark: no hits). All columns of docs are returned,
+whatever their names, but for n_words, n_hit and items, which are replaced; other columns of the benchmark are ignored.
+A null item_id sorts as the text ``null``.
 """
 
 from __future__ import annotations
@@ -19,14 +23,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import ascii_lower, documents, stored
+from tessera.llm.common import ascii_lower, discard, documents, stored
 
 NAME = "op1_decontaminate"
 WINDOW = 13
 RARE_TERMS = 3
-NO_ID = -(1 << 63)  # stands for a null doc_id in the index
 SHARE = 20  # contaminated from one hit word in SHARE
-VOCABULARY_LIMIT = 200_000
+TERMS = 200_000  # broadcast: at most so many test terms,
+CHARACTERS = 32 << 20  # and tables of the windows of at most so many characters of phrases and item ids
 # the contract's complement of ASCII non-words, written as the characters it leaves: the regex engine is some 30 times faster on it
 WORD = r"[0-9a-z\x{80}-\x{10FFFF}]+"
 
@@ -46,70 +50,82 @@ def windows(benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
     return each.groupBy("phrase").agg(F.first("terms").alias("terms"), F.sort_array(F.collect_set("item_id")).alias("items")).withColumn("width", F.size("terms")).withColumn("window_id", F.xxhash64("phrase", F.lit(1)))
 
 
-def build_index(docs: DataFrame, vocabulary: DataFrame, n_terms: int) -> DataFrame:
-    """Postings (term_id, doc_id, pos) of the vocabulary's terms in all documents; pos counts words from 0."""
-    tokens = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), F.posexplode(words(F.col("text"))).alias("pos", "term"))
-    vocabulary = F.broadcast(vocabulary) if n_terms <= VOCABULARY_LIMIT else vocabulary
-    return stored(tokens.join(vocabulary, "term").select("term_id", "doc_id", "pos"), "postings")
+class Tests:
+    """The stored windows of a benchmark and their distinct terms, with what may be broadcast of them."""
 
+    def __init__(self, benchmark: DataFrame, width: int):
+        self.windows = stored(windows(benchmark, width), "test-windows")
+        self.terms = stored(self.windows.select(F.explode("terms").alias("term")).distinct().withColumn("term_id", F.xxhash64("term")), "test-terms")
+        letters = F.char_length("phrase") + F.aggregate("items", F.lit(0), lambda n, x: n + F.char_length(x))
+        self.small = self.terms.count() <= TERMS
+        self.few = (self.windows.agg(F.sum(letters.cast("long"))).first()[0] or 0) <= CHARACTERS
 
-def _candidates(index: DataFrame, anchors: DataFrame, n_terms: int) -> DataFrame:
-    """(window_id, doc_id, start) at which the rarest terms of a window stand at their offsets."""
-    small = n_terms <= VOCABULARY_LIMIT
+    def held(self, terms: DataFrame) -> DataFrame:
+        """A table with a row a term."""
+        return F.broadcast(terms) if self.small else terms
+
+    def near(self, table: DataFrame) -> DataFrame:
+        """A table with at most RARE_TERMS rows a window, none of them longer than the window."""
+        return F.broadcast(table) if self.few else table
+
+
+def _row_id(docs: DataFrame) -> Column:
+    return F.xxhash64(docs["doc_id"], docs["text"])
+
+
+def build_index(docs: DataFrame, tests: Tests) -> DataFrame:
+    """Postings (term_id, row, pos) of the tests' terms in all documents; pos counts words from 0."""
+    tokens = docs.select(_row_id(docs).alias("row"), F.posexplode(words(docs["text"])).alias("pos", "term"))
+    return stored(tokens.join(tests.held(tests.terms), "term").select("term_id", "row", "pos"), "postings")
+
+
+def _candidates(index: DataFrame, anchors: DataFrame, tests: Tests) -> DataFrame:
+    """(window_id, row, start) at which the rarest terms of a window stand at their offsets."""
     found = None
     for k in range(RARE_TERMS):
-        own = anchors.where(F.col("rarity") == k + 1).select("term_id", "window_id", "offset", "used")
-        own = F.broadcast(own) if small else own
-        hits = index.join(own, "term_id").where(F.col("pos") >= F.col("offset")).select("doc_id", "window_id", (F.col("pos") - F.col("offset")).alias("start"), "used")
+        own = tests.near(anchors.where(F.col("rarity") == k + 1).select("term_id", "window_id", "offset", "used"))
+        hits = index.join(own, "term_id").where(F.col("pos") >= F.col("offset")).select("row", "window_id", (F.col("pos") - F.col("offset")).alias("start"), "used")
         if found is None:
             found = hits
         else:
             # windows of fewer than k + 1 terms have nothing more to intersect
             kept = found.where(F.col("used") <= k)
-            more = found.where(F.col("used") > k).join(hits.drop("used"), ["doc_id", "window_id", "start"], "left_semi")
+            more = found.where(F.col("used") > k).join(hits.drop("used"), ["row", "window_id", "start"], "left_semi")
             found = kept.unionByName(more)
-    return found.select("doc_id", "window_id", "start")
+    return found.select("row", "window_id", "start")
 
 
-def _anchors(index: DataFrame, tests: DataFrame, terms: DataFrame) -> DataFrame:
+def _anchors(index: DataFrame, tests: Tests) -> DataFrame:
     """The RARE_TERMS rarest terms of every window (ties by offset), by their counts in the corpus."""
     counts = index.groupBy("term_id").agg(F.count(F.lit(1)).alias("n"))
-    each = tests.select("window_id", F.posexplode("terms").alias("offset", "term")).join(terms, "term").join(counts, "term_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    each = tests.windows.select("window_id", F.posexplode("terms").alias("offset", "term")).join(tests.terms, "term").join(counts, "term_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     order = Window.partitionBy("window_id").orderBy("n", "offset")
     each = each.withColumn("rarity", F.row_number().over(order)).withColumn("used", F.least(F.lit(RARE_TERMS), F.count(F.lit(1)).over(Window.partitionBy("window_id"))))
-    return each.where(F.col("rarity") <= RARE_TERMS)
-
-
-def _terms(tests: DataFrame) -> tuple[DataFrame, int]:
-    terms = stored(tests.select(F.explode("terms").alias("term")).distinct().withColumn("term_id", F.xxhash64("term")), "test-terms")
-    return terms, terms.count()
+    return stored(each.where(F.col("rarity") <= RARE_TERMS), "test-anchors")
 
 
 def phrase_matches(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
     """docs with the columns n_words, n_hit and items (sorted ids of the items with a window in the document)."""
-    tests = stored(windows(benchmark, width), "test-windows")
-    terms, n_terms = _terms(tests)
-    index = build_index(docs, terms, n_terms)
-    anchors = stored(_anchors(index, tests, terms), "test-anchors")
-    found = _candidates(index, anchors, n_terms)
-    tests_side = F.broadcast(tests) if n_terms <= VOCABULARY_LIMIT else tests
-    found = found.join(tests_side.select("window_id", "phrase", "width", "items"), "window_id")
-    per_doc = found.groupBy("doc_id").agg(F.collect_set(F.struct("start", "width", "phrase", "items")).alias("_c"))
-    per_doc = per_doc.withColumnRenamed("doc_id", "_id")
-    d = docs.join(per_doc, F.coalesce(docs["doc_id"], F.lit(NO_ID)) == per_doc["_id"], "left").drop("_id")
+    tests = Tests(benchmark, width)
+    index = build_index(docs, tests)
+    found = _candidates(index, _anchors(index, tests), tests)
+    found = found.join(tests.near(tests.windows.select("window_id", "width", "items")), "window_id")
+    # a window's items stand once a row, however often it occurs there
+    places, owners = F.collect_set(F.struct("start", "width", "window_id")), F.collect_set(F.struct("window_id", "items"))
+    per_row = stored(found.groupBy("row").agg(places.alias("places"), owners.alias("owners")), "test-candidates")
+    discard(index)
+    d = docs.select(_row_id(docs).alias("row"), docs["text"], F.struct("*").alias("doc")).join(per_row, "row", "left")
 
     def judged(w: Column) -> Column:
-        hits = F.filter("_c", lambda c: F.array_join(F.slice(w, c["start"] + 1, c["width"]), " ") == c["phrase"])
-        sorted_hits = F.array_sort(F.transform(hits, lambda c: F.struct(c["start"].alias("start"), c["width"].alias("width"), c["items"].alias("items"))))
-        return F.struct(F.size(w).cast("long").alias("n_words"), sorted_hits.alias("h"))
+        hits = F.filter("places", lambda c: F.xxhash64(F.array_join(F.slice(w, c["start"] + 1, c["width"]), " "), F.lit(1)) == c["window_id"])
+        return F.struct(F.size(w).cast("long").alias("n_words"), F.array_sort(hits).alias("hits"))
 
     # the one-element array binds the words to a lambda variable: they are made once a document, not once a candidate
-    d = d.withColumn("_j", F.transform(F.array(words(F.col("text"))), judged)[0])
-    d = d.withColumn("n_words", F.col("_j.n_words")).withColumn("_h", F.col("_j.h"))
+    d = d.withColumn("judged", F.transform(F.array(words(F.col("text"))), judged)[0])
     # covered words: starts are sorted, so each window adds what lies beyond the furthest end so far
     zero = F.struct(F.lit(0).alias("end"), F.lit(0).alias("n"))
     covered = F.aggregate(
-        "_h",
+        "judged.hits",
         zero,
         lambda acc, c: F.struct(
             F.greatest(acc["end"], c["start"] + c["width"]).alias("end"),
@@ -117,9 +133,15 @@ def phrase_matches(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -
         ),
         lambda acc: acc["n"],
     )
-    d = d.withColumn("n_hit", F.coalesce(covered, F.lit(0)).cast("long"))
-    d = d.withColumn("items", F.coalesce(F.array_sort(F.array_distinct(F.flatten(F.transform("_h", lambda c: c["items"])))), F.array().cast("array<string>")))
-    return d.drop("_c", "_j", "_h")
+    there = F.array_distinct(F.transform("judged.hits", lambda c: c["window_id"]))
+    items = F.flatten(F.transform(F.filter("owners", lambda o: F.array_contains("there", o["window_id"])), lambda o: o["items"]))
+    d = d.withColumn("there", there).select(
+        *[F.col("doc")[c].alias(c) for c in docs.columns if c not in ("n_words", "n_hit", "items")],
+        F.col("judged.n_words").alias("n_words"),
+        F.coalesce(covered, F.lit(0)).cast("long").alias("n_hit"),
+        F.coalesce(F.array_sort(F.array_distinct(items)), F.array().cast("array<string>")).alias("items"),
+    )
+    return d
 
 
 def contaminated() -> Column:
@@ -127,26 +149,26 @@ def contaminated() -> Column:
 
 
 def proximity_matches(docs: DataFrame, benchmark: DataFrame, slop: int = 8, width: int = WINDOW) -> DataFrame:
-    """(doc_id, item_id, start, end): places where the rarest terms of one of an item's windows all stand within
-    their own spread plus ``slop`` words, in any order. One row per place of the rarest term."""
-    tests = stored(windows(benchmark, width), "test-windows")
-    terms, n_terms = _terms(tests)
-    index = build_index(docs, terms, n_terms)
-    anchors = stored(_anchors(index, tests, terms), "test-anchors")
-    small = n_terms <= VOCABULARY_LIMIT
-    spread = anchors.groupBy("window_id").agg((F.max("offset") - F.min("offset")).alias("spread"), F.countDistinct("term_id").alias("need"))
+    """(doc_id, item_id, at, start, end), distinct: the places (at) of the rarest term of one of an item's windows at which
+    each other of the window's rarest terms has a posting, in any order, at most their spread in the window plus ``slop``
+    words away. start and end bound the nearest postings (the earlier one of a tie)."""
+    tests = Tests(benchmark, width)
+    index = build_index(docs, tests)
+    anchors = _anchors(index, tests)
+    spread = anchors.groupBy("window_id").agg((F.max("offset") - F.min("offset") + slop).alias("reach"), F.countDistinct("term_id").alias("need"))
     first = anchors.where("rarity = 1").select("window_id", "term_id").join(spread, "window_id")
-    first = F.broadcast(first) if small else first
-    centre = index.join(first, "term_id").select("doc_id", "window_id", F.col("pos").alias("at"), (F.col("spread") + slop).alias("reach"), "need")
-    own = anchors.select("window_id", "term_id").distinct()
-    own = F.broadcast(own) if small else own
-    near = index.join(own, "term_id").select("doc_id", "window_id", "pos", "term_id")
-    # the places of the rarest term meet the other terms' postings of the same document and window
-    both = centre.join(near, ["doc_id", "window_id"]).where(F.abs(F.col("pos") - F.col("at")) <= F.col("reach"))
-    nearest = both.groupBy("doc_id", "window_id", "at", "reach", "need", "term_id").agg(F.min_by("pos", F.abs(F.col("pos") - F.col("at"))).alias("pos"))
-    met = nearest.groupBy("doc_id", "window_id", "at", "reach", "need").agg(F.count(F.lit(1)).alias("have"), F.min("pos").alias("start"), F.max("pos").alias("end"))
-    met = met.where((F.col("have") == F.col("need")) & (F.col("end") - F.col("start") <= F.col("reach")))
-    return met.join(tests.select("window_id", F.explode("items").alias("item_id")), "window_id").select("doc_id", "item_id", "start", "end").distinct()
+    centre = index.join(tests.near(first), "term_id").select("row", "window_id", F.col("pos").alias("at"), "reach", "need")
+    own = anchors.select("window_id", "term_id").distinct().join(spread.select("window_id", "reach"), "window_id")
+    near = index.join(tests.near(own), "term_id").select("row", "window_id", "pos", "term_id", F.expr("pos div (reach + 1)").alias("cell"))
+    # a place meets the postings of its own cell and the next ones on either side, which hold all within reach
+    cells = centre.withColumn("cell", F.explode(F.expr("transform(array(-1, 0, 1), k -> k + at div (reach + 1))")))
+    both = cells.join(near, ["row", "window_id", "cell"]).where(F.abs(F.col("pos") - F.col("at")) <= F.col("reach"))
+    distance = F.struct(F.abs(F.col("pos") - F.col("at")), F.col("pos"))
+    nearest = both.groupBy("row", "window_id", "at", "need", "term_id").agg(F.min_by("pos", distance).alias("pos"))
+    met = nearest.groupBy("row", "window_id", "at", "need").agg(F.count(F.lit(1)).alias("have"), F.min("pos").alias("start"), F.max("pos").alias("end"))
+    met = met.where(F.col("have") == F.col("need")).join(tests.windows.select("window_id", F.explode("items").alias("item_id")), "window_id")
+    ids = docs.select(_row_id(docs).alias("row"), docs["doc_id"].alias("doc_id")).distinct()
+    return met.join(ids, "row").select("doc_id", "item_id", "at", "start", "end").distinct()
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,9 +2,9 @@
 
 Every document gets a hash-random key. Within its source, documents are taken in key order until the source's
 budget of words is used; a budget above the source's size repeats the source (whole epochs first, then the cut).
-The prefix sums are distributed: keys fall into ranges of about ``RANGE_ROWS`` rows per source, one sum per
-(source, range) gives each range its offset, and a running sum inside a range does the rest, so a source with a
-third of all rows is spread over many tasks.
+The prefix sums are distributed: keys fall into ranges of about ``RANGE_ROWS`` rows per source, or the square root of its
+rows if that is more; one sum per (source, range) gives each range its offset, and a running sum inside a range does the
+rest, so neither the ranges of a source nor the rows of a range are many for one task.
 
 Defined results: a null or blank text has size 0 and is taken 0 times; rows that share a doc_id are mixed
 separately (equal rows are interchangeable); an empty table gives no rows; a null source is one source, ordered last;
@@ -47,9 +47,9 @@ def targets(sources: DataFrame, share: float = SHARE, epochs: int = EPOCHS, weig
     return s.select("source", "source_size", "n_docs", "target")
 
 
-def random_key(column: str, seed: int):
-    """40 hash-random bits of the id and the seed: the first ten hex digits of an md5."""
-    text = F.concat(F.coalesce(F.col(column).cast("string"), F.lit("")), F.lit(f":{seed}"))
+def random_key(seed: int):
+    """40 hash-random bits of the id (without one: of the text) and the seed: the first ten hex digits of an md5."""
+    text = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.col("text"), F.lit("")), F.lit(f":{seed}"))
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 10), 16, 10).cast("long")
 
 
@@ -59,11 +59,11 @@ def mix(docs: DataFrame, share: float = SHARE, epochs: int = EPOCHS, weights=WEI
         "doc_id",
         "source",
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        random_key("doc_id", seed).alias("_key"),
+        random_key(seed).alias("_key"),
     )
     sized = stored(sized, "mix-sizes")
     per = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
-    goals = targets(per, share, epochs, weights).withColumn("_ranges", F.ceil(F.col("n_docs") / range_rows).cast("long"))
+    goals = targets(per, share, epochs, weights).withColumn("_ranges", F.ceil(F.col("n_docs") / F.greatest(F.lit(float(range_rows)), F.sqrt("n_docs"))).cast("long"))
     goals = stored(goals, "mix-targets")
     # one row per source; joined by a hint-free equi-join that Spark broadcasts only under its own size threshold
     d = sized.join(goals, sized["source"].eqNullSafe(goals["source"])).drop(goals["source"])
@@ -88,7 +88,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':17'), 1, 10))::BIGINT AS k
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, text, '') || ':17'), 1, 10))::BIGINT AS k
   FROM documents
 ), s AS (
   SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source
