@@ -6,7 +6,8 @@ prototype bundles its training texts, each at unit length. A text is compared wi
 
 Characters are lower-cased letters; every run of others counts as one blank, and trigrams of a text that has a letter
 are taken over the text with a blank at either end. Trigrams are kept as hashes with their vectors in a small cache per
-task, so memory doesn't grow with the corpus; prototypes are sums over tasks, one row per language and task.
+task and added a slice at a time, so memory grows neither with the corpus nor with the trigrams of one text; prototypes
+are sums over tasks, one row per language and task.
 
 Learned from rows whose crc32(doc_id) mod 5 is not 0 and whose lang isn't null. Defined results: a null text, or one
 without a letter, is ``und`` with score 0; so is every text where nothing could be learned; the score is the cosine
@@ -26,40 +27,69 @@ from tessera.llm.common import crc_mod, documents
 NAME = "op6_language"
 DIMENSIONS = 256
 SEED = 6
-CACHE = 50_000  # trigram vectors a task keeps; beyond, they are made again
+CACHE = 50_000  # trigram vectors a task keeps; others are made again at each text
+SLICE = 8192  # vectors added at once
 FOLDS, HELD_OUT = 5, 0
 UNKNOWN = "und"
 
 
 class Vectors:
-    """Trigram vectors by a 63-bit code of three code points."""
-
-    def __init__(self, dimensions: int = DIMENSIONS, seed: int = SEED):
-        self.dimensions, self.seed = dimensions, seed
-        self.letters: dict[int, np.ndarray] = {}
-        self.codes, self.table = np.zeros(0, np.int64), np.zeros((0, dimensions), np.float32)
-
-    def letter(self, c: int) -> np.ndarray:
-        if c not in self.letters:
-            bits = np.random.default_rng((self.seed, c)).integers(0, 2, self.dimensions)
-            self.letters[c] = (2 * bits - 1).astype(np.float32)
-        return self.letters[c]
-
-    def _bound(self, code: int) -> np.ndarray:
-        a, b, c = code >> 42, (code >> 21) & 0x1FFFFF, code & 0x1FFFFF
-        return np.roll(self.letter(a), 2) * np.roll(self.letter(b), 1) * self.letter(c)
-
-    def __call__(self, codes: np.ndarray) -> np.ndarray:
-        """One row per code; codes are distinct."""
-        new = np.setdiff1d(codes, self.codes, assume_unique=True)
+    """Trigram vectors by a 63-bit code of three code points: a table of those met first, the others made when needed."""
+
+    def __init__(self, dimensions: int = DIMENSIONS, seed: int = SEED, cache: int = CACHE):
+        self.dimensions, self.seed, self.cache = dimensions, seed, cache
+        self.places: dict[int, int] = {}
+        self.letters = np.zeros((3, 0, dimensions), np.int8)  # as the first, second and third of a trigram
+        self.codes, self.rows = np.zeros(0, np.int64), np.zeros(0, np.int64)  # sorted codes and their rows of the table
+        self.table = np.zeros((0, dimensions), np.float32)
+
+    def _letters(self, c: np.ndarray) -> np.ndarray:
+        """Places of code points among the letters; new ones are added."""
+        kinds, at = np.unique(c, return_inverse=True)
+        new = [int(x) for x in kinds if int(x) not in self.places]
+        if new:
+            bits = np.stack([np.random.default_rng((self.seed, x)).integers(0, 2, self.dimensions) for x in new])
+            own = (2 * bits - 1).astype(np.int8)
+            self.letters = np.concatenate([self.letters, np.stack([np.roll(own, 2, 1), np.roll(own, 1, 1), own])], axis=1)
+            self.places.update({x: len(self.places) + i for i, x in enumerate(new)})
+        return np.array([self.places[int(x)] for x in kinds], np.int64)[at]
+
+    def _bound(self, codes: np.ndarray) -> np.ndarray:
+        at = self._letters(np.concatenate([codes >> 42, (codes >> 21) & 0x1FFFFF, codes & 0x1FFFFF])).reshape(3, -1)
+        return (self.letters[0, at[0]] * self.letters[1, at[1]] * self.letters[2, at[2]]).astype(np.float32)
+
+    def _known(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which codes have a row, and the rows of those."""
+        if not len(self.codes):
+            return np.zeros(len(codes), bool), np.zeros(0, np.int64)
+        at = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
+        known = self.codes[at] == codes
+        return known, self.rows[at[known]]
+
+    def bundle(self, codes: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """The sum of the vectors of distinct codes, n times each; SLICE vectors at a time."""
+        known, rows = self._known(codes)
+        new = codes[~known][: max(0, self.cache - len(self.codes))]
         if len(new):
-            if len(self.codes) + len(new) > CACHE:
-                self.codes, self.table, new = np.zeros(0, np.int64), self.table[:0], codes
-            rows = np.stack([self._bound(int(c)) for c in new])
-            all_codes = np.concatenate([self.codes, new])
-            order = np.argsort(all_codes)
-            self.codes, self.table = all_codes[order], np.concatenate([self.table, rows])[order]
-        return self.table[np.searchsorted(self.codes, codes)]
+            size = len(self.codes) + len(new)
+            if size > len(self.table):
+                more = np.zeros((min(self.cache, max(1024, 2 * size)), self.dimensions), np.float32)
+                more[: len(self.codes)] = self.table[: len(self.codes)]
+                self.table = more
+            for i in range(0, len(new), SLICE):
+                part = new[i : i + SLICE]
+                self.table[len(self.codes) + i : len(self.codes) + i + len(part)] = self._bound(part)
+            at = np.searchsorted(self.codes, new)
+            self.rows = np.insert(self.rows, at, np.arange(len(self.codes), size))
+            self.codes = np.insert(self.codes, at, new)
+            known, rows = self._known(codes)
+        out, count = np.zeros(self.dimensions, np.float32), n.astype(np.float32)
+        own, rest, rest_count = count[known], codes[~known], count[~known]
+        for i in range(0, len(rows), SLICE):
+            out += own[i : i + SLICE] @ self.table[rows[i : i + SLICE]]
+        for i in range(0, len(rest), SLICE):
+            out += rest_count[i : i + SLICE] @ self._bound(rest[i : i + SLICE])
+        return out
 
 
 class _Fold(dict):
@@ -87,7 +117,7 @@ def bundle(text: str | None, vectors: Vectors) -> np.ndarray | None:
     if not len(codes):
         return None
     codes, n = np.unique(codes, return_counts=True)
-    return n.astype(np.float32) @ vectors(codes)
+    return vectors.bundle(codes, n)
 
 
 def prototypes(docs: DataFrame) -> dict[str, np.ndarray]:

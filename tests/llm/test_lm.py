@@ -42,3 +42,13 @@ def test_odd_rows(spark):
     df = spark.createDataFrame([(d, t, 0.5) for d, t in rows], "doc_id long, text string, score double")
     close([(r.doc_id, r.n_tokens, r.n_known, r.train_tokens, r.base_score) for r in lm.scored(df).collect()], base(rows))
     assert lm.scored(df.limit(0)).count() == 0
+
+
+def test_rare_and_frequent_counts_agree(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    want = {r.doc_id: r for r in lm.scored(docs).collect()}
+    monkeypatch.setattr(lm, "FREQUENT", lm.OWN)
+    for r in lm.scored(docs).collect():
+        w = want[r.doc_id]
+        assert (r.n_tokens, r.n_known) == (w.n_tokens, w.n_known)
+        assert abs(r.base_score - w.base_score) < 1e-6 * abs(w.base_score) and abs(r.score - w.score) < 1e-6 * abs(w.score)

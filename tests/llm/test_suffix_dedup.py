@@ -1,6 +1,8 @@
 import hashlib
 import random
 
+import numpy as np
+
 from tessera.llm import suffix_dedup as S
 
 L = S.LENGTH
@@ -66,3 +68,24 @@ def test_empty_and_very_long(spark):
     df = spark.createDataFrame([(1, "xyz " * 200_000), (2, "xyz " * 100)], "doc_id long, text string")
     assert [r[2] for r in result(df)] == [0, 400]
     assert result(df.limit(0)) == []
+
+
+def test_small_groups_and_many_parts(spark, monkeypatch):
+    monkeypatch.setattr(S, "HELD", 2)
+    monkeypatch.setattr(S, "PASSES", 5)
+    rows = list(enumerate(corpus(11)))
+    assert result(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
+
+
+def test_a_text_beyond_the_packed_size():
+    """The order of a document too long for packed places is the same."""
+    rng = np.random.default_rng(2)
+    raw = rng.integers(97, 100, 1 << 12).astype(np.uint8)
+    at = np.array([0, len(raw)])
+    _, rank = S.ranks(raw)
+    packed = S.elected(rank, at)
+    long = np.concatenate([raw, np.zeros((1 << 24) + 1 - len(rank), np.uint8) + 100])
+    _, rank = S.ranks(long)
+    unpacked = S.elected(rank, np.array([0, len(long)]))
+    n = len(packed[1]) - 2
+    assert all(np.array_equal(a[:n], b[:n]) for a, b in zip(packed, unpacked, strict=True))
