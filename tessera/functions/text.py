@@ -65,8 +65,7 @@ def last_block(text: Column) -> Column:
 ALIASES = {
     "python": ["python", "Python", "py", "Python3", "python3", "PY"],
     "cpp": ["cpp", "c++", "C++", "Cpp", "CPP"],
-    "nodejs": ["nodejs", "js", "JS"],
-    "javascript": ["javascript", "Javascript", "JavaScript"],
+    "nodejs": ["javascript", "Javascript", "JavaScript", "JS", "js"],
     "go": ["go", "Go"],
     "java": ["java", "Java"],
     "php": ["php", "PHP"],
@@ -85,21 +84,29 @@ ALIASES = {
     "kotlin": ["kotlin", "Kotlin"],
     "c": ["c", "C"],
     "html": ["html", "Html", "HTML"],
+    "javascript": ["javascript", "Javascript", "JavaScript"],
     "verilog": ["verilog", "Verilog", "VERILOG"],
     "racket": ["racket"],
     "swift": ["swift"],
 }
 
 
+# a name that two languages have stands for the later one
+CANONICAL = {name: language for language, names in ALIASES.items() for name in names}
+
+# fixed values: code that stands without fences, blank lines taken out; None: all of it
+HEURISTICS = {"python": r"(?m)(?:^(?:import|from|#)[^\n]+\n)*^(?:def|class) [^\n]+\n(?:\s+[^\n]+\n)+", "sql": r"(?im)^\s*(?:select|with\s[^\n]+as)[^;]*", "bash": None}
+
+
 def canonical_language(name: Column) -> Column:
-    pairs = [x for k, names in ALIASES.items() for n in names for x in (F.lit(n), F.lit(k))]
-    return F.coalesce(F.try_element_at(F.create_map(*pairs), name), F.lit(""))
+    known = F.create_map(*[F.lit(x) for pair in CANONICAL.items() for x in pair])
+    return F.coalesce(F.try_element_at(known, name), F.lit(""))
 
 
 def _blocks(text: Column, pattern: str, priority: int) -> Column:
     names, bodies = (F.regexp_extract_all(text, F.lit(pattern), F.lit(g)) for g in (1, 2))
     zipped = F.arrays_zip(names.alias("name"), bodies.alias("code"))
-    return F.transform(zipped, lambda b: F.struct(F.lit(priority).alias("priority"), canonical_language(F.trim(b["name"])).alias("language"), b["code"].alias("code")))
+    return F.transform(zipped, lambda b: F.struct(F.lit(priority).alias("priority"), canonical_language(stripped(b["name"])).alias("language"), b["code"].alias("code")))
 
 
 def fenced_blocks(text: Column) -> Column:
@@ -112,18 +119,35 @@ def open_blocks(text: Column) -> Column:
     return _blocks(text, FENCE_OPEN, 20)
 
 
+def heuristic_blocks(text: Column, language: Column) -> Column:
+    """Code without fences, in the wanted language; priority 10."""
+    dense = F.concat(F.array_join(F.filter(F.split(text, "\n", -1), lambda x: stripped(x) != ""), "\n"), F.lit("\n"))
+    codes = F.array().cast("array<string>")
+    for name, pattern in HEURISTICS.items():
+        own = F.array(dense) if pattern is None else F.regexp_extract_all(dense, F.lit(pattern), F.lit(0))
+        codes = F.when(language == name, own).otherwise(codes)
+    return F.transform(codes, lambda c: F.struct(F.lit(10).alias("priority"), language.alias("language"), c.alias("code")))
+
+
 def best_block(text: Column, language: Column) -> Column:
     """Of the blocks with the highest priority the first in the language, else the first; '' if there is none."""
-    blocks = F.concat(fenced_blocks(text), open_blocks(text))
-    top = F.filter(blocks, lambda b: b["priority"] == F.array_max(F.transform(blocks, lambda x: x["priority"])))
-    same = F.filter(top, lambda b: b["language"] == language)
-    return F.coalesce(F.try_element_at(same, F.lit(1))["code"], F.try_element_at(top, F.lit(1))["code"], F.lit(""))
+
+    def chosen(blocks: Column) -> Column:
+        top = F.filter(blocks, lambda b: b["priority"] == F.array_max(F.transform(blocks, lambda x: x["priority"])))
+        same = F.filter(top, lambda b: b["language"] == language)
+        return F.coalesce(F.try_element_at(same, F.lit(1))["code"], F.try_element_at(top, F.lit(1))["code"], F.lit(""))
+
+    return bound(F.concat(fenced_blocks(text), open_blocks(text), heuristic_blocks(text, language)), chosen)
+
+
+# fixed values: a fence that holds the function solution()
+FENCE_SOLUTION = r"(?s)```python\n(.*?)def solution\(\):\n(.*?)```"
 
 
 def solution_block(text: Column) -> Column:
-    """The first fenced block that defines solution(), else the text."""
-    blocks = F.filter(F.regexp_extract_all(text, F.lit(FENCE_LANG), F.lit(1)), lambda b: b.contains("def solution("))
-    return F.coalesce(F.try_element_at(blocks, F.lit(1)), text)
+    """From the first Python fence to the end of the fence in which solution() is defined; '' without one."""
+    head, body = (F.regexp_extract(text, FENCE_SOLUTION, g) for g in (1, 2))
+    return F.when(text.rlike(FENCE_SOLUTION), F.concat(head, F.lit("def solution():\n"), body)).otherwise(F.lit(""))
 
 
 # --- cutting, assembling ----------------------------------------------------------------------------------------------
@@ -136,12 +160,17 @@ def cut_at(text: Column, *marks: str) -> Column:
 ENTRY_POINTS = {"python": 'if __name__ == "__main__":', "cpp": "int main()", "go": "package main"}
 
 
+def before_mark(text: Column, mark: str) -> Column:
+    """What stands before the first mark, blanks at either end stripped; the text as it is without one."""
+    return F.when(text.contains(mark), stripped(F.substring_index(text, mark, 1))).otherwise(text)
+
+
 def without_entry_point(code: Column, language: str) -> Column:
     if language == "go":
         code = F.replace(code, F.lit(ENTRY_POINTS["go"]), F.lit(""))
     elif language in ENTRY_POINTS:
-        code = cut_at(code, ENTRY_POINTS[language])
-    return F.trim(cut_at(code, "# Example usage"))
+        code = before_mark(code, ENTRY_POINTS[language])
+    return before_mark(code, "# Example usage")
 
 
 def append_test(code: Column, test: Column, mark: str = "#<INSERT>") -> Column:
@@ -157,12 +186,24 @@ def commented(code: Column, mark: str = "# ") -> Column:
     return F.array_join(F.transform(F.split(code, "\n", -1), lambda x: F.concat(F.lit(mark), x)), "\n")
 
 
+# fixed values: the import that a proof must not have
+WHOLE_LIBRARY = r"\bimport\s+Mathlib([^\w.]|$)"
+
+
 def lean_hoisted(code: Column) -> Column:
-    """Imports first, then opens, then the other lines."""
-    lines = F.split(code, "\n", -1)
-    is_import, is_open = (lambda x: F.ltrim(x).startswith("import ")), (lambda x: F.ltrim(x).startswith("open "))
-    parts = F.concat(F.filter(lines, is_import), F.filter(lines, is_open), F.filter(lines, lambda x: ~is_import(x) & ~is_open(x)))
-    return F.trim(F.array_join(parts, "\n"))
+    """Imports first, but for one of the whole library, then opens, an empty line, and the other lines."""
+
+    def sorted_lines(lines: Column) -> Column:
+        is_import, is_open = (lambda x: stripped(x).startswith("import ")), (lambda x: stripped(x).startswith("open "))
+        imports = F.filter(lines, lambda x: is_import(x) & ~stripped(x).rlike(WHOLE_LIBRARY))
+        rest = F.filter(lines, lambda x: ~is_import(x) & ~is_open(x))
+        return stripped(F.array_join(F.concat(imports, F.filter(lines, is_open), F.array(F.lit("")), rest), "\n"))
+
+    return bound(F.split(code, "\n", -1), sorted_lines)
+
+
+def lean_without_imports(code: Column) -> Column:
+    return stripped(F.array_join(F.filter(F.split(code, "\n", -1), lambda x: ~stripped(x).startswith("import ")), "\n"))
 
 
 def middle_ellipsis(text: Column, limit: int = 1000) -> Column:
@@ -175,6 +216,11 @@ def tail_lines(text: Column, n: int = 60) -> Column:
     return F.array_join(F.slice(lines, F.greatest(F.lit(1), F.size(lines) - n + 1), n), "\n")
 
 
+def tail_words(text: Column, n: int = 1600) -> Column:
+    """The last n words, space-joined."""
+    return bound(whitespace_words(text), lambda w: F.array_join(F.slice(w, F.greatest(F.lit(1), F.size(w) - n + 1), n), " "))
+
+
 def php_tagged(code: Column) -> Column:
     return F.when(F.ltrim(code).startswith("<?php"), code).otherwise(F.concat(F.lit("<?php\n"), code))
 
@@ -184,6 +230,17 @@ def template(text: Column, fields: dict[str, Column]) -> Column:
     return reduce(lambda t, kv: F.replace(t, F.lit("{" + kv[0] + "}"), kv[1]), fields.items(), text)
 
 
+def dollar_template(text: Column, fields: dict[str, Column]) -> Column:
+    """$name and ${name} replaced by each field, $$ by one dollar; names without a field stay. No field's own dollars are
+    looked at again: the text is cut at its dollars first."""
+    hold = "\x00"
+    names = "|".join(sorted(fields, key=len, reverse=True))
+    marked = F.regexp_replace(text, rf"\$(?:(\$)|\{{({names})\}}|({names})(?![A-Za-z0-9_]))", f"{hold}$1$2$3{hold}")
+    known = F.create_map(F.lit("$"), F.lit("$"), *[x for k, v in fields.items() for x in (F.lit(k), v)])
+    parts = F.split(marked, hold, -1)
+    return F.array_join(F.transform(parts, lambda x, i: F.when(i % 2 == 1, F.try_element_at(known, x)).otherwise(x)), "")
+
+
 # --- comparing ----------------------------------------------------------------------------------------------------
 NUMBER = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
 

@@ -25,6 +25,37 @@ def family(num_perm: int) -> tuple[np.ndarray, np.ndarray]:
     return (i * 1103515245 + 12345) % SPACE + 1, (i * 69069 + 1) % SPACE
 
 
+# a second family: v = ((h * a + b) mod 2^61 - 1) cut to 32 bits in wrapping 64-bit arithmetic, h the first 32 bits of the gram's
+# SHA-1 (little-endian); a and b come from the first one's rule, spread over 61 bits
+MERSENNE = (1 << 61) - 1
+
+
+def wide_family(num_perm: int) -> tuple[np.ndarray, np.ndarray]:
+    i = np.arange(num_perm, dtype=np.uint64)
+    a, b = i * np.uint64(6364136223846793005) + np.uint64(1442695040888963407), i * np.uint64(2862933555777941757) + np.uint64(3037000493)
+    return a % np.uint64(MERSENNE - 1) + np.uint64(1), b % np.uint64(MERSENNE)
+
+
+def wide_signatures(code: Column, num_perm: int, n: int = 5, minimum: int = 5) -> Column:
+    """As signatures, by the second family."""
+    a, b = wide_family(num_perm)
+
+    @F.pandas_udf("array<long>")
+    def minima(texts: pd.Series) -> pd.Series:
+        def one(text):
+            best, words = np.full(num_perm, EMPTY, np.uint64), SPLIT.split(text)
+            grams = len(words) - n + 1 if len(words) >= max(n, minimum) else 0
+            for i in range(0, grams, AT_ONCE):
+                digests = b"".join(hashlib.sha1(" ".join(words[j : j + n]).encode()).digest()[:4] for j in range(i, min(grams, i + AT_ONCE)))
+                h = np.unique(np.frombuffer(digests, "<u4")).astype(np.uint64)
+                best = np.minimum(best, ((h[:, None] * a + b) % np.uint64(MERSENNE) & np.uint64(EMPTY)).min(0))
+            return best.astype(np.int64)
+
+        return texts.map(one)
+
+    return minima(code)
+
+
 def banding(threshold: float, num_perm: int) -> tuple[int, int]:
     """(bands, rows) with the least sum of false positive and false negative area; rows = num_perm // bands."""
     below, above = np.linspace(0, threshold, 4001), np.linspace(threshold, 1, 4001)

@@ -350,28 +350,21 @@ def judge_contest(df: DataFrame, completion: str = "completion", tests: str = "t
 
 
 def answer_part(completion: Column) -> Column:
-    """What an answer holds between its marks."""
-    cut = F.substring_index(F.substring_index(completion, "# done", 1), "[/ANSWER]", 1)
-    return T.stripped(F.when(cut.contains("[ANSWER]"), F.substring_index(cut, "[ANSWER]", -1)).otherwise(cut))
+    """What an answer holds after its first opening mark, up to its closing mark; without one, all of it."""
+    cut = T.cut_at(completion, "# done", "[/ANSWER]")
+    return F.when(cut.contains("[ANSWER]"), T.stripped(F.split_part(cut, F.lit("[ANSWER]"), F.lit(2)))).otherwise(cut)
 
 
 def prediction_program(code: Column, given: Column, expected: Column, answer: Column, mode: str) -> Column:
-    """A program that asserts a predicted input or output."""
-    if mode == "input":
-        claim = F.concat(F.lit("assert f("), answer, F.lit(") == "), expected)
-    else:
-        claim = F.concat(F.lit("assert "), answer, F.lit(" == f("), given, F.lit(")"))
-    return F.concat(code, F.lit("\n"), claim)
+    """A program that asserts a predicted input (a call of f) or output."""
+    fact = expected if mode == "input" else F.concat(F.lit("f("), given, F.lit(")"))
+    return F.concat(code, F.lit("\nassert "), answer, F.lit(" == "), fact)
 
 
 def assert_program(setup: Column, code: Column, tests: Column) -> Column:
     return F.concat_ws("\n", setup, code, F.array_join(tests, "\n"))
 
 
-def function_program(prompt: Column, completion: Column, test: Column, entry_point: Column) -> Column:
-    return F.concat(prompt, completion, F.lit("\n"), test, F.lit("\ncheck("), entry_point, F.lit(")"))
-
-
 def math_program(code: Column, answer: Column) -> Column:
     """Asserts that solution() gives the answer, numbers within tolerance."""
     check = "\n_r = solution()\n_e = {}\ntry:\n    _ok = abs(float(_r) - float(_e)) < 1e-6 * max(1, abs(float(_e)))\nexcept (TypeError, ValueError):\n    _ok = str(_r).strip() == str(_e).strip()\nassert _ok\n"
@@ -401,28 +394,6 @@ def retrieval_prompt(df: DataFrame, group: str, order: str, snippet: str, budget
     return kept.groupBy(group).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_o", T.commented(F.col(snippet)).alias("t")))), lambda x: x["t"]), "\n").alias("prompt"))
 
 
-# problem class -> what judges it
-EVALUATORS: dict[str, str] = {
-    "CommonOJDataset": "judge_stdio",
-    "AutoEvalDataset": "append_test + judge_programs",
-    "CruxEvalDataset": "prediction_program + judge_programs",
-    "HumanEvalDataset": "function_program + judge_programs",
-    "MultiPLEDataset": "function_program + judge_programs",
-    "EvoEvalDataset": "function_program + judge_programs + pass_at_k",
-    "LiveCodeBenchDataset": "judge_contest",
-    "MBPPDataset": "assert_program + judge_programs",
-    "MBXPDataset": "guarded + append_test + judge_programs",
-    "MHPPDataset": "assert_program + judge_programs + pass_at_k",
-    "MiniF2FLean4Dataset": "lean_hoisted + judge_programs + proof_verdict",
-    "NaturalCodeBenchDataset": "tagged_code + judge_programs (pytest)",
-    "PalMathDataset": "solution_block + math_program + judge_programs",
-    "RepobenchCDataset": "next_line_verdict",
-    "RepobenchPDataset": "retrieval_prompt + next_line_verdict",
-    "VerilogDataset": "judge_programs (verilog)",
-    "AiderBenchmarkDataset": "inserted_program + judge_programs",
-}
-
-
 def run_tests(df: DataFrame, code: str = "code", tests: str = "tests", timeout: float = 30) -> DataFrame:
     """pytest of each row's tests against its code (module ``file``): exit_code, feedback, coverage of the code's lines."""
     names = {0: "OK", 1: "TESTS_FAILED", 2: "INTERRUPTED", 3: "INTERNAL_ERROR", 4: "USAGE_ERROR", 5: "NO_TESTS"}

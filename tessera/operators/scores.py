@@ -125,13 +125,22 @@ def jest_cases(df: DataFrame, report: str) -> DataFrame:
 
 
 def seed_multisets(df: DataFrame, key: str, size: int, limit: int, seed: int = 42) -> DataFrame:
-    """``limit`` distinct sorted multisets of ``size`` keys, by hash order; fewer where there are no more. For small
-    seed lists: combinations are spelt out."""
-    keys = [r[0] for r in df.select(key).distinct().orderBy(key).collect()]
-    from itertools import combinations_with_replacement
-
-    rows = [(list(x),) for x in combinations_with_replacement(keys, size)]
-    kind = dict(df.dtypes)[key]
-    all_sets = df.sparkSession.createDataFrame(rows, f"members array<{kind}>")
+    """``limit`` distinct sorted multisets of ``size`` keys, by hash order; fewer where there are no more. Sets grow by a
+    join on keys no smaller than their last one."""
+    keys = df.select(F.col(key).alias("k")).distinct()
+    sets = keys.select(F.array("k").alias("members"), F.col("k").alias("last"))
+    for _ in range(size - 1):
+        sets = sets.join(keys, F.col("k") >= F.col("last")).select(F.concat("members", F.array("k")).alias("members"), F.col("k").alias("last"))
     text = F.array_join(F.transform("members", lambda x: x.cast("string")), ",")
-    return all_sets.orderBy(F.md5(F.concat(text, F.lit(f":{seed}")).cast("binary")), text).limit(limit)
+    return sets.select("members").orderBy(F.md5(F.concat(text, F.lit(f":{seed}")).cast("binary")), text).limit(limit)
+
+
+def difficulty(results: Column) -> Column:
+    """The category of a problem's results: the first one's difficulty."""
+    return F.get_json_object(results, "$[0].test_info.difficulty_type")
+
+
+def category_of_id(key: Column) -> Column:
+    """The category that an id names between its marks; null without them."""
+    found = F.regexp_extract(key, "EvoEval_(.*)_EvoEval", 1)
+    return F.when(found != "", found)

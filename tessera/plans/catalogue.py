@@ -6,14 +6,16 @@ In fixtures ``~`` stands for a line end.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.operators import annotate as A
-from tessera.operators import dedup, extraction, formatting, judge, rewrite, scores, symbols
+from tessera.operators import dedup, extraction, formatting, judge, rewrite, scores, submission, symbols
 from tessera.operators.components import connected_components
 from tessera.sources import tables as S
 from tessera.streaming import jobs
@@ -127,11 +129,11 @@ def _(spark, sf):
     return parts[0].unionByName(parts[1])
 
 
-@query("shard_union", "SELECT text AS code FROM documents WHERE lang IN ('en', 'de')")
+@query("shard_union", "SELECT text AS code FROM documents WHERE lang IS NOT NULL")
 def _(spark, sf):
-    d = table(spark, sf, "documents")
-    en, de = (S.renamed(d.where(F.col("lang") == x)).select("code") for x in ("en", "de"))
-    return en.unionByName(de)
+    """One shard a language, put together again."""
+    d = S.renamed(table(spark, sf, "documents"))
+    return reduce(DataFrame.unionByName, [d.where(F.col("language") == x).select("code") for x in ("de", "en", "es", "fr")])
 
 
 @query("set_operations", "SELECT doc_id, 'both' AS side FROM (SELECT doc_id FROM documents INTERSECT SELECT doc_id FROM labels) UNION ALL SELECT doc_id, 'documents' FROM (SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels)")
@@ -212,7 +214,8 @@ def _(spark, sf):
 
 
 _ANSWERS = fixture(
-    """(1, 'say ```python~x = 1~``` and ```~y = 2~```'), (2, 'none here'), (3, 'open ```sql~select 1'), (4, '```bash~ls~```~then~```python~print(2)~```'),
+    """(9, 'import os~def f(x):~    return x~~~done'), (10, 'so:~~def g():~~    y = 1~    return y~class A:~    pass~'), (11, '```nodejs~a~```~```C#~b~```~```zig~c~```~```rs~d~```~```PHP~e~```'),
+(12, 'SELECT a~from t; with x as (~select 1)~from x; end'), (1, 'say ```python~x = 1~``` and ```~y = 2~```'), (2, 'none here'), (3, 'open ```sql~select 1'), (4, '```bash~ls~```~then~```python~print(2)~```'),
 (5, 'a ```inline``` b'), (6, '```js~f()~```~```JavaScript~g()~```'), (7, '```python~def solution():~    return 3~```'), (8, '```python~import os~```~```python~def solution():~    return 4~```')""",
     "id",
     "t",
@@ -231,7 +234,11 @@ def _(spark, sf):
     return spark.sql(f"SELECT * FROM {_ANSWERS}").select("id", T.last_block(F.col("t")).alias("body"))
 
 
-_ALIAS_SQL = "CASE " + " ".join(f"WHEN n IN ({', '.join(repr(a) for a in names)}) THEN '{k}'" for k, names in T.ALIASES.items()) + " ELSE '' END"
+# written out by hand: the library's own table is not asked
+_ALIAS_SQL = """CASE WHEN n IN ('python', 'Python', 'py', 'Python3', 'python3', 'PY') THEN 'python' WHEN n IN ('JS', 'js') THEN 'nodejs'
+WHEN n IN ('javascript', 'Javascript', 'JavaScript') THEN 'javascript' WHEN n IN ('bash', 'Bash', 'BASH', 'sh', 'shell') THEN 'bash' WHEN n IN ('sql', 'SQL', 'Sql') THEN 'sql'
+WHEN n IN ('cpp', 'c++', 'C++', 'Cpp', 'CPP') THEN 'cpp' WHEN n IN ('c', 'C') THEN 'c' WHEN n IN ('csharp', 'c#', 'C#') THEN 'csharp' WHEN n IN ('rust', 'Rust', 'rs') THEN 'rust'
+WHEN n IN ('php', 'PHP') THEN 'php' WHEN n IN ('D', 'd') THEN 'D' WHEN n IN ('R', 'r') THEN 'R' ELSE '' END"""
 
 
 @query("fenced_blocks", rf"SELECT id, {_ALIAS_SQL} AS language, code FROM (SELECT id, trim(unnest(regexp_extract_all(t, '(?s)```([^\n]*)\n(.*?)\n\s*```', 1))) AS n, unnest(regexp_extract_all(t, '(?s)```([^\n]*)\n(.*?)\n\s*```', 2)) AS code FROM {_ANSWERS})")
@@ -239,12 +246,27 @@ def _(spark, sf):
     return spark.sql(f"SELECT * FROM {_ANSWERS}").select("id", F.explode(T.fenced_blocks(F.col("t"))).alias("b")).select("id", "b.language", "b.code")
 
 
-@query("default_extract")
+def _default(language: str, heuristic: str) -> str:
+    """SQL: complete fences, then open ones, then the pattern over the text without blank lines."""
+    names = lambda p: f"list_transform(regexp_extract_all(t, '{p}', 1), lambda n: {_ALIAS_SQL.replace(chr(10), ' ').replace('WHEN n IN', 'WHEN trim(n) IN')})"
+    codes = lambda p: f"regexp_extract_all(t, '{p}', 2)"
+    whole, rest = r"(?s)```([^\n]*)\n(.*?)\n\s*```", r"(?s)```([^\n]*)\n(.*)"
+    pick = lambda p: f"coalesce({codes(p)}[list_position({names(p)}, '{language}')], {codes(p)}[1])"
+    return f"coalesce({pick(whole)}, {pick(rest)}, regexp_extract_all(array_to_string(list_filter(string_split(t, chr(10)), lambda x: trim(x) <> ''), chr(10)) || chr(10), '{heuristic}')[1], '')"
+
+
+_PY_CODE, _SQL_CODE = r"(?m)(?:^(?:import|from|#)[^\n]+\n)*^(?:def|class) [^\n]+\n(?:\s+[^\n]+\n)+", r"(?im)^\s*(?:select|with\s[^\n]+as)[^;]*"
+
+
+@query("default_extract", f"SELECT id, {_default('python', _PY_CODE)} AS code, {_default('sql', _SQL_CODE)} AS statement FROM {_ANSWERS}")
 def _(spark, sf):
-    return spark.sql(f"SELECT * FROM {_ANSWERS}").select("id", T.best_block(F.col("t"), F.lit("python")).alias("code"))
+    return spark.sql(f"SELECT * FROM {_ANSWERS}").select("id", T.best_block(F.col("t"), F.lit("python")).alias("code"), T.best_block(F.col("t"), F.lit("sql")).alias("statement"))
+
 
+_SOLUTION = r"'(?s)```python\n(.*?)def solution\(\):\n(.*?)```'"
 
-@query("solution_block", rf"SELECT id, coalesce(list_filter(regexp_extract_all(t, {_FENCED}, 1), lambda b: contains(b, 'def solution('))[1], t) AS code FROM {_ANSWERS}")
+
+@query("solution_block", f"SELECT id, CASE WHEN regexp_matches(t, {_SOLUTION}) THEN regexp_extract(t, {_SOLUTION}, 1) || 'def solution():' || chr(10) || regexp_extract(t, {_SOLUTION}, 2) ELSE '' END AS code FROM {_ANSWERS}")
 def _(spark, sf):
     return spark.sql(f"SELECT * FROM {_ANSWERS}").select("id", T.solution_block(F.col("t")).alias("code"))
 
@@ -252,9 +274,20 @@ def _(spark, sf):
 _CODES = fixture("""(1, 'x = 1~if __name__ == "__main__":~    main()'), (2, 'y = 2~# Example usage~print(y)'), (3, 'z = 3'), (4, 'import A~open B~theorem c~ import D'), (5, 'exit( 0 )'), (6, 'f()~[DONE]~g()~')""", "id", "t")
 
 
-@query("strip_entrypoint", f"SELECT id, trim(split_part(split_part(t, 'if __name__ == \"__main__\":', 1), '# Example usage', 1)) AS code FROM {_CODES}")
+_MAINS = fixture("""(1, 'x = 1~if __name__ == "__main__":~    main()'), (2, 'y = 2~# Example usage~print(y)'), (3, 'int f();~int main() { }'), (4, 'package main~func f() { }~// package main'), (5, ' z '), (6, '')""", "id", "t")
+
+
+def _before(text: str, mark: str) -> str:
+    return f"CASE WHEN contains({text}, '{mark}') THEN regexp_replace(split_part({text}, '{mark}', 1), '^\\s+|\\s+$', '', 'g') ELSE {text} END"
+
+
+def _no_entry(text: str) -> str:
+    return _before("c", "# Example usage").join(["(SELECT ", f" FROM (SELECT {text} AS c))"])
+
+
+@query("strip_entrypoint", f"SELECT id, {_no_entry(_before('t', 'if __name__ == \"__main__\":'))} AS python, {_no_entry(_before('t', 'int main()'))} AS cpp, {_no_entry(chr(39).join(['replace(t, ', 'package main', ', ', '', ')']))} AS go FROM {_MAINS}")
 def _(spark, sf):
-    return spark.sql(f"SELECT * FROM {_CODES}").select("id", T.without_entry_point(F.col("t"), "python").alias("code"))
+    return spark.sql(f"SELECT * FROM {_MAINS}").select("id", *[T.without_entry_point(F.col("t"), x).alias(x) for x in ("python", "cpp", "go")])
 
 
 _TESTS = fixture("(1, 'f = 1', 'a~#<INSERT>~b'), (2, 'g = 2~if __name__ == 1: g()', 'assert g'), (3, 'h', '#<INSERT>')", "id", "t_code", "t_test")
@@ -275,9 +308,44 @@ def _(spark, sf):
     return spark.sql(f"SELECT * FROM {_CODES}").select("id", T.commented(F.col("t")).alias("code"))
 
 
-@query("lean_hoist", f"SELECT id, trim(array_to_string(list_concat(list_concat(list_filter(l, lambda x: ltrim(x) LIKE 'import %'), list_filter(l, lambda x: ltrim(x) LIKE 'open %')), list_filter(l, lambda x: NOT ltrim(x) LIKE 'import %' AND NOT ltrim(x) LIKE 'open %')), chr(10))) AS code FROM (SELECT id, string_split(t, chr(10)) AS l FROM {_CODES})")
+_LEAN = fixture("(1, 'import A~open B~theorem c~ import D'), (2, 'import Mathlib~import Mathlib.Data~  open Nat ~theorem x'), (3, 'theorem y~~import Mathlib '), (4, '')", "id", "t")
+_STRIP = "regexp_replace({0}, '^\\s+|\\s+$', '', 'g')"
+_IMPORT, _OPEN = (f"starts_with({_STRIP.format('x')}, '{m} ')" for m in ("import", "open"))
+
+
+@query("lean_hoist", f"SELECT id, {_STRIP.format(f'array_to_string(list_concat(list_concat(list_concat(list_filter(l, lambda x: {_IMPORT} AND NOT regexp_matches({_STRIP.format(chr(120))}, {chr(39)}\\bimport\\s+Mathlib([^\\w.]|$){chr(39)})), list_filter(l, lambda x: {_OPEN})), [{chr(39) * 2}]), list_filter(l, lambda x: NOT {_IMPORT} AND NOT {_OPEN})), chr(10))')} AS code FROM (SELECT id, string_split(t, chr(10)) AS l FROM {_LEAN})")
+def _(spark, sf):
+    return spark.sql(f"SELECT * FROM {_LEAN}").select("id", T.lean_hoisted(F.col("t")).alias("code"))
+
+
+@query("lean_without_imports", f"SELECT id, {_STRIP.format(f'array_to_string(list_filter(string_split(t, chr(10)), lambda x: NOT {_IMPORT}), chr(10))')} AS code FROM {_LEAN}")
 def _(spark, sf):
-    return spark.sql(f"SELECT * FROM {_CODES}").select("id", T.lean_hoisted(F.col("t")).alias("code"))
+    return spark.sql(f"SELECT * FROM {_LEAN}").select("id", T.lean_without_imports(F.col("t")).alias("code"))
+
+
+@query("dollar_template", "SELECT item_id, 'Item ' || item_id || ' costs $5: ' || text || ' $unknown ' || text || 's' AS prompt FROM benchmark")
+def _(spark, sf):
+    fields = {"id": F.col("item_id").cast("string"), "text": F.col("text")}
+    return table(spark, sf, "benchmark").select("item_id", T.dollar_template(F.lit("Item $id costs $$5: $text $unknown ${text}s"), fields).alias("prompt"))
+
+
+@query("tail_words", r"SELECT doc_id, array_to_string(list_slice(w, greatest(1, len(w) - 1599), len(w)), ' ') AS tail FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM documents)")
+def _(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", T.tail_words(F.col("text")).alias("tail"))
+
+
+@query("label_keys", "SELECT doc_id, CASE WHEN quality = 1 THEN 'quality' END AS quality, NULL::VARCHAR AS prompt, CASE WHEN toxic = 1 THEN 'toxic' END AS toxic FROM labels")
+def _(spark, sf):
+    """Labels without the key 'prompt' and without null values."""
+    named = F.create_map(F.lit("prompt"), F.lit("x"), F.lit("quality"), F.when(F.col("quality") == 1, "quality"), F.lit("toxic"), F.when(F.col("toxic") == 1, "toxic"))
+    kept = table(spark, sf, "labels").select("doc_id", F.map_filter(named, lambda k, v: (k != "prompt") & v.isNotNull()).alias("m"))
+    return kept.select("doc_id", *[F.try_element_at("m", F.lit(k)).alias(k) for k in ("quality", "prompt", "toxic")])
+
+
+@query("result_category", "SELECT * FROM (VALUES (1, 'hard', 'creative'), (2, NULL, NULL)) AS v(id, difficulty, category)")
+def _(spark, sf):
+    rows = [(1, '[{"passed": true, "test_info": {"difficulty_type": "hard"}}]', "EvoEval_creative_EvoEval_7"), (2, "[]", "HumanEval/3")]
+    return spark.createDataFrame(rows, "id int, tests string, key string").select("id", scores.difficulty(F.col("tests")).alias("difficulty"), scores.category_of_id(F.col("key")).alias("category"))
 
 
 @query("check_program", f"SELECT id, t || chr(10) || 'check(' || 'f' || ')' AS program FROM {_CODES}")
@@ -317,10 +385,12 @@ def _(spark, sf):
     return b.select(F.col("item_id").alias("a"), T.same_tokens(F.col("text"), wide).alias("same"))
 
 
-@query("answer_part", f"SELECT id, regexp_replace(CASE WHEN contains(c, '[ANSWER]') THEN string_split(c, '[ANSWER]')[-1] ELSE c END, '^\\s+|\\s+$', '', 'g') AS answer FROM (SELECT id, split_part(split_part(t, '# done', 1), '[/ANSWER]', 1) AS c FROM {fixture('(1, $$think [ANSWER] f(3) [/ANSWER] x$$), (2, $$7 # done$$), (3, $$8$$)'.replace('$$', chr(39)), 'id', 't')})")
+_SHOWN = fixture("(1, 'think [ANSWER] f(3) [/ANSWER] x'), (2, '7 # done'), (3, '8'), (4, '[ANSWER]~a [ANSWER] b')", "id", "t")
+
+
+@query("answer_part", f"SELECT id, CASE WHEN contains(c, '[ANSWER]') THEN regexp_replace(string_split(c, '[ANSWER]')[2], '^\\s+|\\s+$', '', 'g') ELSE c END AS answer FROM (SELECT id, split_part(split_part(t, '# done', 1), '[/ANSWER]', 1) AS c FROM {_SHOWN})")
 def _(spark, sf):
-    given = fixture("(1, 'think [ANSWER] f(3) [/ANSWER] x'), (2, '7 # done'), (3, '8')", "id", "t")
-    return spark.sql(f"SELECT * FROM {given}").select("id", judge.answer_part(F.col("t")).alias("answer"))
+    return spark.sql(f"SELECT * FROM {_SHOWN}").select("id", judge.answer_part(F.col("t")).alias("answer"))
 
 
 # --- aggregates, prefixes, status -------------------------------------------------------------------------------------
@@ -448,6 +518,96 @@ def _(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.rank().over(by.orderBy(F.desc("n_chars"))).alias("place"), F.lag("doc_id").over(by.orderBy(F.desc("n_chars"), "doc_id")).alias("before"))
 
 
+# --- readers and writers, through the shared folder ---------------------------------------------------------------------
+def _folder(spark, name: str) -> str:
+    return f"{S.shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+_DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+@query("json_lines", "SELECT doc_id, text, lang, source, n_chars FROM documents")
+def _(spark, sf):
+    path = _folder(spark, "json")
+    S.write_json(table(spark, sf, "documents"), path)
+    return S.read_json(spark, path, _DOCS)
+
+
+@query("json_gzip", "SELECT doc_id, text, lang, source, n_chars FROM documents")
+def _(spark, sf):
+    path = _folder(spark, "gzip")
+    table(spark, sf, "documents").write.option("compression", "gzip").json(path)
+    return S.read_json(spark, path, _DOCS)
+
+
+@query("json_array", "SELECT item_id, text FROM benchmark")
+def _(spark, sf):
+    path = _folder(spark, "array")
+    S.write_json(table(spark, sf, "benchmark"), path, pretty_limit=100_000)
+    return S.read_json(spark, path, "item_id long, text string", whole_file=True)
+
+
+@query("seed_list", "SELECT (row_number() OVER (ORDER BY item_id) - 1)::INTEGER AS position, text AS seed FROM benchmark")
+def _(spark, sf):
+    path = _folder(spark, "seeds")
+    seeds = F.transform(F.array_sort(F.collect_list(F.struct("item_id", "text"))), lambda x: x["text"])
+    table(spark, sf, "benchmark").agg(F.to_json(seeds).alias("value")).coalesce(1).write.text(path)
+    return S.read_seed_list(spark, path)
+
+
+@query("language_folders", "SELECT lower(lang) AS folder, count(*)::BIGINT AS n, sum(n_chars)::BIGINT AS chars FROM documents WHERE lang IS NOT NULL GROUP BY 1")
+def _(spark, sf):
+    path = _folder(spark, "languages")
+    S.write_by_language(S.renamed(table(spark, sf, "documents").where("lang IS NOT NULL")), path)
+    return spark.read.parquet(path).groupBy("folder").agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"))
+
+
+@query("unify", "SELECT text AS code, 0::BIGINT AS errors FROM documents UNION ALL SELECT text, 0 FROM benchmark")
+def _(spark, sf):
+    path = _folder(spark, "shards")
+    for name in ("documents", "benchmark"):
+        S.renamed(table(spark, sf, name)).write.parquet(f"{path}/{name}")
+    found, errors = S.unify(spark, [f"{path}/documents", f"{path}/benchmark", f"{path}/missing"])
+    return found.withColumn("errors", F.lit(len(errors) - 1).cast("long"))
+
+
+@query("source_files", "SELECT split_part(f, '/', 1) AS file, n FROM (SELECT 'part' AS f, count(*)::BIGINT AS n FROM documents)")
+def _(spark, sf):
+    """A sorted glob with provenance."""
+    path = _folder(spark, "glob")
+    table(spark, sf, "documents").repartition(3, "doc_id").write.parquet(path)
+    read = S.read_parquet(spark, f"{path}/*.parquet", provenance=True)
+    return read.select(F.substring_index(F.substring_index("source_file", "/", -1), "-", 1).alias("file")).groupBy("file").agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- streams ----------------------------------------------------------------------------------------------------------------
+@query("event_sessions", """SELECT user_id, s AS started, count(*)::BIGINT AS n FROM (
+  SELECT user_id, ts, max(CASE WHEN before IS NULL OR ts >= before + INTERVAL 30 MINUTE THEN ts END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS s
+  FROM (SELECT user_id, ts, event_id, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events)) GROUP BY user_id, s""")
+def _(spark, sf):
+    return jobs.sessions(table(spark, sf, "events")).select("user_id", F.col("session_window.start").alias("started"), "n")
+
+
+@query("event_stream_distinct", "SELECT event_id, event_type FROM events")
+def _(spark, sf):
+    """Every event sent twice, as a stream that ends."""
+    source, out = _folder(spark, "events"), _folder(spark, "distinct")
+    events = table(spark, sf, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    events.unionAll(events).write.parquet(source)
+    stream = spark.readStream.schema(events.schema).parquet(source)
+    jobs.distinct_events(stream, "400 days").writeStream.option("checkpointLocation", _folder(spark, "state")).trigger(availableNow=True).format("parquet").option("path", out).start().awaitTermination()
+    return spark.read.schema(events.schema).parquet(out).select("event_id", "event_type")
+
+
+@query("job_stream", "SELECT * FROM (VALUES ('a', 'Success', '7'), ('b', 'Success', '5'), ('c', 'Failed', '')) AS v(id, status, stdout)")
+def _(spark, sf):
+    source, out = _folder(spark, "jobs"), _folder(spark, "results")
+    rows = [("a", "print(input())", "python", "7"), ("b", "echo $((2+3))", "bash", None), ("c", "raise SystemExit(3)", "python", None)]
+    spark.createDataFrame(rows, "id string, code string, language string, stdin string").write.json(source)
+    jobs.job_queue(spark, source, out, _folder(spark, "state"), workers=2).awaitTermination()
+    return spark.read.parquet(out).select("id", "status", F.trim(F.regexp_replace("run_result.stdout", r"\s+$", "")).alias("stdout"))
+
+
 # --- near duplicates -----------------------------------------------------------------------------------------------
 P, B, R = 64, 8, 8
 _SIGS = f"""g AS (SELECT doc_id, {_GRAMS} AS grams FROM (SELECT doc_id, regexp_split_to_array(text, '[^A-Za-z_0-9]') AS w FROM documents)),
@@ -495,6 +655,17 @@ def _(spark, sf):
     return dedup.exact_jaccard(table(spark, sf, "documents"), edges).withColumn("jaccard", F.round("jaccard", 6))
 
 
+_WIDE = 16
+
+
+@query("minhash_wide", f"""WITH g AS (SELECT doc_id, {_GRAMS} AS grams FROM (SELECT doc_id, regexp_split_to_array(text, '[^A-Za-z_0-9]') AS w FROM documents)),
+h AS (SELECT doc_id, list_transform(grams, lambda x: ('0x' || substr(sha1(x), 7, 2) || substr(sha1(x), 5, 2) || substr(sha1(x), 3, 2) || substr(sha1(x), 1, 2))::BIGINT) AS h FROM g),
+p AS (SELECT list(((i::HUGEINT * 6364136223846793005 + 1442695040888963407) % 18446744073709551616) % 2305843009213693950 + 1 ORDER BY i) AS a, list(((i::HUGEINT * 2862933555777941757 + 3037000493) % 18446744073709551616) % 2305843009213693951 ORDER BY i) AS b FROM range(0, {_WIDE}) AS t(i))
+SELECT doc_id, list_transform(range(1, {_WIDE + 1}), lambda i: coalesce(list_min(list_transform(h, lambda v: ((((v::HUGEINT * a[i] + b[i]) % 18446744073709551616) % 2305843009213693951) % 4294967296)::BIGINT)), 4294967295)) AS signature FROM h, p""")
+def _(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", dedup.wide_signatures(F.coalesce("text", F.lit("")), _WIDE).alias("signature"))
+
+
 # The same at the production parameters, banding(0.7, 256). The twins above stay at 64, which SQL can follow on whole
 # tables; these have none, a brute force tests them.
 FULL_P, FULL_B, FULL_R = 256, 25, 10
@@ -574,6 +745,12 @@ def _(spark, sf):
     return _sources(spark).select("id", F.explode(symbols.symbol_table(F.col("t"))).alias("s")).select("id", "s.*")
 
 
+@query("rename_in_repo", "SELECT * FROM (VALUES ('r', 'a.py', 'total = 1' || chr(10) || 'print(total)'), ('r', 'b.py', 'x = (')) AS v(repo, path, code)")
+def _(spark, sf):
+    rows = [("r", "a.py", "count = 1\nprint(count)"), ("r", "b.py", "x = (")]
+    return symbols.rename_in_repo(spark.createDataFrame(rows, "repo string, path string, code string"), "count", "total")
+
+
 @query("mask_symbols")
 def _(spark, sf):
     return _sources(spark).select("id", symbols.masked(F.col("t"), F.lit("a")).alias("code"))
@@ -645,6 +822,134 @@ def _(spark, sf):
     return judge.judge_programs(df, program, "python").select("id", "accepted")
 
 
+# --- submissions: inline problems, the verdicts written out ----------------------------------------------------------------
+def _verdicts(*rows: tuple) -> str:
+    shown = ", ".join(f"({i}, {str(ok).lower()}, {'NULL' if error is None else repr(error)})" for i, ok, error in rows)
+    return f"SELECT id::INTEGER AS id, accepted::BOOLEAN AS accepted, error::VARCHAR AS error FROM (VALUES {shown}) AS v(id, accepted, error)"
+
+
+def _submit(spark, name: str, problems: list, schema: str, completions: list, config: dict | None = None) -> DataFrame:
+    given = spark.createDataFrame(completions, "id int, completion string")
+    return submission.submit(given, spark.createDataFrame(problems, schema), name, config).select("id", "accepted", "error")
+
+
+_NONE = "unknown problem"
+_FUNCTION = [(1, "def add(a, b):\n", "def check(f):\n    assert f(1, 2) == 3\n", "add"), (2, "def half(x):\n    \"\"\"Half of x.\"\"\"\n", "def check(f):\n    assert f(4) == math.floor(2.5)\n", "half")]
+
+
+@query("submit_functions", _verdicts((1, True, None), (1, False, None), (2, True, None), (7, False, _NONE)))
+def _(spark, sf):
+    done = [(1, "    return a + b\nprint(add)\n"), (1, "    return a - b\n"), (2, "    return x // 2\n\ndef other():\n    pass\n"), (7, "    pass")]
+    return _submit(spark, "HumanEvalDataset", _FUNCTION, "id int, prompt string, test string, entry_point string", done)
+
+
+@query("submit_functions_freeform", _verdicts((1, True, None), (1, False, None), (2, False, None)))
+def _(spark, sf):
+    done = [(1, "Sure:\n```python\ndef add(a, b):\n    return a + b\n```"), (1, "I can't."), (2, None)]
+    return _submit(spark, "HumanEvalDataset", _FUNCTION, "id int, prompt string, test string, entry_point string", done, {"is_freeform": True})
+
+
+_CRUX = [(1, "def f(x):\n    return x + x", "'ab'", "'abab'"), (2, "def f(n):\n    return n * n", "3", "9")]
+
+
+@query("submit_inputs", _verdicts((1, True, None), (1, False, None), (2, True, None), (2, False, None)))
+def _(spark, sf):
+    done = [(1, "thinking [ANSWER] f('ab') [/ANSWER] f('c')"), (1, "f('b')"), (2, "assert f(-3) == 9"), (2, None)]
+    return _submit(spark, "CruxEvalDataset", _CRUX, "id int, code string, input string, output string", done, {"mode": "input"})
+
+
+@query("submit_outputs", _verdicts((1, True, None), (1, True, None), (2, False, None), (9, False, _NONE)))
+def _(spark, sf):
+    done = [(1, "[ANSWER]'abab'[/ANSWER]"), (1, "assert f('ab') == 'abab'"), (2, "6"), (9, "9")]
+    return _submit(spark, "CruxEvalDataset", _CRUX, "id int, code string, input string, output string", done, {"mode": "output"})
+
+
+@query("submit_asserts", _verdicts((1, True, None), (1, False, None), (1, True, None)))
+def _(spark, sf):
+    problems = [(1, "Double x.", "import math", ["assert twice(2) == 4", "assert twice(math.floor(1.5)) == 2"])]
+    done = [(1, "def twice(x):\n    return 2 * x\n[DONE]\nnothing"), (1, "def twice(x):\n    return 4\n"), (1, "```python\ndef twice(x):\n    return x + x\n```\nif __name__ == 1: raise")]
+    return _submit(spark, "MBPPDataset", problems, "id int, content string, test_setup_code string, test_list array<string>", done)
+
+
+@query("submit_asserts_fewshot", _verdicts((1, True, None)))
+def _(spark, sf):
+    problems = [(1, "Double x.", None, ["assert twice(2) == 5", "assert twice(1) == 2"])]
+    return _submit(spark, "MBPPDataset", problems, "id int, content string, test_setup_code string, test_list array<string>", [(1, "def twice(x):\n    return 2 * x")], {"is_fewshot": True})
+
+
+@query("submit_translations", _verdicts((1, True, None), (1, False, None), (1, False, None), (1, False, None)))
+def _(spark, sf):
+    problems = [(1, "Double x.", "#<INSERT>\nassert twice(2) == 4")]
+    done = [(1, "```python\ndef twice(x):\n    return 2 * x\n\nif __name__ == '__main__':\n    raise ValueError\n```"), (1, "```python\ndef twice(x):\n    return 4\n\nexit(0)\n```"), (1, "```java\nint x;\n```"), (1, "```python\ndef twice(x):\n    return x\n```")]
+    return _submit(spark, "MBXPDataset", problems, "id int, content string, test string", done, {"language": "python"})
+
+
+_DOCSTRINGS = [(1, 'def one():\n    """Gives 1. """', "assert one() == 1\nassert one() != 2", "easy"), (2, 'def two():\n    """Gives 2. """', "assert two() == 2", "hard")]
+
+
+@query("submit_docstrings", _verdicts((1, True, None), (1, False, None), (2, True, None)))
+def _(spark, sf):
+    done = [(1, "```python\ndef one():\n    return 1\n```"), (1, "```python\ndef one():\n    return 2\n```"), (2, "    return 2\n")]
+    return _submit(spark, "MHPPDataset", _DOCSTRINGS, "id int, content string, test string, level string", done)
+
+
+@query("submission_metrics", "SELECT * FROM (VALUES ('easy', 1::INTEGER, 0.5::DOUBLE), ('easy', 2, 1.0), ('hard', 1, 1.0), ('hard', 2, 1.0)) AS v(level, k, pass_at_k)")
+def _(spark, sf):
+    results = spark.createDataFrame([(1, "easy", True), (1, "easy", False), (2, "hard", True), (2, "hard", True)], "id int, level string, accepted boolean")
+    return submission.metrics(results, "MHPPDataset", 2, [1, 2, 5], "level")
+
+
+@query("submit_tests", _verdicts((1, True, None), (1, False, None), (1, False, None)))
+def _(spark, sf):
+    problems = [(1, "One.", "assert one() == 1")]
+    done = [(1, "```python\ndef one():\n    return 1\nif __name__ == \"__main__\":\n    raise ValueError\n```"), (1, "```python\ndef one():\n    return 1\n\nraise SystemExit(0)\n```"), (1, "```python\ndef one():\n    return 2\n```")]
+    return _submit(spark, "AutoEvalDataset", problems, "id int, content string, test string", done, {"append_flag": True})
+
+
+@query("submit_pytest", _verdicts((1, True, None), (1, False, None)))
+def _(spark, sf):
+    problems = [(1, "One.", "def test_one():\n    assert one() == 1\n")]
+    done = [(1, "<code>\ndef one():\n    return 1\n</code>"), (1, "```python\ndef one():\n    return 2\n```")]
+    return _submit(spark, "NaturalCodeBenchDataset", problems, "id int, content string, test string", done)
+
+
+@query("submit_math", _verdicts((1, True, None), (1, False, None), (1, False, None)))
+def _(spark, sf):
+    done = [(1, "```python\ndef solution():\n    return 1 / 3 * 3\n```"), (1, "```python\ndef solution():\n    return 2\n```"), (1, "It is 1.")]
+    return _submit(spark, "PalMathDataset", [(1, "What is 3 thirds?", "1")], "id int, content string, answer string", done)
+
+
+@query("submit_next_lines", _verdicts((1, True, None), (1, False, None)))
+def _(spark, sf):
+    return _submit(spark, "RepobenchCDataset", [(1, "x = 1", "y  =  x + 1")], "id int, content string, next_line string", [(1, "# next\ny = x + 1\nz = 3"), (1, "z = 3")])
+
+
+@query("submit_stdio", _verdicts((1, True, None), (1, False, None), (3, False, _NONE)))
+def _(spark, sf):
+    done = [(1, "```python\nprint(int(input()) * 2)\n```"), (1, "```python\nprint(input())\n```"), (3, "")]
+    return _submit(spark, "CommonOJDataset", [(1, "Double it.", [("2", "4"), ("5", "10")])], "id int, content string, test array<struct<input:string,output:string>>", done, {"language": "python"})
+
+
+@query("prompts_functions", "SELECT item_id AS id, '```python' || chr(10) || text || chr(10) || '```' || chr(10) || chr(10) || 'Please complete the above code according to the requirements in the docstring. Write the complete code and wrap it in markdown syntax. The code should not contain `Main` function.' AS prompt FROM benchmark")
+def _(spark, sf):
+    problems = table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("prompt"), F.lit("").alias("test"))
+    return submission.prompts(problems, "HumanEvalDataset", {"is_freeform": True}).select("id", "prompt")
+
+
+@query("prompts_asserts", "SELECT item_id AS id, 'You are an expert Python programmer, and here is your task: ' || text || ' Your code should pass these tests:' || chr(10) || chr(10) || 'assert f()' || chr(10) || 'assert g()' AS prompt FROM benchmark")
+def _(spark, sf):
+    problems = table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("content"), F.array(F.lit("assert f()"), F.lit("assert g()")).alias("test_list"))
+    return submission.prompts(problems, "MBPPDataset").select("id", "prompt")
+
+
+_Q = '"' * 3
+
+
+@query("prompt_docstring", f"SELECT id, array_to_string(list_slice(string_split(content, '{_Q}'), 1, -2), '{_Q}') || chr(10) || '    e.g. ' || split_part(test, chr(10), 1) || ' {_Q}' AS prompt FROM (SELECT 1::INTEGER AS id, 'def one():' || chr(10) || '    {_Q}Gives 1. {_Q}' AS content, 'assert one() == 1' || chr(10) || 'assert one() != 2' AS test)")
+def _(spark, sf):
+    return submission.prompt_by_id(spark.createDataFrame(_DOCSTRINGS, "id int, content string, test string, level string"), "MHPPDataset", 1).select("id", "prompt")
+
+
 @query("next_line")
 def _(spark, sf):
     df = spark.createDataFrame([(1, "# c\n\nx  =  1\ny", "x = 1"), (2, '"""doc"""\nz', "z"), (3, "a = 2", "a = 3")], "id int, completion string, expected string")
