@@ -3,11 +3,11 @@
 Tokens are lower-cased (A-Z) words of non-blanks and an end after each text. All training texts are counted: every
 distinct token has its count, as a table that grows with the corpus. The neural model speaks ``SYMBOLS`` symbols: the
 commonest tokens and the end have their own, all others share one of ``ENDINGS`` symbols by their last two bytes, within
-which a token's probability is (count + 1) over the symbol's tokens, kinds and one for what was never seen. Contexts are
-the symbol before and a group of the one before that (``GROUPS``). How often each symbol follows each context is summed
-over all training texts into one bounded table; noise-contrastive estimation fits the log-bilinear parameters to the whole
-table (numpy, on the driver): each step takes the expected gradient over all its counts and all noise, nothing is drawn; then batched matrix products give the normalised log-probabilities of all symbols in all
-contexts, and texts are scored by looking them up.
+which a token's probability is (count + 1) over the symbol's tokens, kinds and one for what was never seen. A token's
+context is the symbol before it, the end at a text's start. How often each symbol follows each is summed over all training
+texts into one bounded table; noise-contrastive estimation fits the log-bilinear parameters to the whole table (numpy, on
+the driver): each step takes the expected gradient over all its counts and all noise, nothing is drawn; then batched matrix
+products give the normalised log-probabilities of all symbols in all contexts, and texts are scored by looking them up.
 
 Counts of the ``FREQUENT`` commonest tokens are sent to the tasks; those of the others meet their occurrences in one
 shuffle, pre-aggregated by text. Learned from rows whose crc32(doc_id) mod 7 is not 2. Defined results: a null text is
@@ -27,11 +27,11 @@ from tessera.llm.common import crc_mod, documents, release, stored
 
 NAME = "op9_lm_score"
 FOLDS, HELD_OUT = 7, 2
-OWN, ENDINGS, GROUPS = 255, 256, 8
+OWN, ENDINGS = 2047, 256
 SYMBOLS = OWN + 1 + ENDINGS  # the commonest tokens, the end, endings
 END = OWN
 FREQUENT = 100_000
-DIMENSIONS, NOISE, STEPS, RATE, SEED = 24, 10, 500, 0.15, 9
+DIMENSIONS, NOISE, STEPS, RATE, SEED = 24, 10, 200, 0.2, 9
 PRIOR = 64  # occurrences below which a parameter is held back; their share vanishes as the corpus grows
 END_HASH = -1  # stands for the end among token hashes
 
@@ -69,14 +69,11 @@ class Symbols:
 
 
 def contexts(symbol: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The context of each token; before a text stand ends."""
-    before, first = np.empty_like(symbol), np.cumsum(sizes) - sizes
+    """The context of each token: the symbol before; before a text stands an end."""
+    before = np.empty_like(symbol)
     before[1:] = symbol[:-1]
-    before[first] = END
-    further = np.empty_like(symbol)
-    further[1:] = before[:-1]
-    further[first] = END
-    return before * GROUPS + further % GROUPS
+    before[np.cumsum(sizes) - sizes] = END
+    return before
 
 
 def counted(docs: DataFrame) -> DataFrame:
@@ -95,7 +92,7 @@ def transitions(docs: DataFrame, symbols: Symbols) -> np.ndarray:
     """How often each symbol follows each context in docs; bounded, summed over the tasks."""
 
     def run(batches):
-        total = np.zeros(SYMBOLS * GROUPS * SYMBOLS, np.int64)
+        total = np.zeros(SYMBOLS * SYMBOLS, np.int64)
         for _, raw, at in bytekit.chunks(batches):
             h, ending, _, sizes = tokens(raw, at)
             s = symbols(h, ending)
@@ -105,47 +102,44 @@ def transitions(docs: DataFrame, symbols: Symbols) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(cell[i : i + 100_000].astype(np.int32)), pa.array(total[cell[i : i + 100_000]])], names=["cell", "n"])
 
     cells = docs.select("text").mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(SYMBOLS * GROUPS * SYMBOLS)
+    out = np.zeros(SYMBOLS * SYMBOLS)
     out[cells.column("cell").to_numpy()] = cells.column("n").to_numpy()
-    return out.reshape(SYMBOLS * GROUPS, SYMBOLS)
+    return out.reshape(SYMBOLS, SYMBOLS)
 
 
 def train(follows: np.ndarray) -> np.ndarray:
     """log10 P(symbol | context), one normalised row a context.
 
-    score(w | c) = (R[before] * A + G[group]) . Q[w] + b[w], fitted to tell the corpus from draws of the unigram
-    distribution, by the exact expectation over both.
+    score(w | c) = (R[c] * A) . Q[w] + b[w], fitted to tell the corpus from draws of the unigram distribution, by the exact
+    expectation over both.
     """
     rng = np.random.default_rng(SEED)
     unigram = follows.sum(0) + 0.5
     unigram /= unigram.sum()
     r, q = rng.normal(0, 0.1, (SYMBOLS, DIMENSIONS)), rng.normal(0, 0.1, (SYMBOLS, DIMENSIONS))
-    g, a, b = rng.normal(0, 0.1, (GROUPS, DIMENSIONS)), np.ones(DIMENSIONS), np.log(unigram)
-    r, q, g, a, b = (x.astype(np.float32) for x in (r, q, g, a, b))
+    r, q, a, b = (x.astype(np.float32) for x in (r, q, np.ones(DIMENSIONS), np.log(unigram)))
     total = follows.sum()
     if total > 0:
         seen = np.flatnonzero(follows.sum(1))
-        before, group = seen // GROUPS, seen % GROUPS
         true = (follows[seen] / total).astype(np.float32)
         both = true + (NOISE * (follows[seen].sum(1, keepdims=True) / total) * unigram).astype(np.float32)
         shift = np.log(NOISE * unigram).astype(np.float32)
-        squares = [np.full(x.shape, (PRIOR / total) ** 2) for x in (r, q, g, a, b)]
+        squares = [np.full(x.shape, (PRIOR / total) ** 2) for x in (r, q, a, b)]
         for _ in range(STEPS):
-            context = r[before] * a + g[group]
+            context = r[seen] * a
             z = context @ q.T + (b - shift)
             e = both / (1 + np.exp(-np.clip(z, -30, 30))) - true
             d_context = e @ q
-            grads = [np.zeros_like(r), e.T @ context, np.zeros_like(g), (d_context * r[before]).sum(0), e.sum(0)]
-            np.add.at(grads[0], before, d_context * a)
-            np.add.at(grads[2], group, d_context)
-            for x, s, d in zip((r, q, g, a, b), squares, grads, strict=True):
+            grads = [np.zeros_like(r), e.T @ context, (d_context * r[seen]).sum(0), e.sum(0)]
+            grads[0][seen] = d_context * a
+            for x, s, d in zip((r, q, a, b), squares, grads, strict=True):
                 s += d.astype(float) ** 2
                 x -= (RATE * d / np.sqrt(s)).astype(np.float32)
-    out = np.empty((SYMBOLS * GROUPS, SYMBOLS), np.float32)
-    for i in range(SYMBOLS):  # one block of contexts a time
-        z = (r[i] * a + g) @ q.T + b
+    out = np.empty((SYMBOLS, SYMBOLS), np.float32)
+    for i in range(0, SYMBOLS, 256):  # a block of contexts a time
+        z = (r[i : i + 256] * a) @ q.T + b
         z -= z.max(1, keepdims=True)
-        out[i * GROUPS : (i + 1) * GROUPS] = (z - np.log(np.exp(z).sum(1, keepdims=True))) / np.log(10)
+        out[i : i + 256] = (z - np.log(np.exp(z).sum(1, keepdims=True))) / np.log(10)
     return out
 
 
