@@ -278,12 +278,21 @@ def _kept(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
+def _given(docs: DataFrame) -> DataFrame:
+    """doc_id, text, doc (an id for all rows), hash of the text, and tid, which tells apart the texts of rows that share a doc_id."""
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    return given.withColumn("doc", F.coalesce("doc_id", F.lit(LAST))).withColumn("hash", F.xxhash64("text")).withColumn("tid", (F.col("hash").bitwiseAND(0xFFFF)).cast("int"))
+
+
+def _marked(given: DataFrame, marks: DataFrame) -> DataFrame:
+    marked = given.join(marks, ["doc", "tid"], "left").withColumn("whole", F.coalesce("whole", F.lit(False)))
+    return _kept(marked.select("doc_id", "text", "whole", "spans"))
+
+
 def dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept (the remaining bytes) of every document."""
     spark = docs.sparkSession
-    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    # tid tells apart the texts of rows that share a doc_id
-    given = given.withColumn("doc", F.coalesce("doc_id", F.lit(LAST))).withColumn("hash", F.xxhash64("text")).withColumn("tid", (F.col("hash").bitwiseAND(0xFFFF)).cast("int"))
+    given = _given(docs)
     # equal texts: the first is looked at, the others are repeats of it from end to end
     ids = stored(given.select("doc", "tid", "hash"), "suffix-ids")
     first = ids.groupBy("hash").agg(F.min("doc").alias("first"))
@@ -311,8 +320,84 @@ def dedup(docs: DataFrame) -> DataFrame:
     spans = settled.where(F.col("kind") != LIVE).select("doc", "tid", "start", "windows", head).unionByName(second)
     spans = spans.groupBy("doc", "tid").agg(F.collect_list(F.struct("start", "windows", "head")).alias("spans"))
     marks = stored(repeats.withColumn("whole", F.lit(True)).join(spans, ["doc", "tid"], "full"), "suffix-marks")
-    marked = given.join(marks, ["doc", "tid"], "left").withColumn("whole", F.coalesce("whole", F.lit(False)))
-    return _kept(marked.select("doc_id", "text", "whole", "spans"))
+    return _marked(given, marks)
+
+
+# --- the same over every position ---------------------------------------------------------------------------------------
+FIRST = 7  # bytes of the first ranks, packed
+
+
+def _packed(texts: DataFrame) -> DataFrame:
+    """(doc, tid, start, a): the first FIRST bytes at every position that has as many."""
+
+    def run(batches):
+        for rows, raw, at in bytekit.chunks(batches, limit=CHUNK):
+            n = max(0, len(raw) - FIRST + 1)
+            rank = np.zeros(n, np.int64)
+            for i in range(FIRST):
+                rank = rank << 8 | raw[i : i + n]
+            p = np.arange(n)
+            d = np.searchsorted(at, p, side="right") - 1
+            fits = p + FIRST <= at[d + 1]
+            p, d = p[fits], d[fits]
+            doc, tid = rows.column("doc").to_numpy(), rows.column("tid").to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(doc[d]), pa.array(tid[d]), pa.array(p - at[d]), pa.array(rank[p])], names=["doc", "tid", "start", "a"])
+
+    return texts.select("doc", "tid", "text").mapInArrow(run, "doc long, tid int, start long, a long")
+
+
+def _reranked(sorted_pairs: DataFrame, last: bool) -> DataFrame:
+    """Sorted by (a, b, doc): each run of equal pairs has a new rank, runs of one row drop out. last: the rows of a run that
+    aren't of its least document."""
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        number = TaskContext.get().partitionId() << 40
+        held = None  # the last row, whether the one before it has its pair, and its run's least document
+        for batch in batches:
+            columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
+            if not len(columns[0]):
+                continue
+            before, least = False, columns[0][0]
+            if held is not None:
+                before, least = held[1], held[2]
+                columns = [np.concatenate([[h], c]) for h, c in zip(held[0], columns, strict=True)]
+            doc, tid, start, a, b = columns
+            new = np.concatenate([[not before], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+            run_of = np.cumsum(new) - (not before)
+            firsts = np.concatenate([[least], doc[new][(0 if before else 1) :]])[run_of]
+            twice = ~new | np.concatenate([~new[1:], [False]])
+            out = doc > firsts if last else twice
+            out[-1] = False
+            yield pa.RecordBatch.from_arrays([pa.array(doc[out]), pa.array(tid[out]), pa.array(start[out]), pa.array(number + run_of[out])], names=["doc", "tid", "start", "a"])
+            number += int(run_of[-1])
+            held = [c[-1] for c in columns], bool(~new[-1]), firsts[-1]
+        if held is not None:
+            (doc, tid, start, _, _), before, least = held
+            if doc > least if last else before:
+                yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (doc, tid, start, np.int64(number))], names=["doc", "tid", "start", "a"])
+
+    return sorted_pairs.select("doc", "tid", "start", "a", "b").mapInArrow(run, "doc long, tid int, start long, a long")
+
+
+def dedup_by_sorting(docs: DataFrame) -> DataFrame:
+    """What dedup returns, by prefix doubling over every position: Spark sorts all pairs of the rank here and the rank at a
+    growing offset, reranks them and drops the unique ones, until LENGTH bytes are ranked. A row a byte and round: for
+    tables far smaller than the disk."""
+    n = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    given = _given(docs)
+    ranked, width = stored(_packed(given.dropDuplicates(["doc", "hash"])), "suffix-ranks"), FIRST
+    while width < LENGTH:
+        step = min(width, LENGTH - width)
+        further = ranked.select("doc", "tid", (F.col("start") - step).alias("start"), F.col("a").alias("b"))
+        pairs = ranked.join(further, ["doc", "tid", "start"]).repartitionByRange(n, "a", "b").sortWithinPartitions("a", "b", "doc")
+        width += step
+        done = ranked
+        ranked = stored(_reranked(pairs, width == LENGTH), "suffix-ranks")
+        discard(done)
+    spans = ranked.groupBy("doc", "tid").agg(F.collect_list(F.struct("start", F.lit(1).alias("windows"), F.lit(-1).cast("long").alias("head"))).alias("spans"))
+    return _marked(given, spans.withColumn("whole", F.lit(False)))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

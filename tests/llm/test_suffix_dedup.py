@@ -27,8 +27,8 @@ def brute(rows):
     return sorted(out, key=str)
 
 
-def result(df):
-    return sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in S.dedup(df).collect()), key=str)
+def result(df, dedup=S.dedup):
+    return sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in dedup(df).collect()), key=str)
 
 
 def corpus(seed):
@@ -89,3 +89,11 @@ def test_a_text_beyond_the_packed_size():
     unpacked = S.elected(rank, np.array([0, len(long)]))
     n = len(packed[1]) - 2
     assert all(np.array_equal(a[:n], b[:n]) for a, b in zip(packed, unpacked, strict=True))
+
+
+def test_every_position_against_brute_force(spark):
+    texts = corpus(5)[40:]
+    rows = list(enumerate(texts)) + [(None, texts[5]), (900, None), (3, texts[9]), (3, texts[9]), (901, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert result(df, S.dedup_by_sorting) == brute(rows)
+    assert result(df.limit(0), S.dedup_by_sorting) == []
