@@ -20,7 +20,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import stored
@@ -178,9 +178,10 @@ def search(prints: DataFrame, is_query) -> DataFrame:
     # each integer once a class and place; what all share meets only the queries
     spread = classes.where(F.size("codes") > 0).select("print", "asks", F.posexplode("codes").alias("pos", "code"))
     asked = spread.where("asks").select(F.col("print").alias("q"), F.col("pos").alias("at"), "code")
-    # places of the queries by integer, in lists of at most TILE, so that a pair of recordings isn't a row for each integer
-    tile = F.floor((F.row_number().over(Window.partitionBy("code").orderBy("q", "at")) - 1) / TILE)
-    listed = asked.withColumn("tile", tile).groupBy("code", "tile").agg(F.collect_list(F.struct("q", "at")).alias("places"))
+    # places of the queries by integer, in lists of about TILE, so that a pair of recordings isn't a row for each integer
+    tiles = asked.groupBy("code").agg(F.ceil(F.count(F.lit(1)) / TILE).alias("tiles"))
+    tiled = asked.join(tiles, "code").withColumn("tile", F.pmod(F.xxhash64("q", "at"), F.col("tiles")))
+    listed = tiled.groupBy("code", "tile").agg(F.collect_list(F.struct("q", "at")).alias("places"))
     n = max(8, int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     met = spread.select("print", "pos", "code").join(listed, "code").select("print", "pos", "places").repartition(n, "print").sortWithinPartitions("print")
     best = met.mapInArrow(_best_offsets, "q string, print string, offset int")

@@ -98,7 +98,8 @@ def _candidates(index: DataFrame, anchors: DataFrame, tests: Tests) -> DataFrame
 def _anchors(index: DataFrame, tests: Tests) -> DataFrame:
     """The RARE_TERMS rarest terms of every window (ties by offset), by their counts in the corpus."""
     counts = index.groupBy("term_id").agg(F.count(F.lit(1)).alias("n"))
-    each = tests.windows.select("window_id", F.posexplode("terms").alias("offset", "term")).join(tests.terms, "term").join(counts, "term_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    counted = tests.terms.join(counts, "term_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    each = tests.windows.select("window_id", F.posexplode("terms").alias("offset", "term")).join(tests.held(counted), "term")
     order = Window.partitionBy("window_id").orderBy("n", "offset")
     each = each.withColumn("rarity", F.row_number().over(order)).withColumn("used", F.least(F.lit(RARE_TERMS), F.count(F.lit(1)).over(Window.partitionBy("window_id"))))
     return stored(each.where(F.col("rarity") <= RARE_TERMS), "test-anchors")
