@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see (``spark.checkpoint.dir``); a temporary one of our own only where none is set."""
+    """The folder all executors see (``spark.checkpoint.dir``); a folder of our own only where none is set: in a local
+    session a temporary one, on a cluster one in the warehouse, which executors share."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="tessera-")
+        local = spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local"
+        found = "file://" + tempfile.mkdtemp(prefix="tessera-") if local else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/tessera-scratch"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
