@@ -1,11 +1,9 @@
-"""Queries of the training-data operators, one opN_<name> each, and the corpus pipeline."""
+"""Queries of the training-data operators, one opN_<name> each."""
 
 from __future__ import annotations
 
 import importlib
 
-import corpus_pipeline
-
 MODULES = (
     "decontaminate",
     "pii",
@@ -25,11 +23,8 @@ def _modules():
 
 
 def queries() -> dict:
-    return {m.NAME: m.query for m in _modules()} | {"pipeline": corpus_pipeline.run}
+    return {m.NAME: m.query for m in _modules()}
 
 
 def oracle_sql() -> dict:
-    out = {m.NAME: m.ORACLE_SQL for m in _modules() if m.ORACLE_SQL}
-    if corpus_pipeline.ORACLE_SQL:
-        out["pipeline"] = corpus_pipeline.ORACLE_SQL
-    return out
+    return {m.NAME: m.ORACLE_SQL for m in _modules() if m.ORACLE_SQL}
