@@ -96,21 +96,6 @@ class _Conditions(ast.NodeTransformer):
         return self._chain(node, ast.While)
 
 
-class _Continues(ast.NodeTransformer):
-    """Puts statements before every continue of this loop."""
-
-    def __init__(self, step):
-        self.step = step
-
-    def visit_Continue(self, node):
-        return [*self.step(), node]
-
-    def _stop(self, node):
-        return node
-
-    visit_For = visit_While = visit_AsyncFor = visit_FunctionDef = visit_AsyncFunctionDef = visit_ClassDef = _stop
-
-
 class _Loops(ast.NodeTransformer):
     def __init__(self, fresh, mode):
         self.fresh, self.mode = fresh, mode

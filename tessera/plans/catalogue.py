@@ -114,6 +114,11 @@ def _(spark, sf):
     return table(spark, sf, "documents").select("doc_id", S.hash_split(F.col("doc_id"), 0.8).alias("train"))
 
 
+@query("exact_split", "SELECT doc_id, row_number() OVER (ORDER BY md5(doc_id::VARCHAR || ':42'), doc_id) - 1 AS place, row_number() OVER (ORDER BY md5(doc_id::VARCHAR || ':42'), doc_id) - 1 < floor(count(*) OVER () * 0.8) AS train FROM documents")
+def _(spark, sf):
+    return S.exact_split(table(spark, sf, "documents").select("doc_id"), "doc_id", 0.8)
+
+
 @query(
     "seed_multisets",
     "SELECT [a, b] AS members FROM (SELECT a.s AS a, b.s AS b FROM (VALUES ('x'), ('y'), ('z'), ('w')) AS a(s) JOIN (VALUES ('x'), ('y'), ('z'), ('w')) AS b(s) ON a.s <= b.s) ORDER BY md5(a || ',' || b || ':42'), a || ',' || b LIMIT 5",
@@ -199,6 +204,17 @@ def _(spark, sf):
     return table(spark, sf, "documents").select("doc_id", T.line_metrics(F.col("text")).alias("m")).select("doc_id", "m.*")
 
 
+_ENDS = "(SELECT * FROM (VALUES (1, 'a' || chr(13) || chr(10) || '# b' || chr(12) || chr(13) || 'c'), (2, chr(10)), (3, ''), (4, 'x' || chr(8232) || ' #y' || chr(133) || chr(28) || 'z' || chr(10))) AS v(id, code))"
+
+
+@query("line_ends", rf"""SELECT id, len(l)::BIGINT AS loc, len(list_filter(l, lambda x: starts_with(ltrim(x), '#')))::BIGINT AS cloc, len(list_filter(l, lambda x: trim(x) = ''))::BIGINT AS bloc
+FROM (SELECT id, CASE WHEN p[-1] = '' THEN p[1:len(p) - 1] ELSE p END AS l FROM (SELECT id, regexp_split_to_array(code, '\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{{85}}\x{{2028}}\x{{2029}}]') AS p FROM {_ENDS}))""")
+def _(spark, sf):
+    """All line ends that count as such."""
+    rows = [(1, "a\r\n# b\x0c\rc"), (2, "\n"), (3, ""), (4, "x  #y\x85\x1cz\n")]
+    return spark.createDataFrame(rows, "id int, code string").select("id", T.line_metrics(F.col("code")).alias("m")).select("id", "m.*")
+
+
 @query("word_count", r"SELECT doc_id, len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> ''))::BIGINT AS woc FROM documents")
 def _(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.size(T.whitespace_words(F.col("text"))).cast("long").alias("woc"))

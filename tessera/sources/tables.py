@@ -63,7 +63,8 @@ def read_jdbc(spark: SparkSession, url: str, table: str, key: str | None = None,
 
 
 def read_zip(spark: SparkSession, path: str) -> DataFrame:
-    """(archive, name, content) of every file in zip archives."""
+    """(archive, name, content) of every file in zip archives. An archive is one row of Spark's binary reader (2 GB at
+    most), held by one task; its files are unpacked one at a time."""
     import io
     import zipfile
 
@@ -71,8 +72,11 @@ def read_zip(spark: SparkSession, path: str) -> DataFrame:
 
     def run(batches):
         for pdf in batches:
-            rows = [(p, i.filename, z.read(i)) for p, c in zip(pdf["path"], pdf["content"], strict=True) for z in [zipfile.ZipFile(io.BytesIO(c))] for i in z.infolist() if not i.is_dir()]
-            yield pd.DataFrame(rows, columns=["archive", "name", "content"])
+            for archive, content in zip(pdf["path"], pdf["content"], strict=True):
+                with zipfile.ZipFile(io.BytesIO(content)) as z:
+                    for member in z.infolist():
+                        if not member.is_dir():
+                            yield pd.DataFrame([(archive, member.filename, z.read(member))], columns=["archive", "name", "content"])
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "archive string, name string, content binary")
 
@@ -138,6 +142,14 @@ def point_lookup(df: DataFrame, key: str, value) -> DataFrame:
     return df.where(F.col(key) == F.lit(value))
 
 
+def head(df: DataFrame, key: str, n: int) -> DataFrame:
+    """The first n rows by key; an error where there are fewer."""
+    first = df.orderBy(key).limit(n)
+    if first.count() < n:
+        raise ValueError(f"fewer than {n} rows")
+    return first
+
+
 def renamed(df: DataFrame) -> DataFrame:
     """Corpus columns under their common names."""
     return df.withColumnsRenamed({"content": "code", "text": "code", "lang": "language"})
@@ -156,8 +168,15 @@ def write_by_language(df: DataFrame, path: str) -> None:
     df.withColumn("folder", language_folder(F.col("language"))).write.mode("overwrite").partitionBy("folder").parquet(path)
 
 
+def write_by_source(df: DataFrame, path: str) -> None:
+    """One folder for each file the rows came from (source_file of read_parquet), under the file's own name."""
+    named = df.withColumn("file", F.substring_index("source_file", "/", -1)).drop("source_file")
+    named.repartition("file").write.mode("overwrite").partitionBy("file").parquet(path)
+
+
 def write_json(df: DataFrame, path: str, pretty_limit: int | None = None) -> None:
-    """JSON lines; or, for at most pretty_limit rows, one indented array written through the driver."""
+    """JSON lines; or, for at most pretty_limit rows, one indented array. The array goes through the driver as one text: it is for
+    reports, so the limit has to be one that the driver can hold."""
     if pretty_limit is None:
         df.write.mode("overwrite").json(path)
         return
@@ -201,3 +220,12 @@ def hash_split(key: Column, share: float, seed: int = 42) -> Column:
     """True for about ``share`` of the keys, always the same ones."""
     h = F.conv(F.substring(F.md5(F.concat(key.cast("string"), F.lit(f":{seed}")).cast("binary")), 1, 8), 16, 10).cast("long")
     return h < int(share * 2**32)
+
+
+def exact_split(df: DataFrame, key: str, share: float, seed: int = 42) -> DataFrame:
+    """df with the column train, true for exactly int(rows * share) of them: the first by the hash of key and seed, equal
+    hashes by key. Shuffled rows are those in the order of ``place``."""
+    n = df.count()
+    order = F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")).cast("binary"))
+    placed = with_row_index(df.withColumn("_h", order), ["_h", key], "place").drop("_h")
+    return placed.withColumn("train", F.col("place") < int(n * share))
