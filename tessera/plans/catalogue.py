@@ -10,7 +10,7 @@ import uuid
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
@@ -409,6 +409,46 @@ def _(spark, sf):
     return spark.sql(f"SELECT * FROM {_SHOWN}").select("id", judge.answer_part(F.col("t")).alias("answer"))
 
 
+# --- the same over whole documents --------------------------------------------------------------------------------------
+_DOCUMENTS = "(SELECT doc_id AS id, text AS t FROM documents)"
+_ON_DOCUMENTS: dict[str, tuple[str, Callable[[Column], list[Column]]]] = {
+    "extract_block": (_ANSWERS, lambda t: [T.first_block(t).alias("body"), T.first_block(t, True).alias("fence")]),
+    "last_block": (_ANSWERS, lambda t: [T.last_block(t).alias("body")]),
+    "default_extract": (_ANSWERS, lambda t: [T.best_block(t, F.lit(x)).alias(n) for n, x in (("code", "python"), ("statement", "sql"))]),
+    "solution_block": (_ANSWERS, lambda t: [T.solution_block(t).alias("code")]),
+    "strip_entrypoint": (_MAINS, lambda t: [T.without_entry_point(t, x).alias(x) for x in ("python", "cpp", "go")]),
+    "mbpp_cut": (_CODES, lambda t: [T.cut_at(t, "[DONE]").alias("code")]),
+    "comment_lines": (_CODES, lambda t: [T.commented(t).alias("code")]),
+    "lean_hoist": (_LEAN, lambda t: [T.lean_hoisted(t).alias("code")]),
+    "check_program": (_CODES, lambda t: [T.check_program(t, F.lit("f")).alias("program")]),
+    "php_tag": (_CODES, lambda t: [T.php_tagged(t).alias("code")]),
+    "antihack": (_CODES, lambda t: [T.allowed(t).alias("allowed")]),
+}
+for _name, (_inline, _columns) in _ON_DOCUMENTS.items():
+
+    @query(f"{_name}_docs", _ORACLES[_name].replace(_inline, _DOCUMENTS))
+    def _(spark, sf, columns=_columns):
+        return table(spark, sf, "documents").select(F.col("doc_id").alias("id"), *columns(F.col("text")))
+
+
+_PAIRS = "(SELECT doc_id AS id, text AS t_a, CASE WHEN doc_id % 2 = 0 THEN translate(text, 'ABCDEFGHIJKLM', 'abcdefghijklm') || ' ' ELSE text || ' x' END AS t_b FROM documents)"
+
+
+def _pairs(spark, sf):
+    other = F.when(F.col("doc_id") % 2 == 0, F.concat(F.translate("text", "ABCDEFGHIJKLM", "abcdefghijklm"), F.lit(" "))).otherwise(F.concat("text", F.lit(" x")))
+    return table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("t_a"), other.alias("t_b"))
+
+
+@query("stdout_compare_docs", _ORACLES["stdout_compare"].replace(_OUTPUTS, _PAIRS))
+def _(spark, sf):
+    return _pairs(spark, sf).select("id", T.same_output(F.col("t_a"), F.col("t_b")).alias("same"))
+
+
+@query("float_close_docs", _ORACLES["float_close"].replace(_OUTPUTS, _PAIRS))
+def _(spark, sf):
+    return _pairs(spark, sf).select("id", T.close(F.col("t_a"), F.col("t_b")).alias("close"))
+
+
 # --- aggregates, prefixes, status -------------------------------------------------------------------------------------
 _TASKS = "(SELECT d.source AS task, d.lang AS cat, l.quality = 1 AS passed FROM documents d JOIN labels l USING (doc_id))"
 _PASS = "CASE WHEN n - c < k THEN 1.0 WHEN c = 0 THEN 0.0 ELSE 1 - list_reduce(list_transform(range(n - c + 1, n + 1), lambda i: 1 - k::DOUBLE / i), lambda a, b: a * b) END"
