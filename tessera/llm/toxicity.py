@@ -78,6 +78,28 @@ def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return docs.join(chosen, docs["doc_id"] == chosen["_id"]).select("y", "text").mapInArrow(run, "y int, ids array<int>")
 
 
+def telling(sampled: DataFrame) -> DataFrame:
+    """The sampled rows with those of their buckets only that fit can keep: at most WORDS kinds, so that what goes to the
+    driver is bounded however long the texts are."""
+    n, toxic = sampled.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0))).first()
+    each = sampled.select("y", F.explode("ids").alias("id")).groupBy("id").agg(F.sum("y").alias("t"), F.count(F.lit(1)).alias("n"))
+    odds = F.ln((F.col("t") + 0.5) / (toxic + 1)) - F.ln((F.col("n") - F.col("t") + 0.5) / (n - toxic + 1))
+    strength = F.abs(odds) * F.sqrt("n")
+    # a little below what fit asks for, as its logarithms are its own
+    able = each.withColumn("s", strength).where((F.col("n") >= SUPPORT) & (F.col("s") >= STRENGTH - 1e-6))
+    kept = np.sort(np.array([r.id for r in able.orderBy(F.desc("s"), "id").limit(WORDS).collect()], np.int32))
+
+    def run(batches):
+        for batch in batches:
+            ids = batch.column("ids")
+            flat, of = ids.flatten().to_numpy(), np.repeat(np.arange(len(batch)), np.diff(ids.offsets.to_numpy()))
+            known = np.isin(flat, kept)
+            cut = np.searchsorted(of[known], np.arange(len(batch) + 1))
+            yield pa.RecordBatch.from_arrays([batch.column("y"), pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(flat[known]))], names=["y", "ids"])
+
+    return sampled.mapInArrow(run, "y int, ids array<int>")
+
+
 def fit(rows: list) -> Model:
     """rows: (y, bucket array) of the sample."""
     rows = sorted(rows, key=lambda r: (r[0], r[1].tobytes()))
@@ -125,7 +147,8 @@ def fit(rows: list) -> Model:
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, severity (expected grade, 0 to 3), grade (likeliest), p_toxic and toxic of every document."""
-    model = fit([(r.y, np.array(r.ids, np.int32)) for r in sample(docs.select("doc_id", "text"), labels).toLocalIterator()])
+    sampled = stored(sample(docs.select("doc_id", "text"), labels), "toxicity-words")
+    model = fit([(r.y, np.array(r.ids, np.int32)) for r in telling(sampled).toLocalIterator()])
 
     def run(batches):
         for rows, raw, at in bytekit.chunks(batches):

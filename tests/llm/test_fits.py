@@ -72,6 +72,16 @@ def test_no_small_move_betters_the_ordinal_fit():
             assert loss(model.weights, model.thresholds + step * (np.arange(3) == k)) > 0.99 * now
 
 
+def test_only_telling_words_go_to_the_driver(spark):
+    docs, labels = (spark.read.parquet(f"{D}/{t}.parquet") for t in ("documents", "labels"))
+    sampled = toxicity.sample(docs.select("doc_id", "text"), labels)
+    rows = lambda df: [(r.y, np.array(r.ids, np.int32)) for r in df.collect()]
+    whole, few = rows(sampled), rows(toxicity.telling(sampled))
+    assert len(few) == len(whole) and sum(len(r[1]) for r in few) < sum(len(r[1]) for r in whole) / 10
+    a, b = toxicity.fit(whole), toxicity.fit(few)
+    assert len(a.buckets) and np.array_equal(a.buckets, b.buckets) and np.allclose(a.weights, b.weights, atol=1e-6) and np.allclose(a.thresholds, b.thresholds, atol=1e-6)
+
+
 def test_reliabilities_by_expectation_maximisation():
     seen = [((1, 1, 1), 40), ((1, 1, 0), 90), ((1, -1, 0), 12), ((-1, 1, 0), 25), ((-1, -1, 0), 70), ((-1, -1, -1), 30), ((-1, 1, 1), 18)]
     votes, n = np.array([v for v, _ in seen]), np.array([c for _, c in seen], float)
