@@ -32,6 +32,7 @@ never a component's id unless the component has no other; an empty table gives n
 from __future__ import annotations
 
 import bisect
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +51,7 @@ KEYS = 0.15  # of a slice, for each shingle: a slice of the keys takes less room
 CHECK_WORDS = 8  # at least; sketches have a bit a shingle or more
 TILE_WORDS = 8  # words of a sketch as tiles carry it
 TILE = 64  # classes of a bucket compared at once
+BITMAP = 1 << 23  # bits
 SEEN = 1 << 20  # classes a task remembers; forgetting them costs repeated rows, no result
 ROUNDS = 1  # at most, of comparing with a bucket's best linked class; what they leave is compared tile by tile
 
@@ -227,40 +229,55 @@ def _slice(docs: DataFrame, width: int, num: int, den: int, part: int, parts: in
 def _buckets(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """(key, cls, n, up): for each class and band group the D + 1 first of its blocks, of those only that others have too."""
     parts = max(1, round(2 * SPARE * (den - num) / num / KEYS))
-    shared = None
+    slices = []
     for part in range(parts):
         given = stored(_slice(docs, width, num, den, part, parts), "jaccard-blocks")
         counts = given.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("cls").alias("lo"), F.max("cls").alias("hi"), F.min("up").alias("all_up"))
         counts = counts.where("lo <> hi AND NOT all_up").select("key", "c")
         met = stored(given.join(counts, "key"), "jaccard-shared")
         discard(given)
-        shared = met if shared is None else shared.union(met)
+        slices.append(met)
+    shared = reduce(DataFrame.union, slices)
     commonest = Window.partitionBy("cls", "up").orderBy(F.desc("c"), "key")
     # several tasks may give a class
     rest = shared.withColumn("place", F.dense_rank().over(commonest)).where("place > spare").select("key", "cls", "n", "up").distinct()
     buckets = stored(rest, "jaccard-buckets")
+    discard(*slices)
     return buckets
 
 
+def _bitmap(ids: DataFrame) -> np.ndarray:
+    """BITMAP bits, set at the hashes of ids: of one size however many ids there are."""
+    place = F.pmod(F.xxhash64("_id"), F.lit(BITMAP))
+    words = ids.select(F.floor(place / 64).cast("int").alias("word"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(_id), {BITMAP}) % 64 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(BITMAP // 64, np.int64)
+    out[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    return out.view(np.uint64)
+
+
 def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(cls, u): the whole set of every wanted class (cls, doc_id), from one of its documents."""
+    """(cls, u): the whole set of every wanted class (cls, doc_id), from one of its documents. Texts aren't shuffled: those
+    whose id is not in a bitmap of the wanted ids are passed over, and sets that still aren't wanted drop out by their class."""
+    bits = _bitmap(wanted.select(F.col("doc_id").alias("_id")))
 
     def run(batches):
-        for _, raw, at in bytekit.chunks(batches):
+        def flagged():
+            for batch in batches:
+                p = batch.column("place").to_numpy().astype(np.uint64)
+                yield batch.filter(pa.array((bits[p >> np.uint64(6)] >> (p & np.uint64(63)) & np.uint64(1)).astype(bool)))
+
+        for _, raw, at in bytekit.chunks(flagged()):
             sets = Sets(raw, at, width)
             yield pa.RecordBatch.from_arrays([pa.array(sets.classes()), pa.ListArray.from_arrays(pa.array(sets.at, pa.int32()), pa.array(sets.u.astype(np.int64)))], names=["cls", "u"])
 
-    docs = _numbered(docs)
-    ids = wanted.select(F.col("doc_id").alias("_id")).distinct()
-    texts = docs.join(ids, docs["doc_id"].eqNullSafe(ids["_id"]), "left_semi")
-    found = texts.mapInArrow(run, "cls long, u array<long>")
-    # rows that share a doc_id may hold other classes
+    found = _numbered(docs).select("text", F.pmod(F.xxhash64("doc_id"), F.lit(BITMAP)).alias("place")).mapInArrow(run, "cls long, u array<long>")
+    # rows that share a doc_id or its bit may hold other classes
     return found.join(wanted.select("cls"), "cls", "left_semi").dropDuplicates(["cls"])
 
 
 def _links(docs: DataFrame, width: int, pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough. Sets are made again from the texts of those classes only whose
-    sketches leave it open."""
+    """The pairs (a, b) whose sets are similar enough, stored. Sets are made again from the texts of those classes only
+    whose sketches leave it open."""
     side = lambda t, x: t.select(*[F.col(c).alias(x if c == "cls" else f"{c}_{x}") for c in t.columns])
     checks = classes.select("cls", "n", "check")
     both = pairs.join(side(checks, "a"), "a").join(side(checks, "b"), "b")
@@ -282,7 +299,9 @@ def _links(docs: DataFrame, width: int, pairs: DataFrame, classes: DataFrame, nu
     full = near.join(side(sets, "a"), "a").join(side(sets, "b"), "b")
     common = F.size(F.array_intersect("u_a", "u_b"))
     union = F.size("u_a") + F.size("u_b") - common
-    return full.where(F.lit(den).cast("long") * common >= F.lit(num).cast("long") * union).select("a", "b")
+    links = stored(full.where(F.lit(den).cast("long") * common >= F.lit(num).cast("long") * union).select("a", "b"), "jaccard-links")
+    discard(near, wanted, sets)
+    return links
 
 
 def _close(n: str, m: str, num: int, den: int):
@@ -369,7 +388,7 @@ def join(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: int = DEN) ->
     wanted = stored(own, "jaccard-wanted")
     pairs = live.where((F.col("cls") != F.col("f")) & _close("n", "fn", num, den))
     tested = stored(pairs.select(F.least("f", "cls").alias("a"), F.greatest("f", "cls").alias("b")).distinct(), "jaccard-pairs")
-    links = stored(_links(docs, width, tested, wanted, num, den), "jaccard-links")
+    links = _links(docs, width, tested, wanted, num, den)
     roots = connected_components(links, stored)
     # the class that all others of a bucket were compared with has no pair left there: it leaves the bucket
     members, left = _apart(live.where("cls <> f").select("key", "cls", "n", "up"), roots)
@@ -387,7 +406,7 @@ def join(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: int = DEN) ->
         star = rest.where((F.col("root") != F.col("c.root")) & ~(F.col("up") & F.col("c.up")) & _close("n", "c.n", num, den))
         star = star.select(F.least("cls", "c.cls").alias("a"), F.greatest("cls", "c.cls").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
         star = stored(star, "jaccard-pairs")
-        found = stored(_links(docs, width, star, wanted, num, den), "jaccard-links")
+        found = _links(docs, width, star, wanted, num, den)
         tested = tested.union(star)
         if found.limit(1).count():
             links = links.union(found)
@@ -397,7 +416,7 @@ def join(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: int = DEN) ->
     # what is left: pairs of a bucket in different components
     if left > 0:
         more = stored(_near_pairs(members, wanted, num, den).join(tested, ["a", "b"], "left_anti"), "jaccard-pairs")
-        found = stored(_links(docs, width, more, wanted, num, den), "jaccard-links")
+        found = _links(docs, width, more, wanted, num, den)
         if found.limit(1).count():
             roots = connected_components(links.union(found), stored)
     labelled = rows.select("doc_id", F.col("n").alias("n_shingles"), "cls").join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))

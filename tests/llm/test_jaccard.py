@@ -108,3 +108,12 @@ def test_forgetting_classes_costs_rows_only():
     assert list(jaccard._unseen(cls, n, seen)) == [0, 2] and not len(jaccard._unseen(cls, n, seen))
     seen.update(range(jaccard.SEEN + 1))
     assert list(jaccard._unseen(cls, n, seen)) == [0, 2] and len(seen) == 2
+
+
+def test_a_full_bitmap_loses_nothing(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BITMAP", 64)
+    texts = corpus(9, 100)
+    rows = list(enumerate(texts)) + [(None, texts[3]), (2, texts[8])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((tuple(r) for r in jaccard.join(df).select("doc_id", "n_shingles", "component_id").collect()), key=str)
+    assert got == brute(rows, 3, 90, 100)
