@@ -115,14 +115,15 @@ def phrase_matches(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -
     places, owners = F.collect_set(F.struct("start", "width", "window_id")), F.collect_set(F.struct("window_id", "items"))
     per_row = stored(found.groupBy("row").agg(places.alias("places"), owners.alias("owners")), "test-candidates")
     discard(index)
-    d = docs.select(_row_id(docs).alias("row"), docs["text"], F.struct("*").alias("doc")).join(per_row, "row", "left")
+    # a merge join at every size: what is joined grows with the documents
+    d = docs.select(_row_id(docs).alias("row"), F.struct("*").alias("doc")).join(per_row.hint("merge"), "row", "left")
 
     def judged(w: Column) -> Column:
         hits = F.filter("places", lambda c: F.xxhash64(F.array_join(F.slice(w, c["start"] + 1, c["width"]), " "), F.lit(1)) == c["window_id"])
         return F.struct(F.size(w).cast("long").alias("n_words"), F.array_sort(hits).alias("hits"))
 
     # the one-element array binds the words to a lambda variable: they are made once a document, not once a candidate
-    d = d.withColumn("judged", F.transform(F.array(words(F.col("text"))), judged)[0])
+    d = d.withColumn("judged", F.transform(F.array(words(F.col("doc")["text"])), judged)[0])
     # covered words: starts are sorted, so each window adds what lies beyond the furthest end so far
     zero = F.struct(F.lit(0).alias("end"), F.lit(0).alias("n"))
     covered = F.aggregate(
