@@ -52,6 +52,7 @@ CHECK_WORDS = 8  # at least; sketches have a bit a shingle or more
 TILE_WORDS = 8  # words of a sketch as tiles carry it
 TILE = 64  # classes of a bucket compared at once
 BITMAP = 1 << 23  # bits
+CHUNK = 1 << 19  # bytes of text worked on at once
 SEEN = 1 << 20  # classes a task remembers; forgetting them costs repeated rows, no result
 ROUNDS = 1  # at most, of comparing with a bucket's best linked class; what they leave is compared tile by tile
 
@@ -190,7 +191,7 @@ def _rows(docs: DataFrame, width: int) -> DataFrame:
 
     def run(batches):
         seen = set()
-        for rows, raw, at in bytekit.chunks(batches):
+        for rows, raw, at in bytekit.chunks(batches, limit=CHUNK):
             sets = Sets(raw, at, width)
             cls = sets.classes()
             new = _unseen(cls, sets.n, seen)
@@ -207,7 +208,7 @@ def _slice(docs: DataFrame, width: int, num: int, den: int, part: int, parts: in
 
     def run(batches):
         bands, seen = Bands(num, den), set()
-        for _, raw, at in bytekit.chunks(batches):
+        for _, raw, at in bytekit.chunks(batches, limit=CHUNK):
             sets = Sets(raw, at, width)
             cls = sets.classes()
             new = _unseen(cls, sets.n, seen)
@@ -266,7 +267,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                 p = batch.column("place").to_numpy().astype(np.uint64)
                 yield batch.filter(pa.array((bits[p >> np.uint64(6)] >> (p & np.uint64(63)) & np.uint64(1)).astype(bool)))
 
-        for _, raw, at in bytekit.chunks(flagged()):
+        for _, raw, at in bytekit.chunks(flagged(), limit=CHUNK):
             sets = Sets(raw, at, width)
             yield pa.RecordBatch.from_arrays([pa.array(sets.classes()), pa.ListArray.from_arrays(pa.array(sets.at, pa.int32()), pa.array(sets.u.astype(np.int64)))], names=["cls", "u"])
 
@@ -431,7 +432,7 @@ def classed(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     kept = docs.drop("cls")
 
     def run(batches):
-        for rows, raw, at in bytekit.chunks(batches):
+        for rows, raw, at in bytekit.chunks(batches, limit=CHUNK):
             cls = Sets(raw, at, width).classes()
             yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(cls)], names=[*rows.schema.names, "cls"])
 
