@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns the documents that stay, with the columns of documents; the last one
 returns the mix. Rows that share a doc_id are kept or dropped together only where a stage says so.
+
+Defined results, all stages: a null text is an empty one and stays null; columns of docs other than those of documents are
+left out, whatever their names; rows that share a doc_id, null ids included, are separate documents; an empty table gives
+an empty one; texts are read whole, however long.
 """
 
 from __future__ import annotations
@@ -17,7 +21,8 @@ NEAR = {"width": 5, "num": 80, "den": 100}
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps all documents but those without a language (und). lang becomes the prediction."""
+    """Keeps all documents but those without a language (und): null texts and those without a letter. lang becomes the
+    prediction; ties go to the first language by name. If nothing could be learned, no document has a language."""
     learned = langid.prototypes(docs.where(crc_mod(F.col("doc_id"), langid.FOLDS) != langid.HELD_OUT))
     found = langid.predict(docs.select(*COLUMNS), learned)
     found = found.where(F.col("lang_pred") != langid.UNKNOWN)
@@ -44,13 +49,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that the contamination rule condemns."""
+    """Drops documents that the contamination rule condemns; those without words have no hits and stay."""
     found = decontaminate.phrase_matches(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return found.where(~decontaminate.contaminated()).select(*COLUMNS)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces personal data by a mark of its kind; n_chars follows the new text."""
+    """Replaces personal data by a mark of its kind; n_chars follows the new text where one was found. No row is dropped."""
     spans = pii.candidates(F.col("text"))
     model = pii.fit(docs.select(spans.alias("c")).where(F.size("c") > 0))
     text = pii.redacted(F.col("text"), pii.decided(F.col("_c"), model))
@@ -59,7 +64,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixing_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """How many words of each document the mix takes."""
+    """How many words of each document the mix takes; a document without words is taken 0 times."""
     return mixing.mix(docs)
 
 
