@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BATCH_ROWS = 1000  # rows that a task hands to Python at once
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors see (``spark.checkpoint.dir``); a folder of our own only where none is set: in a local
@@ -27,14 +29,16 @@ def stored(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    # nothing reads a finished write's shuffle files again
-    clean = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(clean, None)
-    spark.conf.set(clean, "true")
+    # nothing reads a finished write's shuffle files again; texts go to Python a few megabytes at a time
+    wanted = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": str(BATCH_ROWS)}
+    before = {k: spark.conf.get(k, None) for k in wanted}
     try:
+        for k, v in wanted.items():
+            spark.conf.set(k, v)
         writer.parquet(path)
     finally:
-        spark.conf.unset(clean) if before is None else spark.conf.set(clean, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
     return out
