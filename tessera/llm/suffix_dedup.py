@@ -9,14 +9,17 @@ Sorting every position would cost many times the corpus, so round one sorts a sa
 window elects the position whose HALF-byte rank has the least hash, the leftmost if several have; equal windows elect
 the same place. Each elected position comes with the stretch of windows that elected it and that stretch's hash.
 Spark sorts (rank, stretch, document): where the whole stretch is also in a document with a smaller id, all its windows
-are repeats. Where one rank has several different stretches, only some of their windows may repeat: those stretches
-(those of the smallest document that has each) go to round two, which sorts their windows by the rank pair
-(rank here, rank HALF bytes on). A rank that only one stretch has is unique and drops out; so do stretches that share a
-rank with others but neither the ``SIDE`` bytes before it nor those after it, as a common window has one or the other.
-Before the sort, every task
+are repeats. Where one rank has several different stretches, only some of their windows may repeat. A window that holds a
+rank's bytes also holds the ``SIDE`` bytes before them or those after them, so only the windows of a side that another
+stretch of the rank has as well (of each stretch's smallest document) go to round two; a rank that only one stretch has
+is unique and drops out. Round two sorts those parts of stretches by (rank and side, document), their bytes with them, a
+row a part, and makes and compares the windows after the shuffle: a window is first where its least document has it.
+Before the sort of round one, every task
 settles repeats among its own documents and passes on one row a stretch, so a passage that a third of all documents
 share becomes a few rows a task; a stretch that comes again within a document is an alias of its first place there and
 shares its fate; round one takes the ranks in ``PASSES`` parts, by hash, so that its shuffle holds one part at a time; equal texts are settled first: all but the first of them is a repeat from end to end.
+A rank and side that more than ``HELD`` rows have is not held by one task: its windows are sorted by the rank pair (rank
+here, rank HALF bytes on), each row on its own.
 
 Defined results: a null text is empty; texts shorter than LENGTH keep everything; only a smaller doc_id counts, so rows
 that share a doc_id don't remove from each other; a null doc_id is smaller than none and removes nothing, and loses
@@ -25,6 +28,8 @@ what any other has; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -38,7 +43,8 @@ HALF = 25
 LENGTH = 2 * HALF
 PASSES = 2
 SIDE = (LENGTH - HALF + 1) // 2
-HELD = 50_000  # rows of one rank that a task looks through for common sides; a larger group goes on whole
+HELD = 50_000  # rows of one rank, or of one rank and side, that a task looks through; a larger group goes on whole
+STEP = 8_000  # rows whose windows are compared at once
 CHUNK = 1 << 20
 LAST = (1 << 63) - 1  # stands for a null doc_id: after all others
 
@@ -96,15 +102,20 @@ def _batch(columns) -> pa.RecordBatch:
 
 def _settled_batch(columns, kind: int) -> pa.RecordBatch:
     rank, _, doc, start, meta = columns[:5]
+    return _settled_rows(doc, start, meta & 63, meta >> 6 & 0xFFFF, kind, rank if kind == ALIAS else rank * 0)
+
+
+def _settled_rows(doc, start, windows, tid, kind: int, head) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
-        [pa.array(doc), pa.array(start), pa.array((meta & 63).astype(np.int32)), pa.array((meta >> 6 & 0xFFFF).astype(np.int32)), pa.array(np.full(len(doc), kind, np.int32)), pa.array(rank if kind == ALIAS else rank * 0)], names=[x.split()[0] for x in _OUT.split(", ")]
+        [pa.array(doc), pa.array(start), pa.array(windows.astype(np.int32)), pa.array(tid.astype(np.int32)), pa.array(np.full(len(doc), kind, np.int32)), pa.array(head)], names=[x.split()[0] for x in _OUT.split(", ")]
     )
 
 
 def _stretches(texts: DataFrame, part: int) -> DataFrame:
     """Round one's rows of one part of the ranks: what is settled within a chunk (covered), aliases (their rank is the
     head's start), and one live row a stretch of each chunk. meta packs the
-    number of windows, 16 bits of the text's id, and 16 bits of the bytes before and after the rank's."""
+    number of windows, 16 bits of the text's id, 16 bits of the bytes before and after the rank's, and the rank's place
+    after the first window's."""
 
     def run(batches):
         for rows, raw, at in bytekit.chunks(batches, limit=CHUNK):
@@ -121,7 +132,7 @@ def _stretches(texts: DataFrame, part: int) -> DataFrame:
             for ok, a, b in ((left >= at[d], np.maximum(left, 0), place), (right <= at[d + 1], place + HALF, np.minimum(right, len(raw)))):
                 h = (spans(a, np.maximum(a, b)) >> np.uint64(49)).astype(np.int64)
                 sides.append(np.where(ok, h, _NONE))
-            meta = count | tid << 6 | sides[0] << 22 | sides[1] << 38
+            meta = count | tid << 6 | sides[0] << 22 | sides[1] << 38 | (place - first) << 54
             r = rank[place].view(np.int64)
             s = (spans(first, first + count - 1 + LENGTH) >> np.uint64(32)).astype(np.uint32).view(np.int32)
             # brings equal (r, s) together, by doc, and keeps the order of places; a chance tie only costs a row
@@ -143,21 +154,33 @@ def _stretches(texts: DataFrame, part: int) -> DataFrame:
     return texts.select("doc", "tid", "text").mapInArrow(run, _ROW)
 
 
-def _alike(columns) -> np.ndarray:
-    """Which of the open rows share their rank and one of its sides with another row."""
+def _alike(columns) -> list[np.ndarray]:
+    """Which of the open rows share their rank and the side before it with another row, and which the side after it."""
     rank, meta = columns[0], columns[4]
-    out = np.zeros(len(rank), bool)
+    sides = []
     for shift in (22, 38):
+        out = np.zeros(len(rank), bool)
         side = meta >> shift & 0xFFFF
         order = np.lexsort((side, rank))
         same = (rank[order][1:] == rank[order][:-1]) & (side[order][1:] == side[order][:-1]) & (side[order][1:] != _NONE)
         out[order[1:][same]] = True
         out[order[:-1][same]] = True
-    return out
+        sides.append(out)
+    return sides
+
+
+def _open(columns, alike):
+    """The windows of open rows that hold a side marked in alike, a row a side; head is the rank's place after the start."""
+    _, _, doc, start, meta = columns
+    count, place = meta & 63, meta >> 54
+    left = np.clip(place - SIDE + 1, 0, count)  # the first windows hold the side before the rank, the others the one after it
+    for keep, skip, windows in ((alike[0] & (left > 0), left * 0, left), (alike[1] & (left < count), left, count - left)):
+        if keep.any():
+            yield _settled_rows(doc[keep], (start + skip)[keep], windows[keep], (meta >> 6 & 0xFFFF)[keep], LIVE, (place - skip)[keep])
 
 
 def _settled(sorted_rows: DataFrame) -> DataFrame:
-    """Sorted by (rank, stretch, doc): covered rows, and open ones whose rank has several stretches (those of each
+    """Sorted by (rank, stretch, doc): covered rows, and parts of open ones whose rank has several stretches (those of each
     stretch's least document). State between batches: the last row, and the open rows of the current rank."""
 
     def run(batches):
@@ -165,9 +188,8 @@ def _settled(sorted_rows: DataFrame) -> DataFrame:
         held, several_now, whole = [], False, False  # open rows of the current rank; whether it has several stretches
 
         def given(columns, all_of_them):
-            keep = np.ones(len(columns[0]), bool) if all_of_them else _alike(columns)
-            if keep.any():
-                yield _settled_batch([c[keep] for c in columns], LIVE)
+            every = np.ones(len(columns[0]), bool)
+            yield from _open(columns, [every, every] if all_of_them else _alike(columns))
 
         def joined(parts):
             return [np.concatenate(x) for x in zip(*parts, strict=True)]
@@ -216,26 +238,125 @@ def _settled(sorted_rows: DataFrame) -> DataFrame:
     return sorted_rows.mapInArrow(run, _OUT)
 
 
-def _windows(texts: DataFrame) -> DataFrame:
-    """Round two's rows: the rank pair of every window of the open stretches."""
+_PART = "key long, doc long, tid int, start long, body binary"
+_FOUND = "doc long, start long, windows int, tid int, body binary"
+
+
+def _parts(texts: DataFrame) -> DataFrame:
+    """Round two's rows: every open part of a stretch with its bytes, which have LENGTH - 1 more than windows. The key is a
+    hash of the rank's bytes and those of the side that all its windows hold."""
 
     def run(batches):
         for rows, raw, at in bytekit.chunks(batches, limit=CHUNK):
-            _, rank = ranks(raw)
-            doc, tid = rows.column("doc").to_numpy(), rows.column("tid").to_numpy()
+            spans = bytekit.Spans(raw)
             open_ = rows.column("open")
-            cut = open_.offsets.to_numpy() - open_.offsets.to_numpy()[0]
-            flat = open_.flatten()
-            of = np.repeat(np.arange(len(doc)), np.diff(cut))
-            start, count = (flat.field(f).to_numpy(zero_copy_only=False).astype(np.int64) for f in ("start", "windows"))
-            fits = start + count - 1 + LENGTH <= np.diff(at)[of]  # rows that share a doc_id may share a tid as well
-            of, start, count = of[fits], start[fits], count[fits]
-            begin = np.repeat(at[of] + start, count)
-            step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-            p, d = begin + step, np.repeat(of, count)
-            yield pa.RecordBatch.from_arrays([pa.array(rank[p].view(np.int64)), pa.array(rank[p + HALF].view(np.int64)), pa.array(doc[d]), pa.array(p - at[d]), pa.array(tid[d])], names=["a", "b", "doc", "start", "tid"])
+            of, flat = np.repeat(np.arange(len(rows)), np.diff(open_.offsets.to_numpy())), open_.flatten()
+            start, count, head = (flat.field(f).to_numpy(zero_copy_only=False).astype(np.int64) for f in ("start", "windows", "head"))
+            size = count - 1 + LENGTH
+            fits = start + size <= np.diff(at)[of]  # rows that share a doc_id may share a tid as well
+            of, start, size, head = of[fits], start[fits], size[fits], head[fits]
+            begin = at[of] + start
+            left = begin + head - np.where(head >= SIDE, SIDE, 0)
+            key = spans(left, left + HALF + SIDE).view(np.int64)
+            cut = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+            body = pa.Array.from_buffers(pa.binary(), len(of), [None, pa.py_buffer(cut), pa.py_buffer(raw[_each(begin, size)])])
+            yield pa.RecordBatch.from_arrays([pa.array(key), *(rows.column(c).take(pa.array(of)) for c in ("doc", "tid")), pa.array(start), body], names=["key", "doc", "tid", "start", "body"])
+
+    return texts.mapInArrow(run, _PART)
+
+
+def _bodies(rows: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes of all bodies on end, where each window starts in them, its row, its place in the row's body)."""
+    body = rows.column("body")
+    body = body.combine_chunks() if isinstance(body, pa.ChunkedArray) else body
+    _, raw, at = next(bytekit.chunks([pa.RecordBatch.from_arrays([body], names=["text"])], limit=1 << 62))
+    windows = np.diff(at) - LENGTH + 1
+    row = np.repeat(np.arange(len(windows)), windows)
+    begin = _each(at[:-1], windows)
+    return raw, begin, row, begin - at[row]
+
+
+def _compared(sorted_parts: DataFrame) -> DataFrame:
+    """Sorted by (key, doc): stretches of windows that a smaller document has as well, without a body. Rows of a key that
+    more than HELD rows have come back as they are, with theirs. State between batches: the rows not compared yet."""
+
+    def settled(rows):
+        raw, begin, row, place = _bodies(rows)
+        name = bytekit.Spans(raw)(begin, begin + LENGTH)
+        key, doc = (rows.column(c).to_numpy() for c in ("key", "doc"))
+        order = np.argsort(name, kind="stable")  # equal windows have one key, whose documents ascend
+        new = np.ones(len(order), bool)
+        new[1:] = (name[order][1:] != name[order][:-1]) | (key[row[order]][1:] != key[row[order]][:-1])
+        first = doc[row[order]][np.flatnonzero(new)][np.cumsum(new) - 1]
+        covered = np.zeros(len(order) + 1, bool)
+        covered[order] = doc[row[order]] > first
+        inner = np.concatenate([[False], row[1:] == row[:-1], [False]])  # goes on from the window before it
+        begins, ends = np.flatnonzero(covered[:-1] & ~(inner[:-1] & np.roll(covered, 1)[:-1])), np.flatnonzero(covered[:-1] & ~(inner[1:] & covered[1:])) + 1
+        of = row[begins]
+        if len(of):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(doc[of]), pa.array(rows.column("start").to_numpy()[of] + place[begins]), pa.array((ends - begins).astype(np.int32)), pa.array(rows.column("tid").to_numpy()[of]), pa.nulls(len(of), pa.binary())],
+                names=["doc", "start", "windows", "tid", "body"],
+            )
+
+    def passed(rows):
+        for b in rows.select(["doc", "start", "tid", "body"]).to_batches(max_chunksize=STEP):
+            yield pa.RecordBatch.from_arrays([b.column("doc"), b.column("start"), pa.array(np.zeros(len(b), np.int32)), b.column("tid"), b.column("body")], names=["doc", "start", "windows", "tid", "body"])
+
+    def run(batches):
+        held, hot = None, None
+        for batch in batches:
+            if not len(batch):
+                continue
+            batch = pa.Table.from_batches([batch])
+            held = batch if held is None else pa.concat_tables([held, batch])
+            if len(held) < STEP:
+                continue
+            key = held.column("key").to_numpy()
+            cut, last = int(np.searchsorted(key, key[-1])), key[-1]
+            out, held = held.slice(0, cut), held.slice(cut)
+            if hot is not None and cut:
+                n = int(np.searchsorted(key[:cut], hot, side="right"))
+                yield from passed(out.slice(0, n))
+                out = out.slice(n)
+            if len(out):
+                yield from settled(out)
+            if hot is not None and hot != last:
+                hot = None
+            if len(held) > HELD or hot is not None:
+                yield from passed(held)
+                held, hot = None, last
+        if held is not None:
+            n = int(np.searchsorted(held.column("key").to_numpy(), hot, side="right")) if hot is not None else 0
+            yield from passed(held.slice(0, n))
+            if n < len(held):
+                yield from settled(held.slice(n))
 
-    return texts.mapInArrow(run, "a long, b long, doc long, start long, tid int")
+    return sorted_parts.select("key", "doc", "tid", "start", "body").mapInArrow(run, _FOUND)
+
+
+def _windows(parts: DataFrame) -> DataFrame:
+    """The rank pair of every window."""
+
+    def run(batches):
+        for batch in batches:
+            if not len(batch):
+                continue
+            raw, begin, row, place = _bodies(batch)
+            _, rank = ranks(raw)
+            doc, tid, start = (batch.column(c).to_numpy()[row] for c in ("doc", "tid", "start"))
+            yield pa.RecordBatch.from_arrays([pa.array(rank[begin].view(np.int64)), pa.array(rank[begin + HALF].view(np.int64)), pa.array(doc), pa.array(start + place), pa.array(tid)], names=["a", "b", "doc", "start", "tid"])
+
+    return parts.mapInArrow(run, "a long, b long, doc long, start long, tid int")
+
+
+def _by_pairs(parts: DataFrame) -> DataFrame:
+    """What _compared finds, for keys of any number of rows: windows are sorted by their rank pair."""
+    pairs = stored(_windows(parts.select("doc", "tid", "start", "body")), "suffix-pairs")
+    least = stored(pairs.groupBy("a", "b").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where(F.col("first") < F.col("last")).select("a", "b", "first"), "suffix-least")
+    found = stored(pairs.join(least, ["a", "b"]).where(F.col("doc") > F.col("first")).select("doc", "start", F.lit(1).alias("windows"), "tid"), "suffix-second")
+    discard(pairs, least)
+    return found
 
 
 def _each(start: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -298,28 +419,28 @@ def dedup(docs: DataFrame) -> DataFrame:
     first = ids.groupBy("hash").agg(F.min("doc").alias("first"))
     repeats = stored(ids.join(first, "hash").where(F.col("doc") > F.col("first")).select("doc", "tid").distinct(), "suffix-repeats")
     n = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    settled = None
+    parts = []
     for part in range(PASSES):
         rows = _stretches(given, part)
         # what is settled goes where its place sends it, the rest to its rank
         rows = rows.repartition(n, F.when(F.col("kind") != LIVE, F.xxhash64("doc", "start")).otherwise(F.col("rank"))).sortWithinPartitions("rank", "stretch", "doc")
-        done = stored(_settled(rows), "suffix-settled")
+        parts.append(stored(_settled(rows), "suffix-settled"))
         release(spark)
-        settled = done if settled is None else settled.unionByName(done)
-    settled = settled.join(repeats, ["doc", "tid"], "left_anti")
+    settled = reduce(DataFrame.unionByName, parts).join(repeats, ["doc", "tid"], "left_anti")
     open_rows = settled.where(F.col("kind") == LIVE)
-    opened = open_rows.groupBy("doc", "tid").agg(F.collect_set(F.struct("start", "windows")).alias("open"))
-    texts = given.join(opened, ["doc", "tid"]).dropDuplicates(["doc", "tid", "hash"])
-    pairs = stored(_windows(texts.select("doc", "tid", "text", "open")), "suffix-pairs")
+    opened = open_rows.groupBy("doc", "tid").agg(F.collect_set(F.struct("start", "windows", "head")).alias("open"))
+    texts = given.join(opened, ["doc", "tid"]).select("doc", "tid", "text", "open")
+    second = stored(_compared(_parts(texts).repartition(n, "key").sortWithinPartitions("key", "doc")), "suffix-second")
     release(spark)
-    least = stored(pairs.groupBy("a", "b").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where(F.col("first") < F.col("last")).select("a", "b", "first"), "suffix-least")
-    second = pairs.join(least, ["a", "b"]).where(F.col("doc") > F.col("first")).select("doc", "tid", "start", F.lit(1).alias("windows"), F.lit(-1).cast("long").alias("head"))
-    second = stored(second, "suffix-second")
-    discard(pairs, least)
+    found = second.where(F.col("body").isNull()).select("doc", "start", "windows", "tid")
+    hot = second.where(F.col("body").isNotNull())
+    if hot.limit(1).count():
+        found = found.unionByName(_by_pairs(hot))
     head = F.when(F.col("kind") == ALIAS, F.col("head")).otherwise(F.lit(-1)).alias("head")
-    spans = settled.where(F.col("kind") != LIVE).select("doc", "tid", "start", "windows", head).unionByName(second)
+    spans = settled.where(F.col("kind") != LIVE).select("doc", "tid", "start", "windows", head).unionByName(found.withColumn("head", F.lit(-1).cast("long")))
     spans = spans.groupBy("doc", "tid").agg(F.collect_list(F.struct("start", "windows", "head")).alias("spans"))
     marks = stored(repeats.withColumn("whole", F.lit(True)).join(spans, ["doc", "tid"], "full"), "suffix-marks")
+    discard(second, *parts)
     return _marked(given, marks)
 
 

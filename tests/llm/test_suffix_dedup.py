@@ -97,3 +97,52 @@ def test_every_position_against_brute_force(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert result(df, S.dedup_by_sorting) == brute(rows)
     assert result(df.limit(0), S.dedup_by_sorting) == []
+
+
+def recorded(monkeypatch):
+    """The names and rows of the tables that dedup stores from now on."""
+    tables, real = [], S.stored
+
+    def stored(df, name):
+        out = real(df, name)
+        tables.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(S, "stored", stored)
+    return tables
+
+
+def test_shared_ranks_do_not_store_their_windows(spark, monkeypatch):
+    """Passages shorter than LENGTH in ever new surroundings: all their windows are compared, none gets a row on disk."""
+    rng = random.Random(4)
+    word = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
+    passages = [word(40) for _ in range(5)]
+    rows = [(i, " ".join(w for p in passages for w in (word(60), p))) for i in range(150)]
+    tables = recorded(monkeypatch)
+    found = result(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert found == brute(rows) and sum(r[2] for r in found) == 0
+    # before, a row of suffix-pairs for each window of a part
+    assert [n for name, n in tables if name not in ("suffix-ids", "suffix-settled")] == [0, 0, 0]
+
+
+def test_parts_of_large_groups_are_compared_by_pairs(spark, monkeypatch):
+    monkeypatch.setattr(S, "HELD", 5)
+    monkeypatch.setattr(S, "STEP", 3)
+    rng = random.Random(6)
+    word = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
+    line = word(70)
+    rows = list(enumerate(corpus(12) + [word(20) + line + rng.choice("xyz") * rng.randint(0, 3) + word(20) for _ in range(80)]))
+    rows += [(None, rows[-1][1] + "q"), (3, rows[-2][1] + "r"), (3, rows[-3][1] + "s")]
+    tables = recorded(monkeypatch)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(1)
+    assert result(df) == brute(rows)
+    assert any(name == "suffix-pairs" and n for name, n in tables)
+
+
+def test_parts_within_steps(spark, monkeypatch):
+    """Keys go on from one step to the next, none is large."""
+    monkeypatch.setattr(S, "STEP", 3)
+    rows = list(enumerate(corpus(13)))
+    tables = recorded(monkeypatch)
+    assert result(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
+    assert not any(name == "suffix-pairs" for name, _ in tables)
