@@ -29,6 +29,21 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
 
 
+def _with_ids(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of docs whose id is in kept (_id long). Most are: a bitmap of the other ids tells which rows can't be one of
+    those, and only the rest is joined, so that few texts are shuffled."""
+    ids = docs.select(F.col("doc_id").cast("long").alias("_id"))
+    gone = ids.join(kept.select(F.col("_id").alias("_kept")), F.col("_id").eqNullSafe(F.col("_kept")), "left_anti")
+    words = stored(jaccard.bitmap(gone), "pipeline-gone")
+    word, bit = jaccard.place("_id")
+    rows = docs.select(*COLUMNS, F.col("doc_id").cast("long").alias("_id")).withColumn("_word", word)
+    rows = rows.join(F.broadcast(words), F.col("_word") == F.col("word"), "left")
+    may_go = F.coalesce(F.col("bits").bitwiseAND(bit) != 0, F.lit(False))
+    rest = rows.where(may_go).withColumnRenamed("_id", "_own")
+    rest = rest.join(kept, F.col("_own").eqNullSafe(F.col("_id")), "left_semi")
+    return rows.where(~may_go).select(*COLUMNS).union(rest.select(*COLUMNS))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row of each component of similar ones: that of the smallest doc_id, null ids last (of rows that share it,
     the first by class and text). Rows without words are like no other and stay."""
@@ -39,7 +54,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     if not twice:
         alone = joined.where("n_shingles = 0").select("doc_id")
         kept = stored(kept.select("_id").union(alone), "pipeline-kept")
-        return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]), "left_semi").select(*COLUMNS)
+        return _with_ids(docs, kept)
     # an id doesn't tell rows apart: a row is found by its id and class, and rows of both are equal sets
     kept = stored(kept, "pipeline-kept")
     rows = jaccard.classed(docs.select(*COLUMNS), NEAR["width"])

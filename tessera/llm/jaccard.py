@@ -36,7 +36,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import bytekit
@@ -247,10 +247,19 @@ def _buckets(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     return buckets
 
 
+def place(x: str) -> tuple[Column, Column]:
+    """(word, bit) of the hash of a long column in a bitmap."""
+    return F.expr(f"cast(pmod(xxhash64({x}), {BITMAP}) div 64 as int)"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64({x}), {BITMAP}) % 64 as int))")
+
+
+def bitmap(ids: DataFrame) -> DataFrame:
+    """(word, bits): BITMAP bits, set at the hashes of ids (_id long): of one size however many ids there are."""
+    word, bit = place("_id")
+    return ids.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+
+
 def _bitmap(ids: DataFrame) -> np.ndarray:
-    """BITMAP bits, set at the hashes of ids: of one size however many ids there are."""
-    place = F.pmod(F.xxhash64("_id"), F.lit(BITMAP))
-    words = ids.select(F.floor(place / 64).cast("int").alias("word"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(_id), {BITMAP}) % 64 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    words = bitmap(ids).toArrow()
     out = np.zeros(BITMAP // 64, np.int64)
     out[words.column("word").to_numpy()] = words.column("bits").to_numpy()
     return out.view(np.uint64)

@@ -1,4 +1,6 @@
+import random
 import re
+import time
 import zlib
 
 import duckdb
@@ -6,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tessera.llm import mixing
+from tessera.llm import jaccard, mixing
 from tests.llm import test_jaccard, test_pii
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -106,3 +108,34 @@ def test_each_stage_against_brute_force(spark, tmp_path):
     assert sorted(map(tuple, got)) == sorted(mix)
     # run() is these stages in turn
     assert sorted(tuple(r) for r in corpus_pipeline.run(spark, d).select("doc_id", "size", "taken").collect()) == sorted((r[0], r[1], r[4]) for r in mix)
+
+
+def shuffled(spark):
+    """Bytes that tasks have given to shuffles so far."""
+    time.sleep(1)
+    return spark.sparkContext._jsc.sc().statusStore().executorList(False).apply(0).totalShuffleWrite()
+
+
+def test_near_duplicates_shuffle_few_texts(spark):
+    rng = random.Random(3)
+    text = lambda: " ".join(f"{rng.getrandbits(64):x}" for _ in range(300))
+    rows = [(i, text(), "en", "s", 1) for i in range(300)]
+    rows += [(300 + i, rows[i][1], "en", "s", 1) for i in range(20)]
+    docs = corpus_pipeline.stored(spark.createDataFrame(rows, SCHEMA), "test")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = corpus_pipeline.near_duplicates(spark, docs, "")
+        before = shuffled(spark)
+        ids = sorted(r.doc_id for r in kept.collect())
+        moved = shuffled(spark) - before
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert ids == list(range(300))
+    assert moved < 0.25 * sum(len(r[1]) for r in rows)
+
+
+def test_near_duplicates_with_a_full_bitmap(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BITMAP", 64)
+    rows = [(i, f"a{i % 90} b{i % 90} c{i % 90} d{i % 90} e{i % 90} f{i % 90}", "en", "s", 1) for i in range(300)] + [(None, "x y z", "en", "s", 1), (900, None, "en", "s", 1)]
+    got = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, SCHEMA), "").collect()
+    assert sorted((r.doc_id for r in got), key=str) == sorted([*range(90), None, 900], key=str)
