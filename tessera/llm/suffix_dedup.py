@@ -29,6 +29,7 @@ what any other has; an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 from functools import reduce
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import bytekit
-from tessera.llm.common import discard, documents, release, stored
+from tessera.llm.common import discard, documents, mapped, release
+from tessera.llm.common import stored_by_python as stored
 
 NAME = "op3_suffix_dedup"
 HALF = 25
@@ -235,7 +237,7 @@ def _settled(sorted_rows: DataFrame) -> DataFrame:
         if several_now and held:
             yield from given(joined(held), whole)
 
-    return sorted_rows.mapInArrow(run, _OUT)
+    return mapped(sorted_rows, run, _OUT)
 
 
 _PART = "key long, doc long, tid int, start long, body binary"
@@ -332,7 +334,7 @@ def _compared(sorted_parts: DataFrame) -> DataFrame:
             if n < len(held):
                 yield from settled(held.slice(n))
 
-    return sorted_parts.select("key", "doc", "tid", "start", "body").mapInArrow(run, _FOUND)
+    return mapped(sorted_parts.select("key", "doc", "tid", "start", "body"), run, _FOUND)
 
 
 def _windows(parts: DataFrame) -> DataFrame:
@@ -347,7 +349,7 @@ def _windows(parts: DataFrame) -> DataFrame:
             doc, tid, start = (batch.column(c).to_numpy()[row] for c in ("doc", "tid", "start"))
             yield pa.RecordBatch.from_arrays([pa.array(rank[begin].view(np.int64)), pa.array(rank[begin + HALF].view(np.int64)), pa.array(doc), pa.array(start + place), pa.array(tid)], names=["a", "b", "doc", "start", "tid"])
 
-    return parts.mapInArrow(run, "a long, b long, doc long, start long, tid int")
+    return mapped(parts, run, "a long, b long, doc long, start long, tid int")
 
 
 def _by_pairs(parts: DataFrame) -> DataFrame:
@@ -396,7 +398,7 @@ def _kept(texts: DataFrame) -> DataFrame:
             kept = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer((at - so_far[at]).astype(np.int32)), pa.py_buffer(raw[~removed])])
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(size), pa.array(np.diff(so_far[at])), pa.array(np.diff(runs[at])), kept], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    return texts.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return mapped(texts, run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def _given(docs: DataFrame) -> DataFrame:
@@ -464,7 +466,7 @@ def _packed(texts: DataFrame) -> DataFrame:
             doc, tid = rows.column("doc").to_numpy(), rows.column("tid").to_numpy()
             yield pa.RecordBatch.from_arrays([pa.array(doc[d]), pa.array(tid[d]), pa.array(p - at[d]), pa.array(rank[p])], names=["doc", "tid", "start", "a"])
 
-    return texts.select("doc", "tid", "text").mapInArrow(run, "doc long, tid int, start long, a long")
+    return mapped(texts.select("doc", "tid", "text"), run, "doc long, tid int, start long, a long")
 
 
 def _reranked(sorted_pairs: DataFrame, last: bool) -> DataFrame:
@@ -499,7 +501,7 @@ def _reranked(sorted_pairs: DataFrame, last: bool) -> DataFrame:
             if doc > least if last else before:
                 yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (doc, tid, start, np.int64(number))], names=["doc", "tid", "start", "a"])
 
-    return sorted_pairs.select("doc", "tid", "start", "a", "b").mapInArrow(run, "doc long, tid int, start long, a long")
+    return mapped(sorted_pairs.select("doc", "tid", "start", "a", "b"), run, "doc long, tid int, start long, a long")
 
 
 def dedup_by_sorting(docs: DataFrame) -> DataFrame:
@@ -521,8 +523,19 @@ def dedup_by_sorting(docs: DataFrame) -> DataFrame:
     return _marked(given, spans.withColumn("whole", F.lit(False)))
 
 
+def digested(result: DataFrame) -> DataFrame:
+    """kept as its SHA-256, lowercase hex."""
+
+    def run(batches):
+        for batch in batches:
+            hashes = [sha256(kept.as_buffer()).hexdigest() for kept in batch.column("kept")]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(hashes, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+
+    return mapped(result, run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup(documents(spark, sf_dir)).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return stored(digested(dedup(documents(spark, sf_dir))), "suffix-digests")
 
 
 ORACLE_SQL = None
